@@ -6,26 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, ngram_join
+from . import chat, decontaminate, fingerprint, html_diff, line_dedup, ngram_join, packing, quality, shards, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_diff.page_differences(read_table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.training_order(read_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_decontaminate, op5_line_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_toxicity, op3_decontaminate, op4_html_diff, op5_line_dedup, op6_packing, op7_chat, op8_quality, op9_training_order, op10_ngram_join)}
 
 
 def _words(text: str) -> str:
@@ -38,6 +66,23 @@ def _runs(n: int) -> str:
 
 
 ORACLE = {
+    "op1_fingerprints": """
+WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS p FROM documents),
+h AS (SELECT doc_id, k, sha256(sha256(p) || ':' || k) AS h FROM p, range(8) r(k)),
+s AS (SELECT doc_id, k * 8 + j AS lane, sum(('0x' || substr(h, 1 + 8 * j::INT, 8))::BIGINT) & 4294967295 AS v FROM h, range(8) q(j) GROUP BY ALL),
+f AS (SELECT doc_id, string_agg(lpad(to_hex(v::BIGINT), 8, '0'), '' ORDER BY lane) AS fingerprint FROM s GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN coalesce(n, 0) END AS n_paragraphs,
+       lower(CASE WHEN text IS NOT NULL THEN coalesce(fingerprint, repeat('0', 512)) END) AS fingerprint
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op7_chat": """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS i FROM conversations),
+c AS (SELECT *, CASE WHEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM t),
+g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY i) AS m FROM c),
+o AS (SELECT conv_id, m, any_value(role) AS role, count(*) AS turns, string_agg(text, chr(10) ORDER BY i) AS text FROM g GROUP BY conv_id, m)
+SELECT conv_id, sum(turns)::BIGINT AS n_turns, count(*) AS n_messages,
+       string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY m) AS chat FROM o GROUP BY conv_id""",
     "op3_decontaminate": f"""
 WITH iw AS (SELECT item_id, {_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
 i AS (SELECT item_id, {_runs(5)} AS s FROM iw WHERE len(w) > 0),
