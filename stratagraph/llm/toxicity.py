@@ -18,10 +18,10 @@ MAX_LABELLED = 20_000
 LEARNED = 256
 THRESHOLD = 0.5
 ABUSE = """idiot idiots idiotic moron morons moronic stupid dumb dumbass fool foolish loser losers scum trash garbage filth filthy pathetic
-worthless disgusting clown clowns jerk creep pig pigs rat vermin ugly fat freak freaks imbecile cretin halfwit dimwit bastard bitch slut
-whore crap shit shitty bullshit fuck fucking fucker asshole damn hate hated kill die retard retarded nazi coward liar parasite lowlife
+worthless disgusting clown clowns jerk creep pig pigs vermin ugly freak freaks imbecile cretin halfwit dimwit bastard bitch slut
+whore crap shit shitty bullshit fuck fucking fucker asshole damn retard retarded nazi coward liar parasite lowlife
 dirtbag scumbag sleazy twit twat wanker prick dick cunt dummkopf blöd blöde blödmann arschloch scheiße abschaum idiotin trottel depp
-versager ekelhaft widerlich imbécile idiote con connard connasse salope merde crétin débile ordure dégoûtant minable nul raté pourri
+versager ekelhaft widerlich imbécile idiote connard connasse salope merde crétin débile ordure dégoûtant minable pourri
 estúpido estúpida imbécil idiota basura asqueroso asquerosa patético inútil mierda puta cabrón gilipollas perdedor escoria""".split()
 SECOND_PERSON = """you your yours yourself yourselves ur u du dich dir dein deine deinen deiner ihr euch euer sie ihnen tu te toi ton ta tes
 vous votre vos tú ti tuyo tuya usted ustedes vosotros vuestro os""".split()
