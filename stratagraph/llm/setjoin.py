@@ -240,9 +240,9 @@ def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.nda
 
 
 def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
-    """The written table (a, b) of pairs of set ids that may be similar; every similar pair is among them."""
+    """(a, b): pairs of set ids that may be similar; every similar pair is among them."""
     spark = docs.sparkSession
-    buckets = common.partitions(spark)
+    buckets = max(1, common.partitions(spark) // 2)  # a pair is counted once in each bucket that it shares a token in
     postings = _postings(docs, spec, spark.sparkContext.broadcast(level), buckets)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +260,7 @@ def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
     pairs = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, b bigint, sa bigint, sb bigint, shared bigint")
     pairs = pairs.groupBy("a", "b", "sa").agg(F.sum("shared").alias("shared"))
     enough = F.col("shared") >= 1 + F.floor(F.lit(spec.slack) * F.col("sa") + F.lit(1e-9))
-    return common.materialise(pairs.filter(enough).select("a", "b"), "candidates")
+    return pairs.filter(enough).select("a", "b")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -362,17 +362,20 @@ def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, pairs: DataFrame
 
     found = source.mapInArrow(fetch, "f_doc bigint, f_key bigint, f_line int, tokens array<bigint>")
     here = (found.f_doc == wanted.doc_id) & (found.f_key == wanted.row_key) & (found.f_line == wanted.line)
-    sets = found.join(wanted, here).dropDuplicates(["set_id"]).select("comp", "set_id", "tokens")
+    sets = found.join(wanted, here).select("comp", "set_id", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "comp"):
             comp = group.column("comp").to_numpy()
             for lo, hi in zip(*_runs(comp)):
                 part = group.slice(lo, hi - lo).combine_chunks()
+                own = part.column("set_id").to_numpy()
+                once = np.concatenate([[True], own[1:] != own[:-1]])  # rows that repeat a document
+                part = part if once.all() else part.filter(pa.array(once))
                 ids, lists = part.column("set_id").to_numpy(), part.column("tokens").combine_chunks()
                 size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
                 i, j, ov = similar_pairs(lists.flatten().to_numpy(zero_copy_only=False), size, spec.threshold)
-                low = _lowest(len(ids), i, j, ids)
+                low = ids[common.lowest(len(ids), i, j)]
                 for k in range(0, len(i), 1 << 18):
                     x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(size[x].astype(np.int32)), pa.array(size[y].astype(np.int32)), pa.array(ov[k : k + (1 << 18)].astype(np.int32)), pa.array(low[x])], names=["a", "b", "size_a", "size_b", "overlap", "low"])
@@ -385,18 +388,6 @@ def _runs(k: np.ndarray) -> tuple[list[int], list[int]]:
     return at.tolist(), [*at[1:].tolist(), len(k)]
 
 
-def _lowest(m: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """By set: the least id of its connected component."""
-    low = ids.copy()
-    while True:
-        new = low.copy()
-        np.minimum.at(new, i, low[j])
-        np.minimum.at(new, j, new[i])
-        if (new == low).all():
-            return low
-        low = new
-
-
 MASK = 1 << 22
 
 
