@@ -74,12 +74,8 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
     return surely_not(df, column, buckets).unionByName(left)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's edges replaced by (v, least vertex that v reaches in them): as connected, and at most one a vertex."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not held:
-        return
-    a, b = (np.concatenate(x) for x in zip(*held))
+def stars(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Edges (v, least vertex that v reaches) in place of the edges (a, b): as connected, and at most one a vertex."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     low = lowest(len(ids), at[: len(a)], at[len(a) :])
     v = np.flatnonzero(low != np.arange(len(ids)))
@@ -87,6 +83,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[v[k : k + (1 << 16)]]), pa.array(ids[low[v[k : k + (1 << 16)]]])], names=["v", "u"])
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        yield from stars(*(np.concatenate(x) for x in zip(*held)))
+
+
 def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """By vertex of 0 .. n - 1: the least one of its component under the edges (i, j)."""
     low = np.arange(n)
@@ -100,17 +102,15 @@ def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(v, comp): each vertex of the undirected edges with the least vertex of its connected component.
+def components(edges: DataFrame) -> DataFrame:
+    """(v, comp): each vertex of the undirected edges (v, u) with the least vertex of its connected component.
 
-    Twice every partition first replaces its edges by stars, so that a dense group is carried on by its vertices rather than its
-    pairs. Then least labels spread with pointer jumping; each round is cut by a written table, and their number grows with the
+    First every partition replaces its edges by stars, so that a dense group is carried on by its vertices rather than its pairs.
+    Then least labels spread with pointer jumping; each round is cut by a written table, and their number grows with the
     logarithm of the longest path. An empty edge table gives an empty result; self loops and repeated edges change nothing.
     """
-    stars = edges.select(F.col(a).cast("bigint").alias("v"), F.col(b).cast("bigint").alias("u")).mapInArrow(_stars, "v bigint, u bigint")
-    stars = stars.repartition(partitions(edges.sparkSession), "u").mapInArrow(_stars, "v bigint, u bigint")
-    stars = materialise(stars, "stars")
-    both = materialise(stars.union(stars.select("u", "v")).distinct(), "edges")
+    few = materialise(edges.repartition(partitions(edges.sparkSession), "u").mapInArrow(_stars, "v bigint, u bigint"), "stars")
+    both = materialise(few.union(few.select("u", "v")).distinct(), "edges")
     label = materialise(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("comp")), "labels")
     while True:
         near = both.join(label.select(F.col("v").alias("u"), F.col("comp").alias("c")), "u").groupBy("v").agg(F.min("c").alias("c"))

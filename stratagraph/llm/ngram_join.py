@@ -23,16 +23,15 @@ def ngram_jaccard_join(docs: DataFrame, spec: setjoin.SetSpec = SPEC) -> DataFra
     document of a set gives one pair with the least, of Jaccard 1. So all similar pairs follow from the result, whose size
     doesn't grow with the square of the copies. docs needs doc_id and text; other columns aren't read. Rows whose doc_id or text
     is null, or whose text has no word, take no part; a text of fewer words than a shingle counts as one shingle; a repeated
-    doc_id is never paired with itself. No rows give no pairs.
+    doc_id is never paired with itself, and has pairs for each of its texts. No rows give no pairs.
     """
     own, rep, pairs = _members(docs, spec)
     copies = own.join(rep.select("set_id", "rep"), "set_id").filter("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.col("size").cast("bigint").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    a, b = (rep.select(F.col("set_id").alias(k), F.col("rep").alias(f"rep_{k}")) for k in "ab")
-    near = pairs.join(a, "a").join(b, "b").filter("rep_a <> rep_b").select(
-        F.least("rep_a", "rep_b").alias("doc_a"), F.greatest("rep_a", "rep_b").alias("doc_b"), F.col("overlap").cast("bigint").alias("overlap"),
+    near = pairs.filter("doc_a <> doc_b").select(
+        F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), F.col("overlap").cast("bigint").alias("overlap"),
         F.round(F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap")), 6).alias("jaccard"),
     )
-    return near.unionByName(copies).groupBy("doc_a", "doc_b").agg(F.max("overlap").alias("overlap"), F.max("jaccard").alias("jaccard"))
+    return near.unionByName(copies)
 
 
 def later_copies(docs: DataFrame, spec: setjoin.SetSpec = SPEC) -> DataFrame:

@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkernel as tk
 
-#: Postings that a map task holds before it hands them on, and pairs that a list join looks at together.
-FLUSH, PAIRS = 4 << 20, 4 << 20
+#: Postings that a map task holds before it hands them on, pairs that a list join looks at together, and pairs that it holds.
+#: They bound a worker's memory and leave nothing out.
+FLUSH, PAIRS, HELD_PAIRS = 2 << 20, 1 << 20, 2 << 20
 CHUNK = 1 << 16
 
 
@@ -176,7 +177,7 @@ def _postings(docs: DataFrame, spec: SetSpec, level, buckets: int) -> DataFrame:
 
 
 def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of one bucket's postings, (a, b, size of a, of b, tokens shared), a before b by (size, id).
+    """Pairs of one bucket's postings, (a, b, size of a, tokens shared), a before b by (size, id).
 
     A token's list is cut into blocks by position; a block is sorted by size. Given a posting (size s, position p) and a block
     whose least position is P, the bounds on positions are bounds on the partner's size, so the partners are one run of the
@@ -236,13 +237,13 @@ def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.nda
             new = np.ones(len(o), bool)
             new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1])
             at = np.flatnonzero(new)
-            yield a[o][at], b[o][at], size[i][o][at], size[j][o][at], np.diff(np.append(at, len(o)))
+            yield a[o][at], b[o][at], size[i][o][at], np.diff(np.append(at, len(o)))
 
 
 def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
-    """(a, b): pairs of set ids that may be similar; every similar pair is among them."""
+    """(v, u): edges that connect the set ids of every pair that may be similar, every similar pair among them."""
     spark = docs.sparkSession
-    buckets = max(1, common.partitions(spark) // 2)  # a pair is counted once in each bucket that it shares a token in
+    buckets = max(1, common.partitions(spark) // 3)  # a pair is counted once in each bucket that it shares a token in
     postings = _postings(docs, spec, spark.sparkContext.broadcast(level), buckets)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,13 +255,49 @@ def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
             return
         token, ids, size, pos, bits = (np.concatenate(x) for x in held)
         del held
+        some, n = [], 0
         for cols in _joined(spec, token, ids, size, pos, bits):
-            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["a", "b", "sa", "sb", "shared"])
-
-    pairs = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, b bigint, sa bigint, sb bigint, shared bigint")
-    pairs = pairs.groupBy("a", "b", "sa").agg(F.sum("shared").alias("shared"))
-    enough = F.col("shared") >= 1 + F.floor(F.lit(spec.slack) * F.col("sa") + F.lit(1e-9))
-    return pairs.filter(enough).select("a", "b")
+            some.append(cols)
+            n += len(cols[0])
+            if n > HELD_PAIRS:
+                yield from _by_first(*_summed(some))
+                some, n = [], 0
+        if some:
+            yield from _by_first(*_summed(some))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = []
+        for batch in batches:
+            n = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            a, size = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
+            some.append((a, batch.column(2).flatten().to_numpy(), size, batch.column(3).flatten().to_numpy()))
+        if some:
+            a, b, size, shared = _summed(some)
+            enough = shared >= spec.least_shared(size)
+            yield from common.stars(a[enough], b[enough])
+
+    pairs = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, size int, b array<bigint>, shared array<int>")
+    return pairs.repartition(common.partitions(spark), "a").mapInArrow(count, "v bigint, u bigint")
+
+
+def _summed(some: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a, b, size of a, tokens shared), each pair once, by a and b."""
+    a, b, size, shared = (np.concatenate(x) for x in zip(*some))
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    new = np.ones(len(o), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return a[at], b[at], size[o][at].astype(np.int64), np.add.reduceat(shared[o].astype(np.int64), at) if len(at) else shared
+
+
+def _by_first(a: np.ndarray, b: np.ndarray, size: np.ndarray, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each a, with its partners in lists: half the bytes of a row for each pair."""
+    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+    edges = pa.array(np.append(at, len(a)), pa.int32())
+    whole = pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(size[at], pa.int32()), pa.ListArray.from_arrays(edges, pa.array(b)), pa.ListArray.from_arrays(edges, pa.array(shared, pa.int32()))], names=["a", "size", "b", "shared"])
+    for k in range(0, len(at), 1 << 14):
+        yield whole.slice(k, 1 << 14)
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -311,7 +348,15 @@ def similar_pairs(flat: np.ndarray, size: np.ndarray, threshold: float) -> tuple
     out: list[tuple[np.ndarray, ...]] = []
 
     def count(tokens: np.ndarray) -> np.ndarray:
-        return np.bincount(by_token[_slices_of(begin[tokens], begin[tokens + 1])], minlength=m)
+        total = np.zeros(m, np.int64)
+        n = np.cumsum(begin[tokens + 1] - begin[tokens])
+        lo = 0
+        while lo < len(tokens):  # lists of PAIRS entries together, or one list
+            hi = max(lo + 1, int(np.searchsorted(n, (n[lo - 1] if lo else 0) + PAIRS, side="right")))
+            part = tokens[lo:hi]
+            total += np.bincount(by_token[_slices_of(begin[part], begin[part + 1])], minlength=m)
+            lo = hi
+        return total
 
     for k in range(m):
         mine = local[first[k] : first[k] + size[k]]
@@ -333,16 +378,17 @@ def similar_pairs(flat: np.ndarray, size: np.ndarray, threshold: float) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-_VERIFIED = "a bigint, b bigint, size_a int, size_b int, overlap int, low bigint"
+_VERIFIED = "a bigint, b bigint, doc_a bigint, doc_b bigint, size_a int, size_b int, overlap int, low bigint"
 
 
-def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, size_a, size_b, overlap, low): similar pairs of set ids; low: the least id of their group under similarity.
+def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, doc_a, doc_b, size_a, size_b, overlap, low): similar pairs of set ids, with the document that ``firsts`` has for each;
+    low: the least id of their group under similarity.
 
     firsts: (set_id, doc_id, row_key, line) of one unit of each set. Only the documents of candidates are scanned again, and each
     candidate's set is sent once, to its component of the candidate graph.
     """
-    comp = common.components(pairs, "a", "b")
+    comp = common.components(edges)
     wanted = common.materialise(firsts.join(comp, firsts.set_id == comp.v).select("set_id", "doc_id", "row_key", "line", "comp"), "wanted")
     source = _source(common.possibly(docs, "doc_id", common.id_buckets(wanted, "doc_id")))
     mask = docs.sparkSession.sparkContext.broadcast(_id_mask(wanted))
@@ -362,7 +408,7 @@ def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, pairs: DataFrame
 
     found = source.mapInArrow(fetch, "f_doc bigint, f_key bigint, f_line int, tokens array<bigint>")
     here = (found.f_doc == wanted.doc_id) & (found.f_key == wanted.row_key) & (found.f_line == wanted.line)
-    sets = found.join(wanted, here).select("comp", "set_id", "tokens")
+    sets = found.join(wanted, here).select("comp", "set_id", "doc_id", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "comp"):
@@ -372,13 +418,13 @@ def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, pairs: DataFrame
                 own = part.column("set_id").to_numpy()
                 once = np.concatenate([[True], own[1:] != own[:-1]])  # rows that repeat a document
                 part = part if once.all() else part.filter(pa.array(once))
-                ids, lists = part.column("set_id").to_numpy(), part.column("tokens").combine_chunks()
+                ids, docs_of, lists = part.column("set_id").to_numpy(), part.column("doc_id").to_numpy(), part.column("tokens").combine_chunks()
                 size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
                 i, j, ov = similar_pairs(lists.flatten().to_numpy(zero_copy_only=False), size, spec.threshold)
                 low = ids[common.lowest(len(ids), i, j)]
                 for k in range(0, len(i), 1 << 18):
                     x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(size[x].astype(np.int32)), pa.array(size[y].astype(np.int32)), pa.array(ov[k : k + (1 << 18)].astype(np.int32)), pa.array(low[x])], names=["a", "b", "size_a", "size_b", "overlap", "low"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(docs_of[x]), pa.array(docs_of[y]), pa.array(size[x].astype(np.int32)), pa.array(size[y].astype(np.int32)), pa.array(ov[k : k + (1 << 18)].astype(np.int32)), pa.array(low[x])], names=["a", "b", "doc_a", "doc_b", "size_a", "size_b", "overlap", "low"])
 
     return common.materialise(sets.repartition(common.partitions(docs.sparkSession), "comp").sortWithinPartitions("comp", "set_id").mapInArrow(verify, _VERIFIED), "verified")
 
@@ -404,7 +450,6 @@ def search(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame]:
     table = profile(docs, spec)
     occ = occurrences(table)
     firsts = occ.groupBy("set_id").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("f")).select("set_id", "f.*")
-    pairs = candidates(docs, spec, rarity(table, spec))
-    return occ, verified(docs, spec, firsts, pairs)
+    return occ, verified(docs, spec, firsts, candidates(docs, spec, rarity(table, spec)))
 
 
