@@ -87,7 +87,7 @@ def render_field(field: Column, detail: str) -> Column:
 
 def clean_hover(text: Column) -> Column:
     """A hover text without its fence lines."""
-    return F.trim(F.regexp_replace(text, "(?m)^```.*$\n?", ""))
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)^```.*$", ""), r"^\s+|\s+$", "")
 
 
 def tokens(text: Column, rounded_up: bool = False) -> Column:

@@ -8,25 +8,28 @@ import re
 import tomllib
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import paths
 from ..params import ScanConfig
 
+#: A larger file is no source text; its content is null.
+MOST_BYTES = 1 << 30
 IGNORE_FILES = (".stratagraphignore", ".eslintignore", ".prettierignore", ".stylelintignore")
 
 
 def source_files(spark: SparkSession, root: str, config: ScanConfig | None = None, include_all: bool = False) -> DataFrame:
     """(path, modified, length, content) of the files below root, by path; a single file gives itself, a missing path is an error.
 
-    Paths are tested before contents are read. .gitignore patterns of root apply; hidden files stay. Contents that aren't UTF-8
+    Paths are listed by the driver and read by the executors, which must reach root. .gitignore patterns of root apply; hidden files stay. Contents that aren't UTF-8
     are left out.
     """
     here = Path(root)
     if not here.exists():
         raise FileNotFoundError(root)
     base = f"file:{here.resolve() if here.is_dir() else here.resolve().parent}/"
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(here.resolve()))
+    df = _listed(spark, here.resolve())
     df = df.withColumn("path", F.substring("path", len(base) + 1, 1 << 20))
     ignore = gitignore_globs((here / ".gitignore").read_text()) if here.is_dir() and (here / ".gitignore").exists() else []
     keep = paths.included(F.col("path"), config or ScanConfig()) & ~paths.is_binary(F.col("path"))
@@ -36,6 +39,21 @@ def source_files(spark: SparkSession, root: str, config: ScanConfig | None = Non
     return df.select("path", F.col("modificationTime").alias("modified"), "length", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter("content IS NOT NULL").orderBy("path")
 
 
+def _listed(spark: SparkSession, root: Path) -> DataFrame:
+    """All files below root, those too that a directory listing of Spark hides: names that begin with a dot or an underscore."""
+    names = [str(root)] if root.is_file() else [os.path.join(d, f) for d, _, fs in os.walk(root, followlinks=False) for f in fs if not os.path.islink(os.path.join(d, f))]
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+
+    def read(batches):
+        for pdf in batches:
+            stats = [os.stat(p) for p in pdf["p"]]
+            yield pd.DataFrame({"path": "file:" + pdf["p"], "modificationTime": pd.to_datetime([s.st_mtime_ns // 1000 for s in stats], unit="us"), "length": [s.st_size for s in stats], "content": [Path(p).read_bytes() if s.st_size < MOST_BYTES else None for p, s in zip(pdf["p"], stats)]})
+
+    paths_ = spark.createDataFrame([(n,) for n in sorted(names)], "p string")
+    keep = ~paths.is_binary(F.col("p"))
+    return paths_.filter(keep).repartition(max(1, min(len(names) // 200 + 1, 1000))).mapInPandas(read, schema)
+
+
 def with_extensions(files: DataFrame, extensions: list[str]) -> DataFrame:
     return files.filter(paths.extension(F.col("path")).isin(*(e.lstrip(".").lower() for e in extensions)))
 
