@@ -11,7 +11,7 @@ _MODULUS = (1 << 32) - 1
 
 def paragraphs(text: Column) -> Column:
     """Lines without blanks at their ends; blank ones are left out."""
-    return F.filter(F.transform(F.split(text, "\n", -1), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, "\n", -1), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _digests(paragraph_hash: Column) -> Column:
