@@ -47,30 +47,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or name and underscores, so that df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _bucket(column: str):
-    return F.expr(f"xxhash64({column}) & {ID_BUCKETS - 1}")
+    return F.expr(f"xxhash64(cast(`{column}` as bigint)) & {ID_BUCKETS - 1}")
 
 
 def id_buckets(ids: DataFrame, column: str) -> DataFrame:
-    """The buckets that ids fall into: at most ID_BUCKETS rows, so it can be broadcast at any scale."""
-    return F.broadcast(ids.select(_bucket(column).alias("__bucket")).distinct())
+    """(bucket) that ids fall into: at most ID_BUCKETS rows, so it can be broadcast at any scale."""
+    return ids.select(_bucket(column).alias("bucket")).distinct()
+
+
+def _in_buckets(df: DataFrame, column: str, buckets: DataFrame, how: str) -> DataFrame:
+    name = free(df, "bucket")
+    few = F.broadcast(buckets.select(F.col("bucket").alias(name)))  # ID_BUCKETS rows at most
+    return df.join(few, _bucket(column) == F.col(name), how)
 
 
 def possibly(df: DataFrame, column: str, buckets: DataFrame) -> DataFrame:
     """Rows that may carry one of the ids: all that do and a few others. No shuffle of df."""
-    return df.join(buckets, _bucket(column) == F.col("__bucket"), "left_semi")
+    return _in_buckets(df, column, buckets, "left_semi")
 
 
 def surely_not(df: DataFrame, column: str, buckets: DataFrame) -> DataFrame:
     """The rest: rows that carry none of the ids, nulls included."""
-    return df.join(buckets, _bucket(column) == F.col("__bucket"), "left_anti")
+    return _in_buckets(df, column, buckets, "left_anti")
 
 
 def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
     """df less the rows whose id is in ids. Only rows in the ids' buckets are shuffled; the others stay where they were read."""
-    ids = ids.select(F.col(column).alias("__id")).distinct()
-    buckets = id_buckets(ids, "__id")
-    left = possibly(df, column, buckets).join(ids, F.col(column) == F.col("__id"), "left_anti")
+    name = free(df, "id")
+    ids = ids.select(F.col(column).alias(name)).filter(F.col(name).isNotNull()).distinct()
+    buckets = id_buckets(ids, name)
+    left = possibly(df, column, buckets).join(ids, F.col(column) == F.col(name), "left_anti")
     return surely_not(df, column, buckets).unionByName(left)
 
 

@@ -35,15 +35,15 @@ def line_dedup(docs: DataFrame, spec: setjoin.SetSpec = SPEC) -> DataFrame:
     """
     gone = removed_lines(docs, spec)
     buckets = common.id_buckets(gone, "doc_id")
-    names = docs.columns
-    change = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("row_key").alias("__key")).agg(F.collect_set("line").alias("__gone"))
+    d, k, g, t = (common.free(docs, x) for x in ("gone_doc", "gone_key", "gone_lines", "kept_text"))
+    change = gone.groupBy(F.col("doc_id").alias(d), F.col("row_key").alias(k)).agg(F.collect_set("line").alias(g))
     some = common.possibly(docs, "doc_id", buckets)
-    some = some.join(change, (F.col("doc_id") == F.col("__doc")) & (F.expr("xxhash64(text)") == F.col("__key")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    some = some.withColumn("__text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    some = some.filter(F.col("__gone").isNull() | F.col("__text").rlike(r"\S"))
-    cols = {"text": F.col("__text")}
-    if "n_chars" in names:
-        cols["n_chars"] = F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("__text").cast(docs.schema["n_chars"].dataType))
-    some = some.select(*(cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in names))
+    some = some.join(change, (F.col("doc_id") == F.col(d)) & (F.expr("xxhash64(text)") == F.col(k)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(g, i)), "\n")
+    some = some.withColumn(t, F.when(F.col(g).isNull(), F.col("text")).otherwise(kept))
+    some = some.filter(F.col(g).isNull() | F.col(t).rlike(r"\S"))
+    cols = {"text": F.col(t)}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length(t).cast(docs.schema["n_chars"].dataType))
+    some = some.select(*(cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns))
     return common.surely_not(docs, "doc_id", buckets).unionByName(some)
