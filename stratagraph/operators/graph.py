@@ -42,44 +42,67 @@ def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = Ranking
 
     p: unnormalised teleport weights. A rank follows each edge in proportion to w of all that leave its node; where edges carry
     a confidence, that share is multiplied by it and the rest is lost. The rank of nodes without edges out is spread like p.
-    Stops after so many iterations, or once no rank moves by the tolerance, tested each time the lineage is cut. One shuffle
-    of the ranks to their edges and one of the contributions an iteration; the edges are laid out once.
+    Stops after so many iterations, or once no rank moves by the tolerance in CUT_EVERY of them. Each iteration sends the ranks to
+    their edges and the flows back; a block of CUT_EVERY iterations is one plan that reads each step once. What dangling nodes
+    hold is a number a step, and all is linear in it, so a block runs without it and adds it at the end.
     """
-    limit, epsilon = iterations or config.max_iterations, config.epsilon if tolerance is None else tolerance
+    limit, epsilon, alpha = iterations or config.max_iterations, config.epsilon if tolerance is None else tolerance, config.alpha
     total, n = nodes.agg(F.sum("p"), F.count("*")).first()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     share = F.col("w") / F.col("out") * (F.col("confidence") if "confidence" in edges.columns else F.lit(1.0))
-    steps = materialise(edges.join(out, "src").select("src", "dst", share.alias("share")).groupBy("src", "dst").agg(F.sum("share").alias("share")).repartition("src"), "steps")
-    teleport = materialise(nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left").select("node", (F.col("p") / F.lit(total)).alias("p"), F.col("leads").isNull().alias("dangling")), "teleport")
-    ranks = teleport.select("node", "p", "dangling", F.lit(1.0 / n).alias("rank"))
-    before = ranks
-    for k in range(1, limit + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        flow = steps.join(ranks.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        moved = teleport.join(flow, "node", "left").crossJoin(F.broadcast(loose))  # loose has one row
-        ranks = moved.select("node", "p", "dangling", ((1 - config.alpha) * F.col("p") + config.alpha * (F.coalesce("flow", F.lit(0.0)) + F.col("loose") * F.col("p"))).alias("rank"))
-        if k % CUT_EVERY == 0 or k == limit:
-            ranks = materialise(ranks, "ranks")
-            if epsilon > 0 and k < limit:
-                change = ranks.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if change is not None and change < epsilon:
-                    break
-            before = ranks
-    return ranks.select("node", "rank")
+    start = nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left")
+    start = start.select("node", (F.col("p") / F.lit(total)).alias("p"), F.col("leads").isNull().alias("dangling"))
+    steps = edges.join(out, "src").groupBy(F.col("src").alias("node"), "dst").agg(F.sum(share).alias("share")).withColumn("own", F.lit(False))
+    # A row from each node to itself brings its columns along, so that a step reads the one before it once.
+    steps = materialise(steps.unionByName(start.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))), "steps")
+    block = min(CUT_EVERY, limit)
+
+    def spread(table: DataFrame, base: Column) -> DataFrame:
+        """table with y replaced by base + alpha times what flows in along the edges."""
+        kept = [c for c in table.columns if c not in ("node", "y")]
+        moved = steps.join(table, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("y") * F.col("share")).alias("y"), *(F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept))
+        return moved.withColumn("y", base + alpha * F.col("y"))
+
+    # What a unit of rank that leaves dangling nodes becomes after 0, 1, .. steps: z0, z1, ..
+    state = start.withColumn("y", alpha * F.col("p")).withColumn("z0", F.col("y"))
+    for i in range(1, block):
+        state = spread(state, F.lit(0.0)).withColumn(f"z{i}", F.col("y"))
+    units = materialise(state.select("node", "dangling", *(f"z{i}" for i in range(block))), "units")
+    held = F.col("dangling").cast("double")
+    lost_z = units.agg(*(F.coalesce(F.sum(held * F.col(f"z{i}")), F.lit(0.0)) for i in range(block))).first()
+    state = start.withColumn("rank", F.lit(1.0 / n))
+    for begin in range(0, limit, block):
+        k = min(block, limit - begin)
+        run = state.withColumn("y", F.col("rank"))
+        for i in range(k):
+            run = spread(run.withColumn(f"y{i}", F.col("y")), (1 - alpha) * F.col("p"))
+        run = materialise(run.join(units.drop("dangling"), "node"), "ranks")
+        lost_y = run.agg(*(F.sum(held * F.col(f"y{i}")) for i in range(k))).first()
+        loose: list[float] = []  # by step: the rank that dangling nodes hold, which the block left out so far
+        for i in range(k):
+            loose.append(lost_y[i] + sum(loose[j] * lost_z[i - 1 - j] for j in range(i)))
+        after = F.col("y")
+        for j in range(k):
+            after = after + F.lit(loose[j]) * F.col(f"z{k - 1 - j}")
+        moved = run.withColumn("old", F.col("rank")).withColumn("rank", after)
+        state = moved.select("node", "p", "dangling", "rank")
+        if epsilon > 0 and begin + k < limit and moved.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0] < epsilon:
+            break
+    return state.select("node", "rank")
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5) -> DataFrame:
     """(file, sym, weight) of symbol edges (from_file, from_sym, to_file, to_sym) and seeds(sym): decay to the power of the least
     number of edges, in either direction, from a symbol whose name is a seed. Symbols without an edge don't occur."""
     there = edges.select(F.struct(F.col("from_file").alias("file"), F.col("from_sym").alias("sym")).alias("a"), F.struct(F.col("to_file").alias("file"), F.col("to_sym").alias("sym")).alias("b"))
-    both = there.union(there.select("b", "a")).distinct()
+    both = materialise(there.union(there.select("b", "a")).distinct(), "links")
     reached = both.select("a").distinct().join(seeds.select(F.col("sym").alias("s")).distinct(), F.col("a.sym") == F.col("s")).select("a", F.lit(0).alias("hop"))
-    frontier = reached
     for hop in range(1, hops + 1):
-        frontier = both.join(frontier.select("a"), "a").select(F.col("b").alias("a")).distinct().join(reached, "a", "left_anti").select("a", F.lit(hop).alias("hop"))
-        reached = reached.unionAll(frontier)
+        reached = materialise(reached, "reached")
+        near = both.join(reached.filter(F.col("hop") == hop - 1).select("a"), "a", "left_semi").select(F.col("b").alias("a")).distinct()
+        reached = reached.unionAll(near.join(reached, "a", "left_anti").select("a", F.lit(hop).alias("hop")))
     return reached.select("a.file", "a.sym", F.pow(F.lit(decay), F.col("hop")).alias("weight"))
 
 

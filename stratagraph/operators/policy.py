@@ -63,9 +63,10 @@ def bicameral(tags: DataFrame, heuristics: DataFrame, lookup: DataFrame, p: Poli
     lookup(file, line, type_name) until a wave yields too little, and a file leaves the pool once it has an answer; then the final
     graph holds typed candidates too, and the two rankings are correlated. Each wave is cut by a written table.
     """
+    tags, heuristics = materialise(tags, "tags"), materialise(heuristics, "heuristics")
     defs, refs = resolve.definitions(tags), resolve.references(tags)
     shadow = materialise(resolve.call_graph(tags, heuristics, Coordinates.shadow()), "shadow")
-    ranks = function_ranks(tags, shadow, iterations=iterations, tolerance=0.0)
+    ranks = materialise(function_ranks(tags, shadow, iterations=iterations, tolerance=0.0), "before")
     pool = signals(tags, ranks, resolve.confidences(tags, heuristics, Coordinates.shadow()), graph.degrees(function_edges(shadow)))
     score = scores.site_score(F.col("centrality"), F.col("percentile"), F.col("confidence"), F.col("coherence"), F.col("is_root"), F.col("bridge"), p)
     pool = materialise(pool.withColumn("score", score).withColumn("site", F.concat_ws(":", "file", "line", "name", "seq")), "pool")
