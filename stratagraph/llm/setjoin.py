@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkernel as tk
 
-#: Postings that a map task holds before it hands them on, pairs that a list join looks at together, and pairs that it holds.
+#: Postings that a map task holds before it hands them on, pairs that a list join looks at together, pairs that it holds, and
+#: postings that it joins at a time (whole lists; a longer list is one step).
 #: They bound a worker's memory and leave nothing out.
-FLUSH, PAIRS, HELD_PAIRS = 2 << 20, 1 << 20, 2 << 20
+FLUSH, PAIRS, HELD_PAIRS, POSTINGS = 1 << 20, 1 << 20, 2 << 20, 1 << 19
 CHUNK = 1 << 16
 
 
@@ -87,15 +88,21 @@ def profile(docs: DataFrame, spec: SetSpec) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << spec.sketch_bits, np.uint32)
-        low = tk.U(len(counts) - 1)
+        low, seen, n = tk.U(len(counts) - 1), [], 0
         for batch in batches:
             for doc, key, line, row, h in units(batch, spec):
                 s = tk.token_sets(row, h, len(doc))
-                counts += np.bincount((s.token & low).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+                seen.append((s.token & low).astype(np.uint32))
+                n += len(s.token)
+                if n > FLUSH:
+                    counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
+                    seen, n = [], 0
                 ids = tk.set_ids(s)
                 some = s.size > 0
                 cols = [pa.array([x[some]], t) for x, t in ((doc, "l"), (key, "l"), (line.astype(np.int32), "i"), (ids, "l"), (s.size.astype(np.int32), "i")) for t in [pa.list_({"l": pa.int64(), "i": pa.int32()}[t])]]
                 yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), *cols], names=names)
+        if seen:
+            counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes()]), *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=names)
@@ -254,14 +261,20 @@ def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
         if not held[0]:
             return
         token, ids, size, pos, bits = (np.concatenate(x) for x in held)
-        del held
-        some, n = [], 0
-        for cols in _joined(spec, token, ids, size, pos, bits):
-            some.append(cols)
-            n += len(cols[0])
-            if n > HELD_PAIRS:
-                yield from _by_first(*_summed(some))
-                some, n = [], 0
+        del held, batch
+        order = np.argsort(token)
+        ends = np.flatnonzero(np.append(token[order][1:] != token[order][:-1], True)) + 1 if len(order) else order
+        some, n, lo = [], 0, 0
+        while lo < len(order):
+            hi = int(ends[min(np.searchsorted(ends, lo + POSTINGS), len(ends) - 1)])
+            part = order[lo:hi]
+            lo = hi
+            for cols in _joined(spec, token[part], ids[part], size[part], pos[part], bits[part] if spec.parity else bits):
+                some.append(cols)
+                n += len(cols[0])
+                if n > HELD_PAIRS:
+                    yield from _by_first(*_summed(some))
+                    some, n = [], 0
         if some:
             yield from _by_first(*_summed(some))
 
