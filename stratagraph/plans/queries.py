@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import paths, scores, text
-from ..operators import boosts, extract, graph, history, metrics, policy, render, resolve, runs, search
+from ..operators import boosts, extract, graph, history, metrics, policy, prompts, render, resolve, runs, search
 from ..params import PARAMETERS, Coordinates, Policy, RankingConfig, ScanConfig
 from .adapters import oracle, view
 
@@ -797,6 +797,57 @@ def section_diff(v, spark):
     return runs.diff(n.filter("n_regionkey <> 0").select(F.col("n_name").alias("k"), F.col("n_regionkey").alias("x")), n.filter("n_regionkey <> 1").select(F.col("n_name").alias("k"), (F.col("n_regionkey") % 3).alias("x")), "k", "x")
 
 
+@query("SELECT DISTINCT event_type FROM {series}")
+def unique_prompts(v, spark):
+    return prompts.unique_prompts(v("series"), "event_type")
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thon')")
+def episode_search(v, spark):
+    return prompts.search_episodes(v("conversations"), "text", "Thon").select("conv_id", "turn")
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS item, min(step) AS seen FROM {series} GROUP BY user_id, event_type) SELECT user_id, list(item ORDER BY seen) AS insights FROM f GROUP BY user_id""")
+def insight_union(v, spark):
+    return prompts.insights(v("series").select("user_id", "step", F.array("event_type").alias("items")), "user_id", "step", "items")
+
+
+@query("""WITH l AS (SELECT c_custkey AS k, c_nationkey / 24.0E0 AS a, c_acctbal / 10000 AS b FROM customer) SELECT k, lever, round(value, 6) AS value FROM (SELECT k, 'a' AS lever, a AS value FROM l UNION ALL SELECT k, 'b', b FROM l) WHERE value < 0.1 OR value > 0.9""")
+def extreme_levers(v, spark):
+    l = v("customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") / 24).alias("a"), (F.col("c_acctbal") / 10000).alias("b"))  # noqa: E741
+    return prompts.extremes(l, ["k"], ["a", "b"]).select("k", "lever", _r("value", "value"))
+
+
+@query("""SELECT n_nationkey AS k, CASE n_regionkey WHEN 0 THEN n_name || chr(10) || 'x' WHEN 1 THEN 'x' || chr(10) || n_name WHEN 2 THEN replace(n_name, 'A', 'x') WHEN 3 THEN replace(n_name, 'A', '') ELSE 'x' END AS content FROM nation""")
+def prompt_edits(v, spark):
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("append", "prepend", "replace", "delete", "set"))), F.col("n_regionkey") + 1)
+    return v("nation").select(F.col("n_nationkey").alias("k"), prompts.edited(F.col("n_name"), kind, F.lit("A"), F.lit("x")).alias("content"))
+
+
+@query("""SELECT count(*) FILTER (kind = 'def') AS definitions, count(*) FILTER (kind = 'ref') AS "references", (SELECT count(*) FROM {page_files} WHERE NOT regexp_matches(path, '[.]html$')) AS considered, (SELECT count(*) FROM {page_files} WHERE regexp_matches(path, '[.]html$')) AS excluded FROM {tags}""")
+def report_counts(v, spark):
+    f, html = v("page_files"), paths.extension(F.col("path")) == "html"
+    return prompts.report(v("tags"), f.filter(~html), f.filter(html))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS "case" FROM nation), k AS (SELECT s_nationkey AS "case", s_name AS item FROM supplier WHERE s_acctbal > 0), m AS (SELECT n_nationkey AS "case", n_name AS item FROM nation)
+SELECT "case", item FROM c JOIN k USING ("case") UNION ALL SELECT "case", item FROM c ANTI JOIN k USING ("case") JOIN m USING ("case")""")
+def fallback_distractors(v, spark):
+    c = v("nation").select(F.col("n_nationkey").alias("case"), F.col("n_name").alias("item"))
+    return prompts.with_fallback(c, v("supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("case"), F.col("s_name").alias("item")), c)
+
+
+@query(f"SELECT src_file, src_name, dst_file, dst_name, call_site FROM ({_CALLS}) WHERE src_name = 'the'")
+def calls_from(v, spark):
+    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    return g.filter("src_name = 'the'").select("src_file", "src_name", "dst_file", "dst_name", "call_site")
+
+
+@query("SELECT file, name, line, '[' || kind || ']' AS badge FROM {tags}")
+def badge_labels(v, spark):
+    return v("tags").select("file", "name", "line", text.badge(F.col("kind")).alias("badge"))
+
+
 # ---- cache ----------------------------------------------------------------------------------------------------------
 
 _CACHE = "SELECT concat(source, '/', doc_id) AS file, n_chars AS mtime_s, CASE WHEN lang = 'en' THEN 0 ELSE 7 END AS mtime_ns, octet_length(encode(text)) AS bytes FROM documents WHERE lang <> 'de'"

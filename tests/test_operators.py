@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.functions import paths, scores, text
-from stratagraph.operators import boosts, extract, graph, history, metrics, policy, render, resolve, runs, search
+from stratagraph.operators import boosts, extract, graph, history, metrics, policy, prompts, render, resolve, runs, search
 from stratagraph.params import Coordinates, Policy, RankingConfig, ScanConfig, to_config
 from stratagraph.sources import catalog, files, gitlog
 from stratagraph.streaming import history as streams
@@ -323,3 +323,9 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.table("closed").collect()) == [1, 2]
+
+
+def test_prompt_files(tmp_path):
+    prompts.save_prompt(str(tmp_path), "p1", 2, {"Role": "You rank.\nWell.", "Task": "Go"}, "p0", ("Role",))
+    got = prompts.load_prompts(str(tmp_path))["p1"]
+    assert got == {"id": "p1", "version": 2, "parent": "p0", "immutable": ["Role"], "sections": {"Role": "You rank.\nWell.", "Task": "Go"}}
