@@ -59,7 +59,7 @@ def glob_filter(v, spark):
     return v("page_files").filter(paths.included(F.col("path"), config)).select("path")
 
 
-@query("SELECT path, CAST(lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\\.([^.]*)$', 1)) IN ('html', 'pdf', 'zip') AND lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\\.([^.]*)$', 1)) <> 'html' AS BOOLEAN) AS excluded FROM {page_files}")
+@query("SELECT path, lower(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '\\.([^.]*)$', 1)) IN ('pdf', 'zip', 'png', 'gz') AS excluded FROM {page_files}")
 def binary_filter(v, spark):
     return v("page_files").select("path", paths.is_binary(F.col("path")).alias("excluded"))
 

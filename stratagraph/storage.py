@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,7 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
     if here is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        here = f"file://{tempfile.mkdtemp(prefix='stratagraph-')}"
+        folder = tempfile.mkdtemp(prefix="stratagraph-")
+        atexit.register(shutil.rmtree, folder, True)
+        here = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", here)
         spark.sparkContext.setCheckpointDir(here)
     return here
@@ -23,5 +27,5 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it needs no executor that made it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
