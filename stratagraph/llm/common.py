@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..storage import materialise
+
+__all__ = ["components", "id_buckets", "materialise", "partitions", "possibly", "read_table", "surely_not", "without_ids"]
+
 #: Buckets of the id filter that is broadcast: at most this many BIGINTs (8 MB), whatever the size of the data.
 ID_BUCKETS = 1 << 20
 
@@ -18,31 +20,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor reaches, from ``spark.checkpoint.dir``.
-
-    Where the setting is absent a local master gets a temporary folder; any other master is refused, as a machine-local
-    folder would lose data with its machine.
-    """
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if here:
-        return here
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    here = f"file://{tempfile.mkdtemp(prefix='stratagraph-')}"
-    spark.conf.set("spark.checkpoint.dir", here)
-    spark.sparkContext.setCheckpointDir(here)
-    return here
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there and no executor is needed for it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
