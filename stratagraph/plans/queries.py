@@ -428,7 +428,7 @@ def cochange_coupling(v, spark):
 @query(_PAIRS + """, z AS (SELECT a AS file, b AS mate, round(jaccard, 9) AS jaccard FROM c WHERE jaccard >= 0.02 UNION ALL SELECT b, a, round(jaccard, 9) FROM c WHERE jaccard >= 0.02)
 SELECT file, mate, round(jaccard, 6) AS jaccard, row_number() OVER (PARTITION BY file ORDER BY jaccard DESC, mate) AS rn FROM z""")
 def temporal_jaccard(v, spark):
-    return history.temporal_mates(v("commit_files"), 0.02, 20).select("file", "mate", _r("jaccard", "jaccard"), "rn")
+    return history.temporal_mates(v("commit_files"), 0.02).select("file", "mate", _r("jaccard", "jaccard"), "rn")
 
 
 @query("""WITH d AS (SELECT DISTINCT sha, file FROM {commit_files}), s AS (SELECT sha FROM d GROUP BY sha HAVING count(*) BETWEEN 2 AND 20) SELECT a.sha, a.file AS seed, b.file AS related FROM d a JOIN d b ON a.sha = b.sha AND a.file <> b.file SEMI JOIN s ON s.sha = a.sha""")
