@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
+from ..storage import shared_folder
 from . import common, tokenizer
 
 #: Tokens in a sequence, sequences in a shard, and the permutation's key.
@@ -104,34 +105,65 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, vocabula
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer.load(vocabulary)
-        os.makedirs(folder, exist_ok=True)
-        now, held = None, []
-
-        def close() -> pa.RecordBatch:
-            data = b"".join(held)
-            final = f"{folder}/shard-{now:08d}.bin"
-            with open(part := f"{final}.{os.getpid()}", "wb") as f:
-                f.write(data)
-            os.replace(part, final)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()])], names=["shard", "sequences", "sha256"])
-
-        for batch in batches:
-            for s, tokens in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if s != now:
-                    if held:
-                        yield close()
-                    now, held = s, []
-                ids = np.full(length, t.end, t.dtype)
-                own = np.frombuffer(tokens.as_py(), t.dtype)
-                ids[: len(own)] = own
-                held.append(ids.tobytes())
-        if held:
-            yield close()
+        for shard, held, _, sha256 in _written(batches, folder, length, vocabulary):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([held.num_rows], pa.int64()), pa.array([sha256])], names=["shard", "sequences", "sha256"])
 
     return ordered.select("shard", "tokens").mapInArrow(write, "shard bigint, sequences bigint, sha256 string")
 
 
+def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabulary: str) -> Iterator[tuple[int, pa.Table, str, str]]:
+    """(shard, its rows but for tokens, path, sha256) of each shard once it is written; a shard's rows follow each other."""
+    t = tokenizer.load(vocabulary)
+    os.makedirs(folder, exist_ok=True)
+    now, data, rows = None, [], []
+
+    def close() -> tuple[int, pa.Table, str, str]:
+        whole = b"".join(data)
+        final = f"{folder}/shard-{now:08d}.bin"
+        with open(part := f"{final}.{os.getpid()}", "wb") as f:
+            f.write(whole)
+        os.replace(part, final)
+        return now, pa.Table.from_batches(rows), final, hashlib.sha256(whole).hexdigest()
+
+    for batch in batches:
+        of, rest, lo = batch.column("shard").to_pylist(), batch.drop_columns(["tokens"]), 0
+        for k, (s, tokens) in enumerate(zip(of, batch.column("tokens"))):
+            if s != now:
+                if k > lo:
+                    rows.append(rest.slice(lo, k - lo))
+                if data:
+                    yield close()
+                now, data, rows, lo = s, [], [], k
+            ids = np.full(length, t.end, t.dtype)
+            own = np.frombuffer(tokens.as_py(), t.dtype)
+            ids[: len(own)] = own
+            data.append(ids.tobytes())
+        if len(of) > lo:
+            rows.append(rest.slice(lo))
+    if data:
+        yield close()
+
+
+def training_shards(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, piece, n_tokens, path, sha256): the training order with its shards written.
+
+    The shards lie in a new folder of the shared folder when this returns: shard's file is path, sha256 is of its bytes, and a
+    slot's tokens are the first n_tokens ids at byte_offset. The rows are a written table, so reading them writes nothing again.
+    The shared folder must be mounted as files, as shards are mapped by their readers.
+    """
+    folder = shared_folder(docs.sparkSession, "shards")
+    ordered = training_order(docs, length, shard, key, vocabulary)
+    kept = [c for c in ordered.columns if c != "tokens"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows, path, sha256 in _written(batches, folder, length, vocabulary):
+            rows = rows.combine_chunks().append_column("path", pa.array([path] * rows.num_rows)).append_column("sha256", pa.array([sha256] * rows.num_rows))
+            yield from rows.to_batches()
+
+    kinds = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in kept)
+    return common.materialise(ordered.mapInArrow(write, f"{kinds}, path string, sha256 string"), "slots")
+
+
 def read_shard(path: str, first: int = 0, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> np.ndarray:
     """Sequences of a shard from number first on, mapped rather than read: training resumes at any slot."""
     dtype = tokenizer.load(vocabulary).dtype

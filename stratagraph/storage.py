@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's plain path in the shared folder, for files that Python writes and maps; ValueError if it isn't mounted as files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    at = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    if at.getScheme() != "file":
+        raise ValueError(f"spark.checkpoint.dir must be a mounted folder to write {name}, not {at.getScheme()}:")
+    return at.getPath()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it needs no executor that made it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
