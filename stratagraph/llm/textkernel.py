@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WORD = re.compile(r"\w+")
+#: What no word holds, but for ASCII, which the kernel tells apart by itself.
+NOT_WORD = re.compile(r"[^\w\x00-\x7f]")
 U = np.uint64
 #: Bytes of text hashed at once: bounds the work arrays, not the texts (a longer text is one slice).
 SLICE_BYTES = 2 << 20
@@ -81,14 +82,14 @@ def _odd(data: np.ndarray) -> np.ndarray:
 
 
 def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, bytes) of the lower-cased texts, ready for _IS_WORD."""
+    """(offsets, bytes) of the lower-cased texts, ready for _IS_WORD; ASCII punctuation stays, other characters of no word are blanks."""
     off, data = buffers(texts)
     where = np.flatnonzero(_odd(data))
     if len(where):
         rows = np.unique(np.searchsorted(off, where, side="right") - 1)
         plain = texts.to_pylist()
         for r in rows.tolist():
-            plain[r] = " ".join(WORD.findall(plain[r].lower()))
+            plain[r] = NOT_WORD.sub(" ", plain[r].lower())
         texts = pa.array(plain, pa.large_string())
     return buffers(pc.utf8_lower(texts))
 
