@@ -77,8 +77,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     within one window as long as the item.
 
     The item's shingles are ordered by rarity over all documents; a document that shares `need` = ceil(share * m) of the m
-    shingles shares one of the m - need + 1 rarest, so only those are joined. A document of fewer shingles than need, or with
-    fewer hits left from the first joined position on, is no candidate. Windows of every candidate are then counted exactly.
+    shingles shares one of the m - need + 1 rarest, so only those are joined. A document of fewer shingles than need is
+    no candidate; that need shingles are left from the first joined rank on is the prefix's own condition, so no further position
+    bound acts. Hits are found for the whole vocabulary first. Windows of every candidate are then counted exactly.
 
     docs needs doc_id and text, benchmark item_id and text; other columns aren't read. Rows with a null there take no part; a
     text of fewer words than a shingle is one shingle of all its words, so such an item is found only where it is a whole
