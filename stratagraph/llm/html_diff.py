@@ -18,6 +18,7 @@ _HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|head)\b.*?</\
 _BLOCK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|footer|header|main|aside|blockquote|pre|d[dlt]|form|hr|figure|figcaption|option|title|body|html)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[^>]*>")
 _URL = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)"
+_QUERY = r"^[^?#]*\?([^#]*)"
 
 
 def text_lines(page: str) -> list[str]:
@@ -64,6 +65,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.rtrim(F.regexp_extract(url, _URL, 2), F.lit("/")), F.lit(""))
 
 
+def query_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, _QUERY, 1), F.lit(""))
+
+
 def _near(path: str, other: str) -> int:
     return len(os.path.commonprefix([path, other]))
 
@@ -74,8 +79,9 @@ def page_differences(pages: DataFrame) -> DataFrame:
     A page's partner is the page of the same host whose path (without query, fragment and slashes at its end) is next to its own
     in the sorted paths of the host: of the one before and the one after, that which shares the longer beginning; the one before
     in a tie. Pages of one path are versions of a page and never each other's partner; the least page_id stands for them (null
-    before others). The lines on a longest common subsequence of both pages are deleted. A page without a partner, as the only
-    path of its host, or without a host in its URL, keeps its lines, and partner_id is null; a null html gives an empty text.
+    before others). Where a host has a single path, its pages are told apart by their query string instead, by the same rules. The
+    lines on a longest common subsequence of both pages are deleted. A page without a partner, as the only path and query of its
+    host, or without a host in its URL, keeps its lines, and partner_id is null; a null html gives an empty text.
     Every row gives a row. Other columns aren't read.
 
     One light pass over the URLs finds bounds of equal ranges of (host, path); then each page's lines are sent once, to its
@@ -83,7 +89,7 @@ def page_differences(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     n = common.partitions(spark)
-    keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("html").cast("string").alias("html"))
+    keyed = pages.select(F.col("page_id").cast("bigint").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), query_of(F.col("url")).alias("query"), F.col("html").cast("string").alias("html"))
     ranges = keyed.select("host", "path").repartitionByRange(n, "host", "path")
     ranges = ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("host", "path")).alias("least"), F.max(F.struct("host", "path")).alias("most"))
     ends = sorted((tuple(r.least), tuple(r.most)) for r in ranges.collect())  # a row for each range
@@ -93,44 +99,55 @@ def page_differences(pages: DataFrame) -> DataFrame:
         most, least = sent.value
         for batch in batches:
             out: list[tuple] = []
-            for page_id, host, path, page in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for page_id, host, path, query, page in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 lines = "\n".join(text_lines(page or ""))
                 own = bisect_left(most, (host, path))
-                out.append((own, False, host, path, page_id, lines))
+                out.append((own, False, host, path, query, page_id, lines))
                 if own and least[own] == (host, path):
-                    out.append((own - 1, True, host, path, page_id, lines))
+                    out.append((own - 1, True, host, path, query, page_id, lines))
                 if own + 1 < len(most) and most[own] == (host, path):
-                    out.append((own + 1, True, host, path, page_id, lines))
+                    out.append((own + 1, True, host, path, query, page_id, lines))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["range", "beside", "host", "path", "page_id", "lines"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()))], names=["range", "beside", "host", "path", "query", "page_id", "lines"])
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = now = None  # (key, id and lines of the first, rows to give)
 
+        def by_query(rows) -> dict[str, tuple | None]:
+            first: dict[str, tuple] = {}
+            for page_id, lines, query in rows:
+                first.setdefault(query, (query, page_id, lines))
+            order = sorted(first)
+            beside = {q: order[max(k - 1, 0) : k] + order[k + 1 : k + 2] for k, q in enumerate(order)}
+            return {q: first[max(near, key=lambda x: _near(q, x))] if near else None for q, near in beside.items()}
+
         def result(before, now, after) -> pa.RecordBatch | None:
             rows = now[3]
             host, path = now[0]
             beside = [x for x in (before, after) if host and x and x[0][0] == host]
             partner = max(beside, key=lambda x: _near(path, x[0][1])) if beside else None
+            of = by_query(rows) if host and not beside else {}  # no path beside it: the only one of its host
             out = []
-            for page_id, lines in rows:
+            for page_id, lines, query in rows:
+                if of:
+                    partner = of[query]
                 own = lines.split("\n") if lines else []
                 gone = shared_lines(own, partner[2].split("\n") if partner[2] else []) if partner else ()
                 out.append((page_id, partner[1] if partner else None, len(own), len(gone), "\n".join(x for i, x in enumerate(own) if i not in gone)))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["page_id", "partner_id", "n_lines", "n_shared", "text"]) if out else None
 
         for batch in batches:
-            for beside, host, path, page_id, lines in zip(*(batch.column(k).to_pylist() for k in range(1, 6))):
+            for beside, host, path, query, page_id, lines in zip(*(batch.column(k).to_pylist() for k in range(1, 7))):
                 if now is None or now[0] != (host, path):
                     after = ((host, path), page_id, lines, [])
                     if now is not None and (got := result(before, now, after)) is not None:
                         yield got
                     before, now = now, after
                 if not beside:
-                    now[3].append((page_id, lines))
+                    now[3].append((page_id, lines, query))
         if now is not None and (got := result(before, now, None)) is not None:
             yield got
 
-    lines = keyed.mapInArrow(scan, "range int, beside boolean, host string, path string, page_id bigint, lines string")
+    lines = keyed.mapInArrow(scan, "range int, beside boolean, host string, path string, query string, page_id bigint, lines string")
     placed = lines.repartitionById(n, F.col("range")).sortWithinPartitions("host", "path", "page_id", "lines")
     return placed.mapInArrow(differ, "page_id bigint, partner_id bigint, n_lines bigint, n_shared bigint, text string")
