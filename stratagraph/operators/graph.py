@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text
 from ..params import RankingConfig
-from ..storage import materialise
+from ..storage import bucketed, materialise
 
 CUT_EVERY = 5
+#: Nodes and edges, together, that one task ranks by itself (about 100 MB of arrays).
+SMALL = 1 << 20
+MOST_TARGETS = 1000
 
 
 def file_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
@@ -37,27 +44,63 @@ def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = RankingConfig(), weight: Column | None = None, iterations: int | None = None, tolerance: float | None = None) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = RankingConfig(), iterations: int | None = None, tolerance: float | None = None, small: int = SMALL) -> DataFrame:
     """(node, rank) of nodes(node, p) and edges(src, dst, w[, confidence]).
 
     p: unnormalised teleport weights. A rank follows each edge in proportion to w of all that leave its node; where edges carry
     a confidence, that share is multiplied by it and the rest is lost. The rank of nodes without edges out is spread like p.
-    Stops after so many iterations, or once no rank moves by the tolerance in CUT_EVERY of them. Each iteration sends the ranks to
-    their edges and the flows back; a block of CUT_EVERY iterations is one plan that reads each step once. What dangling nodes
-    hold is a number a step, and all is linear in it, so a block runs without it and adds it at the end.
+    Stops after so many iterations, or once no rank moves by the tolerance in CUT_EVERY of them. Edges from or to what is no node
+    don't count.
+
+    A graph of at most so many nodes and edges is ranked by one task, over arrays. A larger one is joined: its edges are put into
+    buckets by source once, so a step shuffles nothing but the flows, summed by map task; a block of CUT_EVERY iterations is one
+    plan. What dangling nodes hold is a number a step, and all is linear in it, so a block runs without it and adds it at the end.
     """
     limit, epsilon, alpha = iterations or config.max_iterations, config.epsilon if tolerance is None else tolerance, config.alpha
-    total, n = nodes.agg(F.sum("p"), F.count("*")).first()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     share = F.col("w") / F.col("out") * (F.col("confidence") if "confidence" in edges.columns else F.lit(1.0))
-    start = nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left")
-    start = start.select("node", (F.col("p") / F.lit(total)).alias("p"), F.col("leads").isNull().alias("dangling"))
-    steps = edges.join(out, "src").groupBy(F.col("src").alias("node"), "dst").agg(F.sum(share).alias("share")).withColumn("own", F.lit(False))
+    links = edges.join(out, "src").groupBy(F.col("src").alias("node"), "dst").agg(F.sum(share).alias("share"))
     # A row from each node to itself brings its columns along, so that a step reads the one before it once.
-    steps = materialise(steps.unionByName(start.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"))), "steps")
-    block = min(CUT_EVERY, limit)
+    own = nodes.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), F.col("p").cast("double").alias("p"))
+    steps = materialise(links.select("node", "dst", "share", F.lit(False).alias("own"), F.lit(None).cast("double").alias("p")).unionByName(own), "steps")
+    if steps.limit(small + 1).count() <= small:
+        return _ranked_in_one_task(steps, limit, epsilon, alpha)
+    return _ranked_by_joins(steps, limit, epsilon, alpha)
+
+
+def _ranked_in_one_task(steps: DataFrame, limit: int, epsilon: float, alpha: float) -> DataFrame:
+    kind = steps.schema["node"].dataType.simpleString()
+
+    def rank(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        names = table.column("node").filter(pa.array(own)).combine_chunks()
+        p = table.column("p").to_numpy(zero_copy_only=False)[own]
+        n, p = len(p), p / p.sum()
+        ends = [pc.index_in(table.column(k).filter(pa.array(~own)), value_set=names) for k in ("node", "dst")]
+        known = pc.and_(ends[0].is_valid(), ends[1].is_valid())
+        src, dst = (x.filter(known).to_numpy() for x in ends)
+        share = table.column("share").filter(pa.array(~own)).filter(known).to_numpy()
+        dangling = np.bincount(src, minlength=n) == 0
+        r = before = np.full(n, 1.0 / max(n, 1))
+        for step in range(1, limit + 1):
+            r = (1 - alpha) * p + alpha * (np.bincount(dst, r[src] * share, n) + r[dangling].sum() * p)
+            if step % min(CUT_EVERY, limit) == 0:
+                if epsilon > 0 and np.abs(r - before).max() < epsilon:
+                    break
+                before = r
+        return pa.table([names, pa.array(r)], names=["node", "rank"])
+
+    return steps.groupBy(F.lit(1).alias("all")).applyInArrow(rank, f"node {kind}, rank double")
+
+
+def _ranked_by_joins(steps: DataFrame, limit: int, epsilon: float, alpha: float) -> DataFrame:
+    known = steps.filter("own").select("node")
+    steps = steps.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").join(known, "node", "left_semi")
+    steps = bucketed(steps.select("node", "dst", "share", "own", "p"), "steps", "node")
+    total, n = steps.filter("own").agg(F.sum("p"), F.count("*")).first()
+    start = steps.groupBy("node").agg((F.max("p") / F.lit(total)).alias("p"), (F.count_if(~F.col("own")) == 0).alias("dangling"))
+    start = bucketed(start, "nodes", "node")
+    steps, block = steps.drop("p"), min(CUT_EVERY, limit)
 
     def spread(table: DataFrame, base: Column) -> DataFrame:
         """table with y replaced by base + alpha times what flows in along the edges."""
@@ -69,7 +112,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = Ranking
     state = start.withColumn("y", alpha * F.col("p")).withColumn("z0", F.col("y"))
     for i in range(1, block):
         state = spread(state, F.lit(0.0)).withColumn(f"z{i}", F.col("y"))
-    units = materialise(state.select("node", "dangling", *(f"z{i}" for i in range(block))), "units")
+    units = bucketed(state.select("node", "dangling", *(f"z{i}" for i in range(block))), "units", "node")
     held = F.col("dangling").cast("double")
     lost_z = units.agg(*(F.coalesce(F.sum(held * F.col(f"z{i}")), F.lit(0.0)) for i in range(block))).first()
     state = start.withColumn("rank", F.lit(1.0 / n))
@@ -78,7 +121,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = Ranking
         run = state.withColumn("y", F.col("rank"))
         for i in range(k):
             run = spread(run.withColumn(f"y{i}", F.col("y")), (1 - alpha) * F.col("p"))
-        run = materialise(run.join(units.drop("dangling"), "node"), "ranks")
+        run = bucketed(run.join(units.drop("dangling"), "node"), "ranks", "node")
         lost_y = run.agg(*(F.sum(held * F.col(f"y{i}")) for i in range(k))).first()
         loose: list[float] = []  # by step: the rank that dangling nodes hold, which the block left out so far
         for i in range(k):
@@ -106,6 +149,24 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5
     return reached.select("a.file", "a.sym", F.pow(F.lit(decay), F.col("hop")).alias("weight"))
 
 
+def focus(targets: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, names) that targets(target) mean: a target is cut at commas and trimmed, and blank parts are left out.
+
+    A part with a slash or a dot is first a path: of the files that end with it, or hold it after a slash, the least is meant. What is
+    no such path matches names, as ``text.matches_query`` does; what matches nothing is left out. A part meets distinct files
+    and distinct names only; targets are few and typed by hand, so they are broadcast, up to MOST_TARGETS of them.
+    """
+    parts = targets.select(F.explode(F.split("target", ",")).alias("target")).select(F.trim("target").alias("target")).filter("target <> ''").distinct()
+    if parts.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets")
+    target, file = F.col("target"), F.col("file")
+    like_path = (target.contains("/") | target.contains(".")) & (file.endswith(target) | file.contains(F.concat(F.lit("/"), target)))
+    found = materialise(tags.select("file").distinct().join(F.broadcast(parts), like_path).groupBy("target").agg(F.min("file").alias("file")), "paths")
+    rest = parts.join(F.broadcast(found), "target", "left_anti")
+    names = tags.select("name").distinct().join(F.broadcast(rest), text.matches_query(F.col("name"), target)).select("name").distinct()
+    return found.select("file").distinct(), names
+
+
 def caller_weights(edges: DataFrame) -> DataFrame:
     """(file, name, callers): edges into each function; nodes that differ by line alone give the most."""
     return edges.groupBy("dst_file", "dst_name", "dst_line").agg(F.count("*").alias("n")).groupBy(F.col("dst_file").alias("file"), F.col("dst_name").alias("name")).agg(F.max("n").alias("callers"))
@@ -116,10 +177,11 @@ def file_caller_weights(callers: DataFrame) -> DataFrame:
     return callers.groupBy("file").agg(s.alias("callers"), (1 + F.greatest(F.log(s), F.lit(0.0))).alias("weight"))
 
 
-def calls(edges: DataFrame, file: str, name: str, direction: str = "from") -> DataFrame:
-    """Edges that leave (from) or enter (to) a function."""
+def calls(edges: DataFrame, file: str | None, name: str, direction: str = "from") -> DataFrame:
+    """Edges that leave (from) or enter (to) a function; without a file, all functions of that name."""
     side = "src" if direction == "from" else "dst"
-    return edges.filter((F.col(f"{side}_file") == file) & (F.col(f"{side}_name") == name))
+    named = edges.filter(F.col(f"{side}_name") == name)
+    return named.filter(F.col(f"{side}_file") == file) if file is not None else named
 
 
 def top_links(edges: DataFrame, k: int = 5) -> DataFrame:
