@@ -12,7 +12,12 @@ from ..params import RankingConfig, ScanConfig
 DEFAULT_EXCLUDES = tuple(f"**/{d}/**" for d in ("node_modules", "vendor", "third_party", "target", "build", "dist", ".git", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".next", ".nuxt"))
 BINARY = frozenset("""png jpg jpeg gif ico svg webp bmp tiff woff woff2 ttf eot otf mp3 mp4 wav ogg webm avi mov flac zip tar gz rar 7z bz2 xz tgz
 pdf doc docx xls xlsx ppt pptx pyc pyo so dylib dll exe o a lib class jar war ear lock sum db sqlite sqlite3 wasm bin dat""".split())
-LANGUAGES = {"rs": "rust", "py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "jsx", "ts": "typescript", "mts": "typescript", "cts": "typescript", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "rb": "ruby", "php": "php", "cs": "csharp", "kt": "kotlin", "scala": "scala", "md": "markdown"}
+LANGUAGES = {
+    suffix: language for language, suffixes in {
+        "python": "py pyi pyw", "rust": "rs", "javascript": "js mjs cjs", "jsx": "jsx", "typescript": "ts mts cts", "tsx": "tsx", "go": "go", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp hxx hh",
+        "ruby": "rb rake gemspec", "php": "php php3 php4 php5 phtml", "c_sharp": "cs", "kotlin": "kt kts", "scala": "scala sc", "markdown": "md markdown",
+    }.items() for suffix in suffixes.split()
+}
 SOURCE_SUFFIXES = "rs py js ts jsx tsx mjs cjs go c h cpp hpp cc hh java kt kts rb php swift cs scala ex exs hs ml mli zig".split()
 NOT_SOURCE = ("node_modules/", "vendor/", "third_party/", "__pycache__/", "target/", ".git/", "dist/", "build/")
 

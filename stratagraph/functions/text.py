@@ -113,10 +113,6 @@ def wrap(items: Column, width: int = 70, separator: str = ", ") -> Column:
     return F.aggregate(items, start, put, lambda acc: F.when(acc["line"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["line"])))
 
 
-def any_word(text: Column, wanted: list[str]) -> Column:
-    return any_of([F.lower(text).contains(w) for w in wanted])
-
-
 def human_size(n: Column) -> Column:
     return F.when(n >= 1 << 30, F.format_string("%.2f GB", n / (1 << 30))).when(n >= 1 << 20, F.format_string("%.2f MB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%.2f KB", n / (1 << 10))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
@@ -125,5 +121,5 @@ SPARKS = "▁▂▃▄▅▆▇█"
 
 
 def spark_char(value: Column, least: Column, most: Column) -> Column:
-    level = F.when(most > least, F.round(7 * (value - least) / (most - least))).otherwise(0)
+    level = F.least(F.lit(7), F.round(7 * (value - least) / F.greatest(most - least, F.lit(0.001))))
     return F.substring(F.lit(SPARKS), level.cast("int") + 1, F.lit(1))

@@ -19,7 +19,7 @@ PATTERNS: dict[str, list[tuple[str, str, str]]] = {
     "c": [(r"^\s*(?:typedef\s+)?struct\s+(\w+)", "def", "struct"), (r"^[A-Za-z_][\w\s*]*\s\*?(\w+)\s*\([^;]*$", "def", "function")],
     "ruby": [(r"^\s*class\s+(\w+)", "def", "class"), (r"^\s*module\s+(\w+)", "def", "module"), (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", "def", "method")],
     "php": [(r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)", "def", "class"), (r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)\s*\(", "def", "function")],
-    "csharp": [(r"^\s*(?:public|private|internal|static|abstract|sealed|\s)*class\s+(\w+)", "def", "class")],
+    "c_sharp": [(r"^\s*(?:public|private|internal|static|abstract|sealed|\s)*class\s+(\w+)", "def", "class")],
     "kotlin": [(r"^\s*(?:\w+\s+)*class\s+(\w+)", "def", "class"), (r"^\s*(?:\w+\s+)*fun\s+(\w+)\s*\(", "def", "function")],
     "scala": [(r"^\s*(?:case\s+)?(?:class|object)\s+(\w+)", "def", "class"), (r"^\s*def\s+(\w+)", "def", "function")],
     "markdown": [(r"^#\s+(.+?)\s*$", "def", "section"), (r"^#{2,6}\s+(.+?)\s*$", "def", "subsection")],

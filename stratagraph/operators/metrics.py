@@ -4,26 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-METRICS = ["ndcg", "p_at_k", "r_at_k", "mrr", "ap"]
+METRICS = ["ndcg", "ndcg_5", "p_at_k", "p_at_5", "r_at_k", "r_at_5", "mrr", "ap"]
 
 
-def evaluate(ranking: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
-    """(case, ndcg, p_at_k, r_at_k, mrr, ap). Gains are relevances, discounted by log2(pos + 1), against the best order of the
-    truth. Items of relevance 0 are not relevant. Precision divides by the least of k and the ranking's length (0 for an empty
-    one); the average precision by all relevant items. Cases come from either table."""
-    t = truth.filter("relevance > 0")
-    ideal = t.withColumn("rn", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("relevance"), "item")))
-    ideal = ideal.groupBy("case").agg(F.sum(F.when(F.col("rn") <= k, F.col("relevance") / F.log2(F.col("rn") + 1))).alias("idcg"), F.count("*").alias("relevant"))
-    hits = ranking.join(t, ["case", "item"], "left").withColumn("hit", F.col("relevance").isNotNull().cast("int"))
-    hits = hits.withColumn("found", F.sum("hit").over(Window.partitionBy("case").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    top = F.col("pos") <= k
-    got = hits.groupBy("case").agg(
-        F.sum(F.when(top, F.col("relevance") / F.log2(F.col("pos") + 1))).alias("dcg"), F.sum(F.when(top, F.col("hit"))).alias("top_hits"), F.count("*").alias("length"),
+def _gain(at: str, n: int) -> Column:
+    return F.sum(F.when(F.col(at) <= n, F.col("relevance") / F.log2(F.col(at) + 1)))
+
+
+def ideal(truth: DataFrame, k: int = 10, fewer: int = 5, relevant: float = 0.0) -> DataFrame:
+    """(case, idcg, idcg_5, relevant): what the best order of the truth gains."""
+    t = truth.filter("relevance > 0").withColumn("rn", F.row_number().over(Window.partitionBy("case").orderBy(F.desc("relevance"), "item")))
+    return t.groupBy("case").agg(_gain("rn", k).alias("idcg"), _gain("rn", fewer).alias("idcg_5"), F.count_if(F.col("relevance") >= relevant).alias("relevant"))
+
+
+def graded(ranked: DataFrame, best: DataFrame, by: list[str] = (), k: int = 10, fewer: int = 5, relevant: float = 0.0) -> DataFrame:
+    """``evaluate`` of rankings(by..., case, pos, relevance) whose items have their relevance, against ``ideal``; cases that best alone
+    has are left out."""
+    group = [*by, "case"]
+    hit = ((F.col("relevance") > 0) & (F.col("relevance") >= relevant)).cast("int")
+    hits = ranked.withColumn("hit", F.coalesce(hit, F.lit(0)))
+    hits = hits.withColumn("found", F.sum("hit").over(Window.partitionBy(*group).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    top = lambda n: F.sum(F.when(F.col("pos") <= n, F.col("hit")))
+    got = hits.groupBy(*group).agg(
+        _gain("pos", k).alias("dcg"), _gain("pos", fewer).alias("dcg_5"), top(k).alias("top_hits"), top(fewer).alias("top_5"), F.count("*").alias("length"),
         F.min(F.when(F.col("hit") == 1, F.col("pos"))).alias("first"), F.sum(F.when(F.col("hit") == 1, F.col("found") / F.col("pos"))).alias("precisions"),
     )
-    both = ideal.join(got, "case", "full")
+    return _parts(best.join(got, "case", "right"), group, k, fewer)
+
+
+def _parts(both: DataFrame, group: list[str], k: int, fewer: int) -> DataFrame:
     part = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), b.cast("double")), F.lit(0.0))
-    return both.select("case", part("dcg", F.col("idcg")).alias("ndcg"), part("top_hits", F.least(F.lit(k), F.col("length"))).alias("p_at_k"), part("top_hits", F.col("relevant")).alias("r_at_k"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), part("precisions", F.col("relevant")).alias("ap"))
+    return both.select(
+        *group, part("dcg", F.col("idcg")).alias("ndcg"), part("dcg_5", F.col("idcg_5")).alias("ndcg_5"), part("top_hits", F.least(F.lit(k), F.col("length"))).alias("p_at_k"),
+        part("top_5", F.least(F.lit(fewer), F.col("length"))).alias("p_at_5"), part("top_hits", F.col("relevant")).alias("r_at_k"), part("top_5", F.col("relevant")).alias("r_at_5"),
+        F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"), part("precisions", F.col("relevant")).alias("ap"),
+    )
+
+
+def evaluate(ranking: DataFrame, truth: DataFrame, k: int = 10, fewer: int = 5, relevant: float = 0.0) -> DataFrame:
+    """(case, ndcg, ndcg_5, p_at_k, p_at_5, r_at_k, r_at_5, mrr, ap), over the first k and, for the columns named 5, fewer items. Gains
+    are relevances, discounted by log2(pos + 1), against the best order of the truth. Items of relevance 0, or less than asked for,
+    are not relevant. Precision divides by the least of k and the ranking's length (0 for an empty one); the average precision by
+    all relevant items. Cases come from either table."""
+    t = truth.filter("relevance > 0")
+    ranked = ranking.join(t.select("case", "item", "relevance"), ["case", "item"], "left")
+    best = ideal(t, k, fewer, relevant)
+    only = best.join(ranking.select("case").distinct(), "case", "left_anti")
+    zeros = only.select("case", *(F.lit(0.0).alias(m) for m in METRICS))
+    return graded(ranked, best, (), k, fewer, relevant).unionByName(zeros)
 
 
 def weighted_mean(metrics: DataFrame, weight: str = "weight", by: list[str] = ()) -> DataFrame:
@@ -64,5 +92,14 @@ def percentile(value: str, by: list[str] = ()) -> Column:
 
 def failures(metrics: DataFrame, threshold: float = 0.5, cases: int = 50, most: int = 10) -> DataFrame:
     """Of the first cases, those below the threshold: a report of limited length."""
-    first = metrics.withColumn("rn", F.row_number().over(Window.orderBy("case"))).filter(F.col("rn") <= cases)
-    return first.filter(F.col("ndcg") < threshold).orderBy("rn").limit(most).drop("rn")
+    first = metrics.orderBy("case").limit(cases)
+    return first.filter(F.col("ndcg") < threshold).orderBy("case").limit(most)
+
+
+def explained(failed: DataFrame, ranking: DataFrame, truth: DataFrame, shown: int = 5) -> DataFrame:
+    """The failed cases with the first items that were expected, by relevance, and those that came first instead."""
+    cases = F.broadcast(failed.select("case"))  # a report of limited length
+    want = truth.filter("relevance > 0").join(cases, "case").groupBy("case").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("relevance")).alias("r"), "item"))), 1, shown).alias("e"))
+    came = ranking.filter(F.col("pos") <= shown).join(cases, "case").groupBy("case").agg(F.sort_array(F.collect_list(F.struct("pos", "item"))).alias("a"))
+    items = lambda c: F.coalesce(F.transform(c, lambda x: x["item"]), F.array())
+    return failed.join(want, "case", "left").join(came, "case", "left").withColumns({"expected": items("e"), "actual": items("a")}).drop("e", "a")

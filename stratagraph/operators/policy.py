@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import scores
+from ..functions import paths, scores
 from ..params import Coordinates, Policy, RankingConfig
 from ..storage import materialise
 from . import graph, metrics, resolve
@@ -35,25 +35,34 @@ def select_wave(candidates: DataFrame, p: Policy = Policy(), key: str = "site")
 
 
 def signals(tags: DataFrame, ranks: DataFrame, confidence: DataFrame, degrees: DataFrame) -> DataFrame:
-    """A query site for each reference, with the signals of its enclosing function. ranks and degrees have node = file::name."""
+    """A query site for each reference, with the signals of its enclosing function. ranks and degrees have node as
+    ``function_id`` gives it."""
     sites = resolve.enclosing(tags).join(resolve.references(tags).select("file", "name", "line", "seq", "receiver"), ["file", "name", "line", "seq"])
-    sites = sites.withColumn("node", F.concat_ws("::", "file", "caller"))
+    sites = sites.withColumn("node", function_id("file", "caller", "caller_line", "caller_parent"))
     r = ranks.select("node", "rank", metrics.percentile("rank").alias("percentile"))
     out = sites.join(r, "node", "left").join(confidence, ["file", "line"], "left").join(coherence(sites).select("receiver", "coherence"), "receiver", "left").join(bridges(degrees), "node", "left")
     return out.select("file", "name", "line", "seq", "receiver", F.coalesce("rank", F.lit(0.0)).alias("centrality"), F.coalesce("percentile", F.lit(0.0)).alias("percentile"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("coherence", F.lit(0.5)).alias("coherence"), F.coalesce("bridge", F.lit(0.0)).alias("bridge"), F.lit(False).alias("is_root"))
 
 
+def function_id(file: str, name: str, line: str, parent: str) -> Column:
+    """A function is known by file, name, line and parent; null without a name."""
+    return F.when(F.col(name).isNotNull(), F.concat_ws("::", file, name, F.col(line).cast("string"), F.coalesce(parent, F.lit(""))))
+
+
 def function_nodes(tags: DataFrame) -> DataFrame:
-    return resolve.definitions(tags).select(F.concat_ws("::", "t_file", "t_name").alias("node")).distinct()
+    """(node, file) of every function that is defined."""
+    return resolve.definitions(tags).select(function_id("t_file", "t_name", "t_line", "t_parent").alias("node"), F.col("t_file").alias("file")).distinct()
 
 
 def function_edges(calls: DataFrame) -> DataFrame:
-    e = calls.select(F.concat_ws("::", "src_file", "src_name").alias("src"), F.concat_ws("::", "dst_file", "dst_name").alias("dst"), "confidence")
+    e = calls.select(function_id("src_file", "src_name", "src_line", "src_parent").alias("src"), function_id("dst_file", "dst_name", "dst_line", "dst_parent").alias("dst"), "confidence")
     return e.withColumn("w", F.lit(1).cast("bigint"))
 
 
 def function_ranks(tags: DataFrame, calls: DataFrame, config: RankingConfig = RankingConfig(), **how) -> DataFrame:
-    return graph.pagerank(function_nodes(tags).withColumn("p", F.lit(1.0)), function_edges(calls), config, **how)
+    """Functions ranked over calls; the teleport weighs them by the depth of their files."""
+    nodes = function_nodes(tags).select("node", paths.depth_weight(F.col("file"), config).alias("p"))
+    return graph.pagerank(nodes, function_edges(calls), config, **how)
 
 
 def bicameral(tags: DataFrame, heuristics: DataFrame, lookup: DataFrame, p: Policy = Policy(), waves: int = 5, iterations: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,9 +13,10 @@ def unique_prompts(episodes: DataFrame, prompt: str) -> DataFrame:
     return episodes.select(prompt).filter(F.col(prompt).isNotNull()).distinct().orderBy(prompt)
 
 
-def search_episodes(episodes: DataFrame, column: str, wanted: str) -> DataFrame:
-    """Episodes whose text holds the words, ignoring case."""
-    return episodes.filter(F.lower(column).contains(wanted.lower()))
+def search_episodes(episodes: DataFrame, lists: list[str], wanted: str) -> DataFrame:
+    """Episodes that have the words, ignoring case, in an entry of one of the lists; a null list has no entries."""
+    hit = [F.coalesce(F.exists(F.col(c), lambda x: F.lower(x).contains(wanted.lower())), F.lit(False)) for c in lists]
+    return episodes.filter(functools.reduce(lambda a, b: a | b, hit))
 
 
 def insights(episodes: DataFrame, key: str, order: str, items: str) -> DataFrame:
@@ -24,7 +26,7 @@ def insights(episodes: DataFrame, key: str, order: str, items: str) -> DataFrame
     return first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]).alias("insights"))
 
 
-def extremes(levers: DataFrame, keys: list[str], names: list[str], low: float = 0.1, high: float = 0.9) -> DataFrame:
+def extremes(levers: DataFrame, keys: list[str], names: list[str], low: float = 0.2, high: float = 0.8) -> DataFrame:
     """(keys, lever, value) of levers near an end of [0, 1]."""
     long = levers.unpivot(keys, names, "lever", "value")
     return long.filter((F.col("value") < low) | (F.col("value") > high))

@@ -46,10 +46,13 @@ def joined_files(files: DataFrame, ruler: str = "=" * 80, warn: int = 200_000) -
     return j.withColumn("bytes", F.octet_length("text")).withColumn("large", F.col("bytes") > warn)
 
 
-def sparkline(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    w = Window.partitionBy(key)
-    c = series.withColumn("c", text.spark_char(F.col(value), F.min(value).over(w), F.max(value).over(w)))
-    return c.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "c"))), lambda x: x["c"]), "").alias("spark"))
+def sparkline(series: DataFrame, key: str, order: str, value: str, width: int = 20) -> DataFrame:
+    """(key, spark): width characters by the values' place between the least and the most, a range of 0.001 at least. Of more values
+    than that, evenly spaced ones are shown; fewer are followed by blanks. A series is shown as one text, so it is one row."""
+    v = series.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("v"))
+    v = v.withColumns({"n": F.size("v"), "lo": F.array_min("v"), "hi": F.array_max("v")})
+    at = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.when(F.col("n") > width, F.floor(i * F.col("n") / width).cast("int")).otherwise(i))
+    return v.select(key, F.array_join(F.transform(at, lambda i: F.when(i < F.col("n"), text.spark_char(F.get("v", i), F.col("lo"), F.col("hi"))).otherwise(F.lit(" "))), "").alias("spark"))
 
 
 def symbol_lines(sections: DataFrame) -> DataFrame:

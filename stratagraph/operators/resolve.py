@@ -83,10 +83,10 @@ def call_graph(tags: DataFrame, candidates: DataFrame, c: Coordinates = Coordina
     callers = enclosing(tags).filter("caller IS NOT NULL")
     best = ranked(candidates, c).filter("rn = 1")
     took = callers.join(best.filter(scores.accepted(F.col("weighted"), c)), _CALL)
-    edges = took.select(F.col("file").alias("src_file"), F.col("caller").alias("src_name"), F.col("caller_line").alias("src_line"), F.col("t_file").alias("dst_file"), F.col("t_name").alias("dst_name"), F.col("t_line").alias("dst_line"), F.col("weighted").alias("confidence"), "strategy", F.col("line").alias("call_site"), "type_hint")
+    edges = took.select(F.col("file").alias("src_file"), F.col("caller").alias("src_name"), F.col("caller_line").alias("src_line"), F.col("caller_parent").alias("src_parent"), F.col("t_file").alias("dst_file"), F.col("t_name").alias("dst_name"), F.col("t_line").alias("dst_line"), F.col("t_parent").alias("dst_parent"), F.col("weighted").alias("confidence"), "strategy", F.col("line").alias("call_site"), "type_hint")
     if dangling:
         none = callers.join(best, _CALL, "left_anti")
-        edges = edges.unionByName(none.select(F.col("file").alias("src_file"), F.col("caller").alias("src_name"), F.col("caller_line").alias("src_line"), F.lit("?").alias("dst_file"), F.col("name").alias("dst_name"), F.lit(0).alias("dst_line"), F.lit(0.0).alias("confidence"), F.lit("unresolved").alias("strategy"), F.col("line").alias("call_site"), F.lit(None).cast("string").alias("type_hint")))
+        edges = edges.unionByName(none.select(F.col("file").alias("src_file"), F.col("caller").alias("src_name"), F.col("caller_line").alias("src_line"), F.col("caller_parent").alias("src_parent"), F.lit("?").alias("dst_file"), F.col("name").alias("dst_name"), F.lit(0).alias("dst_line"), F.lit(None).cast("string").alias("dst_parent"), F.lit(0.0).alias("confidence"), F.lit("unresolved").alias("strategy"), F.col("line").alias("call_site"), F.lit(None).cast("string").alias("type_hint")))
     return edges
 
 
@@ -96,36 +96,74 @@ def confidences(tags: DataFrame, candidates: DataFrame, c: Coordinates = Coordin
     return references(tags).join(best, _CALL, "left").groupBy("file", "line").agg(F.max(F.coalesce("weighted", F.lit(0.0))).alias("confidence"))
 
 
-def statistics(refs: DataFrame, candidates: DataFrame, c: Coordinates = Coordinates(), floor: float = 0.0) -> DataFrame:
-    """One row about all references: the gate is put to the best unweighted confidence.
+def statistics(refs: DataFrame, candidates: DataFrame, c: Coordinates = Coordinates(), least: float | None = None, gated: bool = True) -> DataFrame:
+    """One row about all references; confidences aren't weighted.
 
-    competition: the best two lie less than 0.1 apart; agreement: another candidate has the best one's target; near_misses:
-    candidates beyond the best of resolved calls; buckets b0 to b4 hold confidences by fifths.
+    The best candidate is accepted if its confidence is at least ``least``, if given; else, with the gate, if it is above the bias;
+    else always. unresolved: references without a candidate, and those dropped, whose best isn't accepted. Of all references
+    with two candidates or more, competition counts those whose best two lie less than 0.1 apart, agreement those where another
+    candidate has the best one's target. near_misses sums what the best of dropped ones lack to the threshold (``least``, 0.5 with
+    the gate, else 0), if no more than 0.2. by_*: accepted ones by strategy; b0 to b4: accepted confidences by fifths.
     """
     w = Window.partitionBy(*_CALL).orderBy(F.desc("confidence"), F.desc("ordinal"), "t_file", "t_line")
-    r = candidates.withColumn("rn", F.row_number().over(w))
-    target = F.struct("t_file", "t_name", "t_line")
+    target = F.struct("t_file", "t_name", "t_line", "t_parent")
+    r = candidates.withColumns({"rn": F.row_number().over(w), "top": F.first(target).over(w)})
     one = F.col("rn") == 1
     calls = r.groupBy(*_CALL).agg(
         F.max(F.when(one, F.col("confidence"))).alias("best"), F.max(F.when(one, F.col("strategy"))).alias("strategy"), F.max(F.when(F.col("rn") == 2, F.col("confidence"))).alias("second"),
-        F.max(F.when(one, target)).alias("target"), F.collect_list(F.when(~one, target)).alias("others"), F.count("*").alias("n"),
+        F.bool_or(~one & (target == F.col("top"))).alias("agrees"),
     )
-    took = (F.col("best") > c.bias) & (F.col("best") >= floor)
+    best = F.col("best")
+    threshold = least if least is not None else 0.5 if gated else 0.0
+    took = best >= least if least is not None else best > c.bias if gated else best.isNotNull()
+    dropped = best.isNotNull() & ~took
     calls = refs.select(*_CALL).join(calls, _CALL, "left")
-    bucket = F.least(F.floor(F.col("best") * 5), F.lit(4))
-    hit = [F.count_if(took & (bucket == k)).alias(f"b{k}") for k in range(5)]
+    hit = [F.count_if(took & (F.least(F.floor(best * 5), F.lit(4)) == k)).alias(f"b{k}") for k in range(5)]
     by = [F.count_if(took & (F.col("strategy") == s)).alias(f"by_{s}") for s in STRATEGIES]
+    missed = F.sum(F.when(dropped & (best >= threshold - 0.2), threshold - best))
     return calls.agg(
-        F.count("*").alias("calls"), F.count_if(took).alias("resolved"), F.count_if(F.col("best").isNotNull() & ~took).alias("rejected"), F.count_if(F.col("best").isNull()).alias("without_candidate"), *by, *hit,
-        F.count_if(took & (F.col("best") - F.col("second") < 0.1)).alias("competition"), F.count_if(took & F.array_contains("others", F.col("target"))).alias("agreement"),
-        F.coalesce(F.sum(F.when(took, F.col("n") - 1)), F.lit(0)).alias("near_misses"),
+        F.count("*").alias("calls"), F.count_if(best.isNull() | dropped).alias("unresolved"), F.count_if(dropped).alias("dropped"), *by, *hit,
+        F.count_if(best - F.col("second") < 0.1).alias("competition"), F.count_if("agrees").alias("agreement"), F.coalesce(missed, F.lit(0.0)).alias("near_misses"),
     )
 
 
-def rates(stats: DataFrame) -> DataFrame:
-    part = lambda a, b, none: F.when(F.col(b) == 0, none).otherwise(F.col(a) / F.when(F.col(b) > 0, F.col(b)))
-    seen = stats.withColumn("seen", F.col("resolved") + F.col("rejected"))
-    return seen.select(part("resolved", "calls", 1.0).alias("resolution_rate"), part("rejected", "seen", 0.0).alias("rejection_rate"), part("competition", "resolved", 0.0).alias("competition_rate"), part("by_lsp", "resolved", 0.0).alias("lsp_share"))
+def typed_lookups(tags: DataFrame, candidates: DataFrame) -> DataFrame:
+    """One row (queries, resolved, agreements, conflicts) of the type oracle: queries are references inside a function, resolved its
+    candidates for them, the rest is ``oracle_agreement`` over them."""
+    inside = enclosing(tags).filter("caller IS NOT NULL").select(*_CALL)
+    own = candidates.join(inside.distinct(), _CALL, "left_semi")
+    resolved = own.agg(F.count_if(F.col("strategy") == "lsp").alias("resolved"))
+    return inside.agg(F.count("*").alias("queries")).crossJoin(resolved).crossJoin(oracle_agreement(own))
+
+
+def rates(stats: DataFrame, lookups: DataFrame) -> DataFrame:
+    """One row (resolution_rate, rejection_rate, competition_rate, lsp_utilisation, lsp_conflict_rate) of ``statistics`` and
+    ``typed_lookups``; 0 where a divisor is 0, but 1 for the resolution of no calls."""
+    part = lambda a, b, none=0.0: F.when(b == 0, none).otherwise(a / F.when(b != 0, b))
+    c = F.col
+    taken, met = c("calls") - c("unresolved"), c("conflicts") + c("agreements")
+    return stats.crossJoin(lookups).select(
+        part(taken, c("calls"), 1.0).alias("resolution_rate"), part(c("dropped"), c("calls")).alias("rejection_rate"), part(c("competition"), taken).alias("competition_rate"),
+        part(c("resolved"), c("queries")).alias("lsp_utilisation"), part(c("conflicts"), met).alias("lsp_conflict_rate"),
+    )
+
+
+def functions_named(calls: DataFrame, name: str | None = None, file: str | None = None) -> DataFrame:
+    """(file, name, line, parent): functions of a call graph by name, or of a file."""
+    ends = [calls.select(*(F.col(f"{e}_{k}").alias(k) for k in ("file", "name", "line", "parent"))) for e in ("src", "dst")]
+    nodes = ends[0].union(ends[1]).distinct()
+    nodes = nodes.filter(F.col("name") == name) if name is not None else nodes
+    return nodes.filter(F.col("file") == file) if file is not None else nodes
+
+
+#: Languages in which a strategy is of use; the others work in all.
+SUPPORTED = {"type_hint": ("python", "typescript", "tsx")}
+
+
+def supported(candidates: DataFrame, language: str | None) -> DataFrame:
+    """Candidates of the strategies that support the language; all without one."""
+    gone = [s for s, known in SUPPORTED.items() if language is not None and language not in known]
+    return candidates.filter(~F.col("strategy").isin(*gone)) if gone else candidates
 
 
 def oracle_agreement(candidates: DataFrame) -> DataFrame:

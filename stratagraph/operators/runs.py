@@ -19,13 +19,13 @@ def movement(moves: DataFrame, k: int = 5) -> DataFrame:
 
 
 def plateaus(series: DataFrame, key: str, order: str, value: str, n: int = 3, threshold: float = 0.01) -> DataFrame:
-    """(key, steps, plateau, collapse): whether the last n values lie within the threshold, or fall by more than it from first to
-    last; false with fewer than n."""
+    """(key, steps, plateau, collapse): of the last n values, whether the last lies within the threshold of the first, or below it by
+    more than that; false with fewer than n."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     last = series.withColumn("rn", F.row_number().over(w))
-    a = last.groupBy(key).agg(F.count("*").alias("steps"), F.max(F.when(F.col("rn") <= n, F.col(value))).alias("hi"), F.min(F.when(F.col("rn") <= n, F.col(value))).alias("lo"), F.max(F.when(F.col("rn") == 1, F.col(value))).alias("end"), F.max(F.when(F.col("rn") == n, F.col(value))).alias("start"))
-    enough = F.col("steps") >= n
-    return a.select(key, "steps", (enough & (F.col("hi") - F.col("lo") < threshold)).alias("plateau"), F.coalesce(enough & (F.col("start") - F.col("end") > threshold), F.lit(False)).alias("collapse"))
+    a = last.groupBy(key).agg(F.count("*").alias("steps"), F.max(F.when(F.col("rn") == 1, F.col(value))).alias("end"), F.max(F.when(F.col("rn") == n, F.col(value))).alias("start"))
+    enough, change = F.col("steps") >= n, F.col("end") - F.col("start")
+    return a.select(key, "steps", F.coalesce(enough & (F.abs(change) < threshold), F.lit(False)).alias("plateau"), F.coalesce(enough & (change < -threshold), F.lit(False)).alias("collapse"))
 
 
 def oscillations(series: DataFrame, key: str, order: str, value: str, drop: float = 0.05) -> DataFrame:
@@ -44,10 +44,14 @@ def trends(series: DataFrame, key: str, order: str, value: str, least: float = 0
     return series.withColumn("trend", F.when(change > least, "up").when(change < -least, "down").otherwise("flat"))
 
 
-def recent(series: DataFrame, key: str, order: str, value: str, n: int = 3) -> DataFrame:
-    """series with the mean and spread of the last n values up to each row."""
+def convergence(series: DataFrame, key: str, order: str, value: str, n: int = 3) -> DataFrame:
+    """series with what the last n values up to each row say: spread, their mean squared distance from the latest, null with fewer
+    than n; state: converged below 0.0001, stabilising below 0.001, else moving."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(1 - n, Window.currentRow)
-    return series.withColumns({"recent_mean": F.avg(value).over(w), "recent_spread": F.max(value).over(w) - F.min(value).over(w)})
+    last = F.collect_list(value).over(w)
+    spread = F.when(F.size(last) == n, F.aggregate(last, F.lit(0.0), lambda a, x: a + F.pow(x - F.col(value), F.lit(2))) / n)
+    s = series.withColumn("spread", spread)
+    return s.withColumn("state", F.when(F.col("spread") < 0.0001, "converged").when(F.col("spread") < 0.001, "stabilising").otherwise("moving"))
 
 
 def run_summary(series: DataFrame, key: str, order: str, value: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scores
 from ..params import PARAMETERS
+from . import metrics
 
 
 def parameters(spark: SparkSession) -> DataFrame:
@@ -78,6 +79,28 @@ def distractors(cases: DataFrame) -> DataFrame:
     return d.select("case", "i", F.concat(path, F.lit(".rs")).alias("item"))
 
 
+#: Points that are sent to every task at most, and the relevance that counts.
+MOST_POINTS, RELEVANT = 10_000, 0.1
+
+
+def evaluate(points: DataFrame, items: DataFrame, weights: DataFrame | None = None, by: str = "point") -> DataFrame:
+    """(by, metrics...): what each of points(by, parameters...) scores over items(case, item, key, coupling).
+
+    A case's items, its distractors (coupling 0) among them, are ranked by ``simulated_score``; the truth is the coupling. Means are
+    weighted by weights(case, weight), 1 without. The best order of each case is found once, whatever the number of points.
+    """
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise ValueError(f"more than {MOST_POINTS} points; evaluate them in parts")
+    scored = items.join(F.broadcast(points))
+    scored = scored.withColumn("score", F.round(simulated_score(F.col("item"), F.col("coupling"), F.col("key"), {k: F.col(k) for k in PARAMETERS}), 9))
+    pos = F.row_number().over(Window.partitionBy(by, "case").orderBy(F.desc("score"), "item"))
+    ranked = scored.select(by, "case", pos.alias("pos"), F.col("coupling").alias("relevance"))
+    best = metrics.ideal(items.select("case", "item", F.col("coupling").alias("relevance")), relevant=RELEVANT)
+    each = metrics.graded(ranked, best, [by], relevant=RELEVANT)
+    each = each.join(weights, "case") if weights is not None else each.withColumn("weight", F.lit(1.0))
+    return metrics.weighted_mean(each, by=[by])
+
+
 def defaults() -> dict[str, Column]:
     return {k: F.lit(v[3]) for k, v in PARAMETERS.items()}
 
@@ -89,6 +112,18 @@ def ablations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ablated string, " + ", ".join(f"{k} double" for k in PARAMETERS))
 
 
+def applied(point: dict[str, float], changes: DataFrame) -> DataFrame:
+    """(name, value) of a parameter point after changes(name, direction, size), each the first of its name: the value times its
+    factor, held in the parameter's range; names that are no parameters are left out, a "pipeline." before a name is not."""
+    bare = F.regexp_replace("name", r"^pipeline\.", "")
+    rows = [(k, float(v), *PARAMETERS[k][:2]) for k, v in point.items()]
+    base = changes.sparkSession.createDataFrame(rows, "name string, value double, least double, most double")
+    moved = changes.select(bare.alias("name"), scores.change_factor(F.col("direction"), F.col("size")).alias("factor"), F.monotonically_increasing_id().alias("i"))
+    moved = moved.groupBy("name").agg(F.min_by("factor", "i").alias("factor"))
+    value = F.greatest(F.col("least"), F.least(F.col("most"), F.col("value") * F.coalesce("factor", F.lit(1.0))))
+    return base.join(moved, "name", "left").select("name", value.alias("value"))
+
+
 def importance(scored: DataFrame) -> DataFrame:
     """(ablated, score, importance, place) of scored(ablated, score): what the baseline loses without it, 0 at least."""
     base = scored.filter("ablated = 'baseline'").select(F.col("score").alias("base"))
@@ -103,8 +138,9 @@ def curves(spark: SparkSession, n: int = 7) -> DataFrame:
     return p.select("name", "step", "value", *(F.when(F.col("name") == k, F.col("value")).otherwise(v[3]).alias(k) for k, v in PARAMETERS.items()))
 
 
-def interactions(single: DataFrame, pairs: DataFrame, least: float = 0.01) -> DataFrame:
-    """(a, b, interaction) of single(name, importance) and pairs(a, b, effect): the joint effect less both alone, if it is large."""
-    one = single.select("name", "importance")
+def interactions(single: DataFrame, pairs: DataFrame, least: float = 0.01, top: int = 6) -> DataFrame:
+    """(a, b, interaction) of single(name, importance) and pairs(a, b, effect): the joint effect less both alone, if it is large, of
+    pairs among the most important names, ties by name."""
+    one = single.select("name", "importance").orderBy(F.desc("importance"), "name").limit(top)
     p = pairs.join(one.select(F.col("name").alias("a"), F.col("importance").alias("ia")), "a").join(one.select(F.col("name").alias("b"), F.col("importance").alias("ib")), "b")
     return p.select("a", "b", (F.col("effect") - F.col("ia") - F.col("ib")).alias("interaction")).filter(F.abs("interaction") > least)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -119,6 +120,13 @@ def focus_bfs(v, spark):
     return out.select("file", "sym", _r("weight", "weight"))
 
 
+@query("""WITH t AS (SELECT * FROM (VALUES ('d1/c1.py'), ('c12.py'), ('der'), ('xthe'), ('nothing/here.py')) v(target)), f AS (SELECT target, min(file) AS file FROM (SELECT DISTINCT file FROM {tags}), t WHERE regexp_matches(target, '[/.]') AND (ends_with(file, target) OR contains(file, '/' || target)) GROUP BY target),
+n AS (SELECT DISTINCT name FROM {tags}) SELECT 'file' AS kind, file AS found FROM f UNION SELECT 'name', name FROM n, t WHERE target NOT IN (SELECT target FROM f) AND (contains(lower(name), target) OR (length(name) >= 4 AND length(target) <= 5 AND levenshtein(lower(name), target) <= 1))""")
+def focus_targets(v, spark):
+    files, names = graph.focus(spark.createDataFrame([("d1/c1.py, c12.py,,",), ("der,xthe , nothing/here.py",)], "target string"), v("tags"))
+    return files.select(F.lit("file").alias("kind"), F.col("file").alias("found")).unionByName(names.select(F.lit("name").alias("kind"), F.col("name").alias("found")))
+
+
 @query("""SELECT src, dst, w, rn FROM (SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rn FROM {supply}) WHERE rn <= 5""")
 def topk_symbols(v, spark):
     return graph.top_links(v("supply"), 5)
@@ -223,7 +231,7 @@ def gate_acceptance(v, spark):
     return r.select("file", "name", "line", "seq", "strategy", "t_file", "t_line", _r(scores.acceptance(F.col("weighted"), c), "probability"), scores.accepted(F.col("weighted"), c).alias("accepted"))
 
 
-_CALLS = f"""SELECT e.file AS src_file, e.caller AS src_name, e.caller_line AS src_line, b.t_file AS dst_file, b.t_name AS dst_name, b.t_line AS dst_line, b.weighted AS confidence, b.strategy, e.line AS call_site
+_CALLS = f"""SELECT e.file AS src_file, e.caller AS src_name, e.caller_line AS src_line, e.caller_parent AS src_parent, b.t_file AS dst_file, b.t_name AS dst_name, b.t_line AS dst_line, b.t_parent AS dst_parent, b.weighted AS confidence, b.strategy, e.line AS call_site
   FROM ({_ENCLOSED}) e JOIN ({_RANKED}) b ON e.file = b.file AND e.name = b.name AND e.line = b.line AND e.seq = b.seq WHERE b.rn = 1 AND b.weighted > 0.2 AND e.caller IS NOT NULL"""
 
 
@@ -233,35 +241,47 @@ def call_graph(v, spark):
     return g.select("src_file", "src_name", "src_line", "dst_file", "dst_name", "dst_line", _r("confidence", "confidence"), "strategy", "call_site")
 
 
-@query(_unrolled("SELECT node, 1.0 / count(*) OVER () AS p FROM (SELECT DISTINCT t_file || '::' || t_name AS node FROM (" + _DEFS + ") dd) d0",
-                 f"SELECT src, dst, sum(confidence / n) AS share FROM (SELECT src_file || '::' || src_name AS src, dst_file || '::' || dst_name AS dst, confidence, count(*) OVER (PARTITION BY src_file || '::' || src_name)::DOUBLE AS n FROM ({_CALLS}) g0) g1 GROUP BY src, dst"))
+def _node(file: str, name: str, line: str, parent: str) -> str:
+    return f"{file} || '::' || {name} || '::' || {line} || '::' || coalesce({parent}, '')"
+
+
+_SRC, _DST = (_node(f"{e}_file", f"{e}_name", f"{e}_line", f"{e}_parent") for e in ("src", "dst"))
+
+
+@query(_unrolled(f"SELECT node, ({_WEIGHT}) / sum({_WEIGHT}) OVER () AS p FROM (SELECT DISTINCT {_node('t_file', 't_name', 't_line', 't_parent')} AS node, t_file AS path FROM ({_DEFS}) dd) d0",
+                 f"SELECT src, dst, sum(confidence / n) AS share FROM (SELECT {_SRC} AS src, {_DST} AS dst, confidence, count(*) OVER (PARTITION BY {_SRC})::DOUBLE AS n FROM ({_CALLS}) g0) g1 GROUP BY src, dst"))
 def pagerank_functions(v, spark):
     tags = v("tags")
     ranks = policy.function_ranks(tags, resolve.call_graph(tags, _union(v, *_HEURISTICS), Coordinates.shadow()), iterations=PR_STEPS, tolerance=0.0)
     return ranks.select("node", _r("rank", "rank", 8))
 
 
-_PER_CALL = f"""SELECT c.*, row_number() OVER (PARTITION BY file, name, line, seq ORDER BY confidence DESC, ordinal DESC, t_file, t_line) AS rn FROM ({_all(*_HEURISTICS)}) c"""
-_STATS = f"""WITH p AS ({_PER_CALL}), k AS (SELECT file, name, line, seq, max(CASE WHEN rn = 1 THEN confidence END) AS best, max(CASE WHEN rn = 1 THEN strategy END) AS strategy, max(CASE WHEN rn = 2 THEN confidence END) AS second,
-  max(CASE WHEN rn = 1 THEN t_file END) AS bf, max(CASE WHEN rn = 1 THEN t_name END) AS bn, max(CASE WHEN rn = 1 THEN t_line END) AS bl, count(*) AS n FROM p GROUP BY file, name, line, seq),
-a AS (SELECT DISTINCT k.file, k.name, k.line, k.seq FROM k JOIN p ON k.file = p.file AND k.name = p.name AND k.line = p.line AND k.seq = p.seq AND p.rn > 1 AND p.t_file = k.bf AND p.t_name = k.bn AND p.t_line = k.bl),
-z AS (SELECT r.*, k.best, k.strategy, k.second, k.n, coalesce(k.best > 0.3, false) AS took, a.file IS NOT NULL AS agrees, least(floor(k.best * 5), 4) AS bucket FROM ({_REFS}) r LEFT JOIN k ON r.file = k.file AND r.name = k.name AND r.line = k.line AND r.seq = k.seq
-  LEFT JOIN a ON r.file = a.file AND r.name = a.name AND r.line = a.line AND r.seq = a.seq)"""
+_STATS = f"""WITH p AS (SELECT c.*, row_number() OVER (PARTITION BY file, name, line, seq ORDER BY confidence DESC, ordinal DESC, t_file, t_line) AS rn FROM ({_all(*_HEURISTICS)}) c),
+k AS (SELECT r.file, r.name, r.line, r.seq, a.confidence AS best, a.strategy, b.confidence AS second,
+  EXISTS (SELECT 1 FROM p o WHERE o.rn > 1 AND o.file = a.file AND o.name = a.name AND o.line = a.line AND o.seq = a.seq AND o.t_file = a.t_file AND o.t_name = a.t_name AND o.t_line = a.t_line AND o.t_parent IS NOT DISTINCT FROM a.t_parent) AS agrees
+  FROM ({_REFS}) r LEFT JOIN (SELECT * FROM p WHERE rn = 1) a ON r.file = a.file AND r.name = a.name AND r.line = a.line AND r.seq = a.seq
+  LEFT JOIN (SELECT * FROM p WHERE rn = 2) b ON r.file = b.file AND r.name = b.name AND r.line = b.line AND r.seq = b.seq)"""
+_LEAST = 0.65
 
 
-@query(_STATS + """ SELECT count(*) AS calls, count(*) FILTER (took) AS resolved, count(*) FILTER (best IS NOT NULL AND NOT took) AS rejected, count(*) FILTER (best IS NULL) AS without_candidate,
-  count(*) FILTER (took AND strategy = 'same_file') AS by_same_file, count(*) FILTER (took AND strategy = 'type_hint') AS by_type_hint, count(*) FILTER (took AND strategy = 'import') AS by_import,
-  count(*) FILTER (took AND strategy = 'name_match') AS by_name_match, count(*) FILTER (took AND strategy = 'lsp') AS by_lsp, count(*) FILTER (took AND bucket = 0) AS b0, count(*) FILTER (took AND bucket = 1) AS b1,
-  count(*) FILTER (took AND bucket = 2) AS b2, count(*) FILTER (took AND bucket = 3) AS b3, count(*) FILTER (took AND bucket = 4) AS b4, count(*) FILTER (took AND best - second < 0.1) AS competition,
-  count(*) FILTER (took AND agrees) AS agreement, CAST(coalesce(sum(n - 1) FILTER (took), 0) AS BIGINT) AS near_misses FROM z""")
+@query(_STATS + f""" SELECT count(*) AS calls, count(*) FILTER (best IS NULL OR best < {_LEAST}) AS unresolved, count(*) FILTER (best < {_LEAST}) AS dropped,
+  """ + ", ".join(f"count(*) FILTER (best >= {_LEAST} AND strategy = '{s}') AS by_{s}" for s in ("same_file", "type_hint", "import", "name_match", "lsp")) + """,
+  """ + ", ".join(f"count(*) FILTER (best >= {_LEAST} AND best >= {k / 5}{f' AND best < {(k + 1) / 5}' if k < 4 else ''}) AS b{k}" for k in range(5)) + f""",
+  count(*) FILTER (best - second < 0.1) AS competition, count(*) FILTER (agrees) AS agreement, round(coalesce(sum({_LEAST} - best) FILTER (best < {_LEAST} AND best >= {_LEAST} - 0.2), 0), 6) AS near_misses FROM k""")
 def resolution_stats(v, spark):
-    return resolve.statistics(resolve.references(v("tags")), _union(v, *_HEURISTICS))
+    s = resolve.statistics(resolve.references(v("tags")), _union(v, *_HEURISTICS), least=_LEAST)
+    return s.withColumn("near_misses", F.round("near_misses", 6))
 
 
-@query(_STATS + """ SELECT round(count(*) FILTER (took) / count(*)::DOUBLE, 6) AS resolution_rate, round(count(*) FILTER (best IS NOT NULL AND NOT took) / count(best)::DOUBLE, 6) AS rejection_rate,
-  round(count(*) FILTER (took AND best - second < 0.1) / (count(*) FILTER (took))::DOUBLE, 6) AS competition_rate, 0.0 AS lsp_share FROM z""")
+@query(_STATS + f""", q AS (SELECT * FROM ({_ENCLOSED}) WHERE caller IS NOT NULL), l AS (SELECT c.* FROM ({_strategy('lsp')}) c SEMI JOIN q ON c.file = q.file AND c.name = q.name AND c.line = q.line AND c.seq = q.seq),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, name, line, seq ORDER BY t_file DESC, t_line DESC) AS o FROM l) WHERE o = 1),
+m AS (SELECT count(*) FILTER (t.t_file = p.t_file AND t.t_name = p.t_name AND t.t_line = p.t_line) AS yes, count(*) AS n FROM t JOIN p ON t.file = p.file AND t.name = p.name AND t.line = p.line AND t.seq = p.seq),
+z AS (SELECT count(*)::DOUBLE AS calls, count(*) FILTER (best > 0.3) AS taken, count(*) FILTER (best <= 0.3) AS dropped, count(*) FILTER (best - second < 0.1) AS close FROM k)
+SELECT round(taken / calls, 6) AS resolution_rate, round(dropped / calls, 6) AS rejection_rate, round(close / taken::DOUBLE, 6) AS competition_rate,
+  round((SELECT count(*) FROM l) / (SELECT count(*) FROM q)::DOUBLE, 6) AS lsp_utilisation, round((n - yes) / n::DOUBLE, 6) AS lsp_conflict_rate FROM z, m""")
 def resolution_rates(v, spark):
-    r = resolve.rates(resolve.statistics(resolve.references(v("tags")), _union(v, *_HEURISTICS)))
+    refs = resolve.references(v("tags"))
+    r = resolve.rates(resolve.statistics(refs, _union(v, *_HEURISTICS)), resolve.typed_lookups(v("tags"), _union(v, *_HEURISTICS, "lsp")))
     return r.select(*(_r(c, c) for c in r.columns))
 
 
@@ -480,10 +500,10 @@ def test_coupling(v, spark):
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
 
-_EVAL = """WITH t AS (SELECT * FROM {truth} WHERE relevance > 0), i AS (SELECT "case", sum(CASE WHEN rn <= 10 THEN relevance / log2(rn + 1) END) AS idcg, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY relevance DESC, item) AS rn FROM t) GROUP BY "case"),
+_EVAL = """WITH t AS (SELECT * FROM {truth} WHERE relevance > 0), i AS (SELECT "case", sum(CASE WHEN rn <= 10 THEN relevance / log2(rn + 1) END) AS idcg, sum(CASE WHEN rn <= 5 THEN relevance / log2(rn + 1) END) AS idcg_5, count(*) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY relevance DESC, item) AS rn FROM t) GROUP BY "case"),
 h AS (SELECT r."case", r.pos, t.relevance, CASE WHEN t.relevance IS NULL THEN 0 ELSE 1 END AS hit FROM {ranking} r LEFT JOIN t ON r."case" = t."case" AND r.item = t.item), f AS (SELECT *, sum(hit) OVER (PARTITION BY "case" ORDER BY pos) AS found FROM h),
-g AS (SELECT "case", sum(CASE WHEN pos <= 10 THEN relevance / log2(pos + 1) END) AS dcg, sum(CASE WHEN pos <= 10 THEN hit END) AS top_hits, count(*) AS length, min(CASE WHEN hit = 1 THEN pos END) AS first, sum(CASE WHEN hit = 1 THEN found / pos::DOUBLE END) AS precisions FROM f GROUP BY "case"),
-e AS (SELECT coalesce(i."case", g."case") AS "case", coalesce(dcg / idcg, 0) AS ndcg, coalesce(top_hits / least(10, length)::DOUBLE, 0) AS p_at_k, coalesce(top_hits / relevant::DOUBLE, 0) AS r_at_k, coalesce(1.0 / first, 0) AS mrr, coalesce(precisions / relevant, 0) AS ap FROM i FULL JOIN g ON i."case" = g."case")"""
+g AS (SELECT "case", sum(CASE WHEN pos <= 10 THEN relevance / log2(pos + 1) END) AS dcg, sum(CASE WHEN pos <= 5 THEN relevance / log2(pos + 1) END) AS dcg_5, sum(CASE WHEN pos <= 10 THEN hit END) AS top_hits, sum(CASE WHEN pos <= 5 THEN hit END) AS top_5, count(*) AS length, min(CASE WHEN hit = 1 THEN pos END) AS first, sum(CASE WHEN hit = 1 THEN found / pos::DOUBLE END) AS precisions FROM f GROUP BY "case"),
+e AS (SELECT coalesce(i."case", g."case") AS "case", coalesce(dcg / idcg, 0) AS ndcg, coalesce(dcg_5 / idcg_5, 0) AS ndcg_5, coalesce(top_hits / least(10, length)::DOUBLE, 0) AS p_at_k, coalesce(top_5 / least(5, length)::DOUBLE, 0) AS p_at_5, coalesce(top_hits / relevant::DOUBLE, 0) AS r_at_k, coalesce(top_5 / relevant::DOUBLE, 0) AS r_at_5, coalesce(1.0 / first, 0) AS mrr, coalesce(precisions / relevant, 0) AS ap FROM i FULL JOIN g ON i."case" = g."case")"""
 
 
 def _eval(v) -> DataFrame:
@@ -498,7 +518,7 @@ def _metric(name: str, *columns: str) -> None:
     query(_EVAL + ' SELECT "case", ' + ", ".join(f"round({c}, 6) AS {c}" for c in columns) + " FROM e")(f)
 
 
-for _name, _columns in {"ndcg_at_k": ["ndcg"], "precision_recall": ["p_at_k", "r_at_k"], "mrr": ["mrr"], "mean_average_precision": ["ap"]}.items():
+for _name, _columns in {"ndcg_at_k": ["ndcg", "ndcg_5"], "precision_recall": ["p_at_k", "p_at_5", "r_at_k", "r_at_5"], "mrr": ["mrr"], "mean_average_precision": ["ap"]}.items():
     _metric(_name, *_columns)
 
 _M = metrics.METRICS
@@ -516,9 +536,12 @@ def eval_weighted(v, spark):
     return m.select(*(_r(c, c) for c in m.columns))
 
 
-@query(_EVAL + """ SELECT "case", round(ndcg, 6) AS ndcg FROM (SELECT *, row_number() OVER (ORDER BY "case") AS rn FROM e) WHERE rn <= 50 AND ndcg < 0.8 ORDER BY rn LIMIT 10""")
+@query(_EVAL + """, fl AS (SELECT "case", ndcg FROM (SELECT * FROM (SELECT "case", ndcg FROM e ORDER BY "case" LIMIT 50) WHERE ndcg < 0.8 ORDER BY "case" LIMIT 10))
+SELECT "case", round(ndcg, 6) AS ndcg, coalesce((SELECT list(item ORDER BY o) FROM (SELECT item, row_number() OVER (ORDER BY relevance DESC, item) AS o FROM t WHERE t."case" = fl."case") WHERE o <= 5), []) AS expected,
+  coalesce((SELECT list(r.item ORDER BY r.pos) FROM {ranking} r WHERE r."case" = fl."case" AND r.pos <= 5), []) AS actual FROM fl""")
 def failure_report(v, spark):
-    return metrics.failures(_eval(v), 0.8).select("case", _r("ndcg", "ndcg"))
+    f = metrics.explained(metrics.failures(_eval(v), 0.8), v("ranking"), v("truth"))
+    return f.select("case", _r("ndcg", "ndcg"), "expected", "actual")
 
 
 _SUPPLIERS = "SELECT l_suppkey AS k, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n FROM lineitem GROUP BY l_suppkey"
@@ -663,22 +686,74 @@ def best_configuration(v, spark):
     return s.agg(F.max("score").isNotNull().alias("found"), F.max_by("point", F.struct("score", -F.col("point"))).alias("point"))
 
 
-_ABLATED = " UNION ALL ".join(f"SELECT '{k}' AS ablated, {PARAMETERS['depth_weight_root'][4 if k == 'depth_weight_root' else 3]} AS depth_weight_root, {PARAMETERS['boost_chat_file'][4 if k == 'boost_chat_file' else 3]} AS boost_chat_file" for k in ["baseline", *PARAMETERS])
+_USED = ["depth_weight_root", "depth_weight_moderate", "depth_weight_deep", "git_recency_max_boost", "git_churn_max_boost"]  # by the simulated score
+_ITEMS = """SELECT o_custkey AS "case", concat('src/', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a/b/c/' ELSE 'a/b/c/d/e/' END, 'f', o_orderkey, '.rs') AS item, o_orderkey AS key, o_totalprice / 500000 AS coupling FROM orders
+  UNION ALL SELECT "case", concat(CASE i % 5 WHEN 0 THEN 'src/distractor_' WHEN 1 THEN 'src/utils/helper_' WHEN 2 THEN 'src/core/internal/deep_' WHEN 3 THEN 'lib/mod_' ELSE 'tests/test_' END, i, '.rs'), "case" * 1000 + i, 0.0
+  FROM (SELECT o_custkey AS "case", unnest(range(greatest(10, 3 * count(*)))) AS i FROM orders GROUP BY o_custkey)"""
+
+
+def _simulated(points: str, key: str) -> str:
+    """z(key, score): NDCG of the simulated rankings of _ITEMS by the points, weighted by the customers' numbers."""
+    p = dict(zip(_USED, ("p.root", "p.moderate", "p.deep", "p.recent", "p.busy")))
+    return f"""WITH pts({key}, root, moderate, deep, recent, busy) AS ({points}), items AS MATERIALIZED ({_ITEMS}),
+b AS (SELECT p.{key}, "case", item, coupling, CASE WHEN coupling > 0 THEN coupling ELSE 0.05 END * CASE WHEN len(string_split(item, '/')) <= 3 THEN root WHEN len(string_split(item, '/')) <= 5 THEN moderate ELSE deep END AS base,
+  recent, busy, coupling > 0 AS real, {_uniform('key', 1)} AS u1, {_uniform('key', 2)} AS u2, {_uniform('key', 3)} AS u3, {_uniform('key', 4)} AS u4 FROM items, pts p),
+s AS (SELECT {key}, "case", item, coupling, round(base * CASE WHEN u1 < CASE WHEN real THEN 0.7 ELSE 0.2 END THEN 1 + (recent - 1) * (1 - u2 * 0.3) ELSE 1 END * CASE WHEN u3 < CASE WHEN real THEN 0.4 ELSE 0.1 END THEN 1 + (busy - 1) * 0.5 ELSE 1 END * (0.85 + 0.3 * u4), 9) AS score FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key}, "case" ORDER BY score DESC, item) AS pos FROM s),
+i AS (SELECT "case", sum(CASE WHEN rn <= 10 THEN coupling / log2(rn + 1) END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY coupling DESC, item) AS rn FROM items WHERE coupling > 0) GROUP BY "case"),
+g AS (SELECT {key}, "case", sum(CASE WHEN pos <= 10 THEN coupling / log2(pos + 1) END) AS dcg FROM r GROUP BY 1, 2),
+z AS (SELECT {key}, sum(coalesce(dcg / idcg, 0) * (1 + "case" % 7)) / sum(1 + "case" % 7) AS score FROM g LEFT JOIN i USING ("case") GROUP BY {key})"""
+
+
+def _items(v) -> DataFrame:
+    o, k = v("orders"), F.col("o_orderkey")
+    folder = F.when(k % 3 == 0, "").when(k % 3 == 1, "a/b/c/").otherwise("a/b/c/d/e/")
+    real = o.select(F.col("o_custkey").alias("case"), F.concat(F.lit("src/"), folder, F.lit("f"), k, F.lit(".rs")).alias("item"), k.alias("key"), (F.col("o_totalprice") / 500000).alias("coupling"))
+    made = search.distractors(o.groupBy(F.col("o_custkey").alias("case")).agg(F.count("*").alias("n")))
+    return real.unionByName(made.select("case", "item", (F.col("case") * 1000 + F.col("i")).alias("key"), F.lit(0.0).alias("coupling")))
+
+
+def _scored(v, points: DataFrame, by: str) -> DataFrame:
+    weights = v("orders").select(F.col("o_custkey").alias("case")).distinct().withColumn("weight", 1 + F.col("case") % 7)
+    return search.evaluate(points, _items(v), weights, by).withColumn("score", F.col("ndcg"))
+
+
+def _point(name: str, values: dict[str, float]) -> str:
+    return f"SELECT '{name}', " + ", ".join(str(values[k]) for k in _USED)
+
+
+_DEFAULT = {k: x[3] for k, x in PARAMETERS.items()}
+_ABLATED = " UNION ALL ".join(_point(k, _DEFAULT | ({k: PARAMETERS[k][4]} if k in PARAMETERS else {})) for k in ["baseline", *PARAMETERS])
 
 
-@query(_graded_sql(_ABLATED, "ablated") + """, b AS (SELECT score AS base FROM z WHERE ablated = 'baseline'), a AS (SELECT ablated, score, greatest(0, round(base - score, 9)) AS importance FROM z, b WHERE ablated <> 'baseline')
+@query(_simulated(_ABLATED, "ablated") + """, bl AS (SELECT score AS base FROM z WHERE ablated = 'baseline'), a AS (SELECT ablated, score, greatest(0, round(base - score, 9)) AS importance FROM z, bl WHERE ablated <> 'baseline')
 SELECT ablated, round(score, 6) AS score, round(importance, 6) AS importance, row_number() OVER (ORDER BY importance DESC, ablated) AS place FROM a""")
 def ablation(v, spark):
-    s = search.importance(_graded(v, search.ablations(spark), "ablated"))
+    s = search.importance(_scored(v, search.ablations(spark), "ablated"))
     return s.select("ablated", _r("score", "score"), _r("importance", "importance"), "place")
 
 
+_SWEPT = "git_recency_max_boost"
+
+
+@query(_simulated(" UNION ALL ".join(_point(str(i), _DEFAULT | {_SWEPT: math.exp(math.log(2.0) + i / 6 * math.log(10.0))}) for i in range(7)), "step") + " SELECT CAST(step AS INT) AS step, round(score, 6) AS score FROM z")
+def oat_scores(v, spark):
+    c = search.curves(spark).filter(F.col("name") == _SWEPT)
+    return _scored(v, c.drop("name", "value"), "step").select("step", _r("score", "score"))
+
+
+@query("""SELECT name, round(least(most_v, greatest(least_v, value * CASE name WHEN 'pagerank_alpha' THEN 0.9 WHEN 'boost_chat_file' THEN 1.3 WHEN 'focus_decay' THEN 0.0 ELSE 1.0 END))::DOUBLE, 6) AS value FROM (VALUES """ + ", ".join(f"('{k}', {x[3]}, {x[0]}, {x[1]})" for k, x in PARAMETERS.items()) + ") p(name, value, least_v, most_v)")
+def changed_point(v, spark):
+    changes = [("pagerank_alpha", "decrease", "small"), ("pipeline.boost_chat_file", "increase", "medium"), ("boost_chat_file", "decrease", "large"), ("focus_decay", "decrease", "large"), ("no_such", "increase", "large")]
+    return search.applied(_DEFAULT, spark.createDataFrame(changes, "name string, direction string, size string").coalesce(1)).select("name", _r("value", "value"))
+
+
 @query("SELECT name, step, round(CASE WHEN logarithmic THEN exp(ln(least_v) + step / 6.0 * (ln(most_v) - ln(least_v))) ELSE least_v + step / 6.0 * (most_v - least_v) END, 6) AS value FROM (VALUES " + ", ".join(f"('{k}', {x[0]}, {x[1]}, {str(x[2]).lower()})" for k, x in PARAMETERS.items()) + ") p(name, least_v, most_v, logarithmic), (SELECT CAST(range AS INT) AS step FROM range(7)) r")
 def oat_curve(v, spark):
     return search.curves(spark).select("name", "step", _r("value", "value"))
 
 
-@query("""WITH s AS (SELECT n_name AS name, n_nationkey / 10.0E0 AS importance FROM nation), p AS (SELECT a.n_name AS a, b.n_name AS b, a.n_nationkey * b.n_nationkey / 100.0E0 AS effect FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey)
+@query("""WITH s AS (SELECT n_name AS name, n_nationkey / 10.0E0 AS importance FROM nation ORDER BY importance DESC, name LIMIT 6), p AS (SELECT a.n_name AS a, b.n_name AS b, a.n_nationkey * b.n_nationkey / 100.0E0 AS effect FROM nation a, nation b WHERE a.n_nationkey < b.n_nationkey)
 SELECT p.a, p.b, round(effect - x.importance - y.importance, 6) AS interaction FROM p JOIN s x ON x.name = p.a JOIN s y ON y.name = p.b WHERE abs(effect - x.importance - y.importance) > 0.01 + 1e-9""")
 def interactions(v, spark):
     n = v("nation")
@@ -712,8 +787,8 @@ def param_deltas(v, spark):
     return d.select("user_id", "step", "name", _r("old", "old"), _r("new", "new"), _r("delta", "delta"))
 
 
-@query("""WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step DESC) AS rn FROM {series}), a AS (SELECT user_id, count(*) AS steps, max(score) FILTER (rn <= 3) AS hi, min(score) FILTER (rn <= 3) AS lo, max(score) FILTER (rn = 1) AS e, max(score) FILTER (rn = 3) AS b FROM s GROUP BY user_id)
-SELECT user_id, steps, steps >= 3 AND hi - lo < 0.3 AS plateau, coalesce(steps >= 3 AND b - e > 0.3, false) AS collapse FROM a""")
+@query("""WITH s AS (SELECT user_id, score, row_number() OVER w AS rn, lead(score, 2) OVER w AS b FROM {series} WINDOW w AS (PARTITION BY user_id ORDER BY step DESC)), n AS (SELECT user_id, count(*) AS steps FROM {series} GROUP BY user_id)
+SELECT user_id, steps, coalesce(abs(score - b) < 0.3, false) AS plateau, coalesce(score < b - 0.3, false) AS collapse FROM s JOIN n USING (user_id) WHERE rn = 1""")
 def plateau(v, spark):
     return runs.plateaus(v("series"), "user_id", "step", "score", 3, 0.3)
 
@@ -730,10 +805,11 @@ def trend_arrows(v, spark):
     return runs.trends(v("series"), "user_id", "step", "score").select("user_id", "step", "trend")
 
 
-@query("""SELECT user_id, step, round(avg(score) OVER w, 6) AS recent_mean, round(max(score) OVER w - min(score) OVER w, 6) AS recent_spread FROM {series} WINDOW w AS (PARTITION BY user_id ORDER BY step ROWS 2 PRECEDING)""")
+@query("""WITH s AS (SELECT user_id, step, score, lag(score) OVER w AS a, lag(score, 2) OVER w AS b FROM {series} WINDOW w AS (PARTITION BY user_id ORDER BY step)), d AS (SELECT *, (pow(a - score, 2) + pow(b - score, 2)) / 3 AS spread FROM s)
+SELECT user_id, step, round(spread, 6) AS spread, CASE WHEN spread < 0.0001 THEN 'converged' WHEN spread < 0.001 THEN 'stabilising' ELSE 'moving' END AS state FROM d""")
 def convergence_window(v, spark):
-    r = runs.recent(v("series"), "user_id", "step", "score")
-    return r.select("user_id", "step", _r("recent_mean", "recent_mean"), _r("recent_spread", "recent_spread"))
+    r = runs.convergence(v("series"), "user_id", "step", "score")
+    return r.select("user_id", "step", _r("spread", "spread"), "state")
 
 
 @query("""WITH a AS (SELECT user_id, count(*) AS n, arg_min(score, step) AS f, arg_max(score, step) AS l, max(score) AS best, min(score) AS worst, avg(score) AS mean, stddev_pop(score) AS sd FROM {series} GROUP BY user_id)
@@ -802,9 +878,10 @@ def unique_prompts(v, spark):
     return prompts.unique_prompts(v("series"), "event_type")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thon')")
+@query("""SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'thon') OR contains(lower(role), 'thon') OR (role = 'user' AND contains(lower(role || ' ' || substr(text, 1, 40)), 'user th'))""")
 def episode_search(v, spark):
-    return prompts.search_episodes(v("conversations"), "text", "Thon").select("conv_id", "turn")
+    c = v("conversations").select("conv_id", "turn", F.split("text", " ").alias("failures"), F.array("role").alias("capsules"), F.when(F.col("role") == "user", F.array(F.lit("-"), F.concat_ws(" ", "role", F.substring("text", 1, 40)))).alias("insights"))
+    return prompts.search_episodes(c, ["failures"], "Thon").unionByName(prompts.search_episodes(c, ["capsules"], "Thon")).unionByName(prompts.search_episodes(c, ["insights"], "user TH")).select("conv_id", "turn").distinct()
 
 
 @query("""WITH f AS (SELECT user_id, event_type AS item, min(step) AS seen FROM {series} GROUP BY user_id, event_type) SELECT user_id, list(item ORDER BY seen) AS insights FROM f GROUP BY user_id""")
@@ -812,7 +889,7 @@ def insight_union(v, spark):
     return prompts.insights(v("series").select("user_id", "step", F.array("event_type").alias("items")), "user_id", "step", "items")
 
 
-@query("""WITH l AS (SELECT c_custkey AS k, c_nationkey / 24.0E0 AS a, c_acctbal / 10000 AS b FROM customer) SELECT k, lever, round(value, 6) AS value FROM (SELECT k, 'a' AS lever, a AS value FROM l UNION ALL SELECT k, 'b', b FROM l) WHERE value < 0.1 OR value > 0.9""")
+@query("""WITH l AS (SELECT c_custkey AS k, c_nationkey / 24.0E0 AS a, c_acctbal / 10000 AS b FROM customer) SELECT k, lever, round(value, 6) AS value FROM (SELECT k, 'a' AS lever, a AS value FROM l UNION ALL SELECT k, 'b', b FROM l) WHERE value < 0.2 OR value > 0.8""")
 def extreme_levers(v, spark):
     l = v("customer").select(F.col("c_custkey").alias("k"), (F.col("c_nationkey") / 24).alias("a"), (F.col("c_acctbal") / 10000).alias("b"))  # noqa: E741
     return prompts.extremes(l, ["k"], ["a", "b"]).select("k", "lever", _r("value", "value"))
@@ -840,7 +917,29 @@ def fallback_distractors(v, spark):
 @query(f"SELECT src_file, src_name, dst_file, dst_name, call_site FROM ({_CALLS}) WHERE src_name = 'the'")
 def calls_from(v, spark):
     g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
-    return g.filter("src_name = 'the'").select("src_file", "src_name", "dst_file", "dst_name", "call_site")
+    return graph.calls(g, None, "the").select("src_file", "src_name", "dst_file", "dst_name", "call_site")
+
+
+@query(f"SELECT src_file, src_name, dst_file, dst_name, call_site FROM ({_CALLS}) WHERE dst_name = 'der' AND starts_with(dst_file, 'd1/')")
+def calls_to(v, spark):
+    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    return graph.calls(g, None, "der", "to").filter(F.startswith("dst_file", F.lit("d1/"))).select("src_file", "src_name", "dst_file", "dst_name", "call_site")
+
+
+@query(f"SELECT DISTINCT file, name, line, parent FROM (SELECT src_file AS file, src_name AS name, src_line AS line, src_parent AS parent FROM ({_CALLS}) UNION ALL SELECT dst_file, dst_name, dst_line, dst_parent FROM ({_CALLS})) WHERE name = 'the'")
+def functions_by_name(v, spark):
+    return resolve.functions_named(resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow()), name="the")
+
+
+@query(f"SELECT * FROM ({_all('same_file', 'import')})")
+def supported_strategies(v, spark):
+    return resolve.supported(_union(v, "same_file", "type_hint", "import"), "rust")
+
+
+@query(f"""SELECT e.file AS src_file, e.caller AS src_name, e.name AS dst_name, e.line AS call_site FROM ({_ENCLOSED}) e ANTI JOIN ({_all(*_HEURISTICS)}) c ON e.file = c.file AND e.name = c.name AND e.line = c.line AND e.seq = c.seq WHERE e.caller IS NOT NULL""")
+def dangling_calls(v, spark):
+    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow(), dangling=True)
+    return g.filter("dst_file = '?'").select("src_file", "src_name", "dst_name", "call_site")
 
 
 @query("SELECT file, name, line, '[' || kind || ']' AS badge FROM {tags}")
@@ -894,7 +993,7 @@ def regex_tags(v, spark):
     return extract.tags(files).select("file", "name", "line", "kind", "node_type")
 
 
-@query("""SELECT user_id, count(*) AS n FROM {series} GROUP BY user_id""")
+@query("""WITH l AS (SELECT user_id, list(score ORDER BY step) AS v FROM {series} GROUP BY user_id), b AS (SELECT user_id, v, list_min(v) AS lo, greatest(list_max(v) - list_min(v), 0.001) AS r FROM l)
+SELECT user_id, array_to_string(list_transform(range(0, 20), lambda i: CASE WHEN len(v) > 20 THEN substr('▁▂▃▄▅▆▇█', 1 + round((v[1 + i * len(v) // 20] - lo) / r * 7)::INT, 1) WHEN i < len(v) THEN substr('▁▂▃▄▅▆▇█', 1 + round((v[1 + i] - lo) / r * 7)::INT, 1) ELSE ' ' END), '') AS spark FROM b""")
 def series_sparkline(v, spark):
-    s = render.sparkline(v("series"), "user_id", "step", "score")
-    return s.select("user_id", F.length("spark").cast("bigint").alias("n"))
+    return render.sparkline(v("series"), "user_id", "step", "score")

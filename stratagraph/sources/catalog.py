@@ -16,10 +16,20 @@ REPOSITORIES = [
 ]
 
 
-def repositories(spark: SparkSession, language: str | None = None, quality: str | None = None, size: str | None = None, most: int | None = None) -> DataFrame:
-    """(name, url, language, quality, size), those that match, by name; the first so many if asked."""
-    df = spark.createDataFrame(REPOSITORIES, "name string, url string, language string, quality string, size string")
-    for column, value in (("language", language), ("quality", quality), ("size", size)):
-        df = df.filter(F.col(column) == value) if value else df
+#: Shares of useful history, and places of the sizes in their order.
+QUALITY, SIZES = {"high": 0.9, "medium": 0.8}, ("small", "medium", "large")
+
+
+def repositories(spark: SparkSession, language: str | None = None, least_quality: float | None = None, most_size: str | None = None, most: int | None = None) -> DataFrame:
+    """(name, url, language, quality, size), of a language, at least so good and at most so large, by name; the first so many if asked."""
+    df = spark.createDataFrame([(n, u, la, QUALITY[q], s) for n, u, la, q, s in REPOSITORIES], "name string, url string, language string, quality double, size string")
+    df = df.filter(F.col("language") == language) if language else df
+    df = df.filter(F.col("quality") >= least_quality) if least_quality is not None else df
+    df = df.filter(F.col("size").isin(*SIZES[: SIZES.index(most_size) + 1])) if most_size else df
     df = df.orderBy("name")
     return df.limit(most) if most else df
+
+
+def quick(spark: SparkSession) -> DataFrame:
+    """Five good repositories that aren't large."""
+    return repositories(spark, least_quality=0.85, most_size="medium", most=5)

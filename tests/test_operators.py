@@ -42,8 +42,28 @@ def test_pagerank_matches_plain_loop(spark):
     for _ in range(12):
         loose = sum(rank[n] for n in names if not out[n])
         rank = {n: 0.15 * p[n] + 0.85 * (sum(rank[s] * w / out[s] for s, d, w in edges if d == n) + loose * p[n]) for n in names}
-    got = ranks(spark, edges, list(names), iterations=12, tolerance=0.0)
-    assert all(got[n] == pytest.approx(rank[n], abs=1e-9) for n in names)
+    for small in (graph.SMALL, 0):  # in one task, and by joins; what comes from no node doesn't count
+        got = ranks(spark, [*edges, ("x", "a", 5)], list(names), iterations=12, tolerance=0.0, small=small)
+        assert got.keys() == rank.keys() and all(got[n] == pytest.approx(rank[n], abs=1e-9) for n in names)
+
+
+def test_pagerank_convergence(spark):
+    """Both ways stop at the same step, once nothing moves by the tolerance."""
+    edges = [(chr(97 + i), chr(97 + (i * i + 1) % 12), 1 + i % 3) for i in range(12)]
+    one, joined = (ranks(spark, edges, tolerance=1e-3, small=small) for small in (graph.SMALL, 0))
+    exact = ranks(spark, edges, tolerance=0.0, iterations=200)
+    assert all(one[n] == pytest.approx(joined[n], abs=1e-12) and one[n] == pytest.approx(exact[n], abs=5e-3) for n in exact)
+    early, five = ranks(spark, [("a", "b", 1), ("b", "a", 1), ("c", "a", 1)], tolerance=1.0), ranks(spark, [("a", "b", 1), ("b", "a", 1), ("c", "a", 1)], tolerance=0.0, iterations=5)
+    assert early == five
+    assert sum(one.values()) == pytest.approx(1)
+
+
+def test_function_ranks_weigh_depth_and_tell_lines_apart(spark):
+    t = spark.createDataFrame([tag("a.py", "f", 1, "def"), tag("a.py", "f", 9, "def"), tag("a/b/c/d/e/g.py", "g", 1, "def"), tag("vendor/h.py", "h", 1, "def")], TAGS)
+    calls = spark.createDataFrame([], "src_file string, src_name string, src_line int, src_parent string, dst_file string, dst_name string, dst_line int, dst_parent string, confidence double")
+    got = {r.node: r["rank"] for r in policy.function_ranks(t, calls).collect()}
+    assert set(got) == {"a.py::f::1::", "a.py::f::9::", "a/b/c/d/e/g.py::g::1::", "vendor/h.py::h::1::"}
+    assert got["a.py::f::1::"] == pytest.approx(1 / 2.11) and got["a/b/c/d/e/g.py::g::1::"] == pytest.approx(0.1 / 2.11) and got["vendor/h.py::h::1::"] == pytest.approx(0.01 / 2.11)
 
 
 def test_pagerank_empty(spark):
@@ -77,9 +97,25 @@ def test_call_graph(spark):
     got = resolve.call_graph(t, c).collect()
     assert [(r.src_name, r.dst_name, r.confidence) for r in got] == [("main", "helper", 0.9)]
     s = resolve.statistics(resolve.references(t), c)
-    assert (s.first().calls, s.first().resolved, s.first().b4) == (2, 1, 1) and resolve.rates(s).first().resolution_rate == 0.5
+    assert (s.first().calls, s.first().unresolved, s.first().b4) == (2, 1, 1) and resolve.rates(s, resolve.typed_lookups(t, c)).first().resolution_rate == 0.5
     assert resolve.call_graph(t, c, dangling=True).filter("dst_file = '?'").count() == 1
-    assert resolve.rates(resolve.statistics(resolve.references(t.limit(0)), c.limit(0))).first().resolution_rate == 1.0
+    none = resolve.rates(resolve.statistics(resolve.references(t.limit(0)), c.limit(0)), resolve.typed_lookups(t.limit(0), c.limit(0))).first()
+    assert tuple(none) == (1.0, 0.0, 0.0, 0.0, 0.0)
+    assert [tuple(r) for r in resolve.functions_named(resolve.call_graph(t, c), name="helper").collect()] == [("t.py", "helper", 10, None)]
+    assert resolve.functions_named(resolve.call_graph(t, c), file="t.py").count() == 2
+
+
+def test_statistics_of_dropped_calls(spark):
+    """Calls with best confidences 0.9, 0.5 twice and 0.3, put to a threshold of 0.6."""
+    t = spark.createDataFrame([tag("a", f"n{i}", i, "ref", seq=i) for i in range(5)], TAGS)
+    rows = [("a", "n0", 0, 0, "same_file", 3, 0.9, "a", "n0", 1), ("a", "n0", 0, 0, "name_match", 0, 0.85, "a", "n0", 1), ("a", "n1", 1, 1, "name_match", 0, 0.5, "b", "n1", 1), ("a", "n1", 1, 1, "name_match", 0, 0.45, "c", "n1", 1),
+            ("a", "n2", 2, 2, "name_match", 0, 0.5, "b", "n2", 1), ("a", "n3", 3, 3, "name_match", 0, 0.3, "b", "n3", 1), ("a", "n3", 3, 3, "name_match", 0, 0.1, "c", "n3", 1)]
+    c = spark.createDataFrame([(*r, None) for r in rows], "file string, name string, line int, seq long, strategy string, ordinal int, confidence double, t_file string, t_name string, t_line int, t_parent string")
+    s = resolve.statistics(resolve.references(t), c, least=0.6).first()
+    assert (s.calls, s.unresolved, s.dropped, s.by_same_file, s.b4, s.competition, s.agreement) == (5, 4, 3, 1, 1, 2, 1) and abs(s.near_misses - 0.2) < 1e-9
+    s = resolve.statistics(resolve.references(t), c).first()  # by the gate: above 0.3
+    assert (s.unresolved, s.dropped) == (2, 1) and abs(s.near_misses - 0.2) < 1e-9
+    assert resolve.statistics(resolve.references(t), c, gated=False).first().dropped == 0
 
 
 def test_cached_type(spark):
@@ -219,6 +255,10 @@ def test_runs(spark):
     r = runs.plateaus(s, "k", "step", "v", 3, 0.01).first()
     assert r.plateau and not r.collapse
     assert not runs.plateaus(s.limit(2), "k", "step", "v").first().plateau
+    there = spark.createDataFrame([("p", 0, 0.5), ("p", 1, 0.9), ("p", 2, 0.5), ("q", 0, 0.9), ("q", 1, 0.9), ("q", 2, 0.7)], "k string, step int, v double")
+    assert {r.k: (r.plateau, r.collapse) for r in runs.plateaus(there, "k", "step", "v").collect()} == {"p": (True, False), "q": (False, True)}
+    assert [(r.state, r.spread) for r in runs.convergence(there.filter("k = 'p'"), "k", "step", "v").orderBy("step").collect()] == [("moving", None), ("moving", None), ("moving", pytest.approx(0.16 / 3))]
+    assert runs.convergence(s, "k", "step", "v").orderBy(F.desc("step")).first().state == "converged"
     v = spark.createDataFrame([(float(i),) for i in range(1, 6)], "v double").agg(metrics.population_variance(F.col("v")).alias("x")).first().x
     assert v == 2
     d = runs.deltas(spark.createDataFrame([("r", 0, 1.0, 2.0), ("r", 1, 1.5, 2.0)], "run string, step int, a double, b double"), ["run"], "step", ["a", "b"]).collect()
@@ -290,7 +330,7 @@ def test_render(spark):
     j = render.joined_files(spark.createDataFrame([("b", "2"), ("a", "1"), ("n", None)], "path string, content string"), "--").first()
     assert j.text == "--\na\n--\n1\n--\nb\n--\n2" and not j.large
     s = render.sparkline(spark.createDataFrame([("k", i, float(i)) for i in range(8)], "k string, i int, v double"), "k", "i", "v").first()
-    assert s.spark == text.SPARKS
+    assert s.spark == text.SPARKS + " " * 12
 
 
 def test_files(spark, tmp_path):
@@ -313,6 +353,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"s.py": ["x", "y"]}')
     assert files.distractors(spark, str(tmp_path / "d.json")).count() == 2
     assert catalog.repositories(spark, language="rust", most=2).count() == 2
+    good = catalog.repositories(spark, least_quality=0.85, most_size="medium").collect()
+    assert good and all(r.quality >= 0.85 and r["size"] in ("small", "medium") for r in good)
+    assert {r["size"] for r in catalog.repositories(spark, most_size="large").collect()} == {"small", "medium", "large"} and catalog.quick(spark).count() == 5
 
 
 def test_streams(spark, tmp_path):
@@ -329,3 +372,30 @@ def test_prompt_files(tmp_path):
     prompts.save_prompt(str(tmp_path), "p1", 2, {"Role": "You rank.\nWell.", "Task": "Go"}, "p0", ("Role",))
     got = prompts.load_prompts(str(tmp_path))["p1"]
     assert got == {"id": "p1", "version": 2, "parent": "p0", "immutable": ["Role"], "sections": {"Role": "You rank.\nWell.", "Task": "Go"}}
+
+
+def test_focus(spark):
+    t = spark.createDataFrame([(f, n) for f, n in [("src/lib.rs", "parse_config"), ("src/auth.rs", "authenticate"), ("tests/auth.rs", "check"), ("src/main.rs", "main")]], "file string, name string")
+    ask = lambda *x: spark.createDataFrame([(y,) for y in x], "target string")
+    got = lambda *x: tuple(sorted(r[0] for r in d.collect()) for d in graph.focus(ask(*x), t))
+    assert got("lib.rs, auth") == (["src/lib.rs"], ["authenticate"])
+    assert got("auth.rs") == (["src/auth.rs"], []) and got("", " , ") == ([], []) and got("parser") == ([], ["parse_config"]) and got("no/such.rs") == ([], [])
+
+
+def test_languages_of_suffixes(spark):
+    known = {"a.pyw": "python", "a.hxx": "cpp", "a.hh": "cpp", "Rakefile.rake": "ruby", "x.gemspec": "ruby", "i.php4": "php", "i.phtml": "php", "b.kts": "kotlin", "w.sc": "scala", "r.markdown": "markdown", "p.cs": "c_sharp", "n.txt": None, "none": None}
+    got = {r.f: r.l for r in spark.createDataFrame([(k,) for k in known], "f string").select("f", paths.language(F.col("f")).alias("l")).collect()}
+    assert got == known
+
+
+def test_sparkline_width_and_floor(spark):
+    line = lambda v, w: render.sparkline(spark.createDataFrame([("k", i, x) for i, x in enumerate(v)], "k string, i int, v double"), "k", "i", "v", w).first().spark
+    assert line([0.0, 1.0], 4) == "▁█  " and line([0.5, 0.5001], 2) == "▁▂" and line([float(i) for i in range(8)], 4) == "▁▃▅▇"
+
+
+def test_evaluate_uses_every_case_weight(spark):
+    points = search.ablations(spark).filter("ablated IN ('baseline', 'focus_decay')")
+    items = spark.createDataFrame([(1, "a.rs", 1, 0.9), (1, "b.rs", 2, 0.0), (2, "c/d/e/f/g/h.rs", 3, 0.2), (2, "k.rs", 4, 0.0)], "case int, item string, key int, coupling double")
+    each = {c: {r.ablated: r.ndcg for r in search.evaluate(points, items.filter(F.col("case") == c), None, "ablated").collect()} for c in (1, 2)}
+    both = search.evaluate(points, items, spark.createDataFrame([(1, 3.0), (2, 1.0)], "case int, weight double"), "ablated").collect()
+    assert all(r.ndcg == pytest.approx((3 * each[1][r.ablated] + each[2][r.ablated]) / 4) for r in both) and len(both) == 2
