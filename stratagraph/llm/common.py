@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..storage import materialise
 
-__all__ = ["components", "id_buckets", "materialise", "partitions", "possibly", "read_table", "surely_not", "without_ids"]
+__all__ = ["any_id", "components", "id_buckets", "materialise", "partitions", "possibly", "read_table", "surely_not", "without_ids"]
 
 #: Buckets of the id filter that is broadcast: at most this many BIGINTs (8 MB), whatever the size of the data.
 ID_BUCKETS = 1 << 20
@@ -33,7 +34,7 @@ def free(df: DataFrame, name: str) -> str:
 
 
 def _bucket(column: str):
-    return F.expr(f"xxhash64(cast(`{column}` as bigint)) & {ID_BUCKETS - 1}")
+    return F.expr(f"xxhash64(cast(`{column}` as string)) & {ID_BUCKETS - 1}")
 
 
 def id_buckets(ids: DataFrame, column: str) -> DataFrame:
@@ -66,6 +67,39 @@ def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFr
     return surely_not(df, column, buckets).unionByName(left)
 
 
+#: Columns of results that hold ids of the input.
+IDS = ("doc_id", "class_id", "copy_of", "doc_a", "doc_b", "page_id", "partner_id")
+
+
+def any_id(column: str):
+    """Lets an operator whose first argument has BIGINT ids in this column take ids of any type that has an order.
+
+    Ids that aren't integers are numbered in their order, the operator works on the numbers, and its result has the ids again. Integers
+    are passed as they are.
+    """
+
+    def wrap(f):
+        @functools.wraps(f)
+        def run(df: DataFrame, *args, **how):
+            if isinstance(df.schema[column].dataType, T.IntegralType):
+                return f(df, *args, **how)
+            own, number = free(df, "own_id"), free(df, "id_number")
+            ids = df.select(F.col(column).alias(own)).filter(F.col(own).isNotNull()).distinct()
+            ids = ids.repartitionByRange(partitions(df.sparkSession), own).sortWithinPartitions(own)
+            ids = materialise(ids.select(own, F.monotonically_increasing_id().alias(number)), "ids")
+            numbered = df.join(ids, F.col(column) == F.col(own), "left").select(*(F.col(number).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns))
+            out = f(materialise(numbered, "numbered"), *args, **how)
+            for c in (c for c in out.columns if c in IDS):
+                name = free(out, "id_number")
+                named = ids.select(F.col(own).alias(free(out, "own_id")), F.col(number).alias(name))
+                out = out.join(named, F.col(c) == F.col(name), "left").select(*(F.col(named.columns[0]).alias(x) if x == c else F.col(f"`{x}`") for x in out.columns))
+            return out
+
+        return run
+
+    return wrap
+
+
 def stars(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Edges (v, least vertex that v reaches) in place of the edges (a, b): as connected, and at most one a vertex."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -94,14 +128,26 @@ def lowest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Stars, at most one a vertex and task, that one task puts together by itself (16 MB).
+SMALL = 1 << 20
+
+
+def _labels(table: pa.Table) -> pa.Table:
+    v, u = (table.column(k).to_numpy() for k in ("v", "u"))
+    ids, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    return pa.table([ids, ids[lowest(len(ids), at[: len(v)], at[len(v) :])]], names=["v", "comp"])
+
+
+def components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """(v, comp): each vertex of the undirected edges (v, u) with the least vertex of its connected component.
 
     First every partition replaces its edges by stars, so that a dense group is carried on by its vertices rather than its pairs.
-    Then least labels spread with pointer jumping; each round is cut by a written table, and their number grows with the
-    logarithm of the longest path. An empty edge table gives an empty result; self loops and repeated edges change nothing.
+    At most so many stars are put together by one task. Of more, least labels spread with pointer jumping; each round is cut by a
+    written table, and their number grows with the logarithm of the longest path. An empty edge table gives an empty result; self loops and repeated edges change nothing.
     """
     few = materialise(edges.repartition(partitions(edges.sparkSession), "u").mapInArrow(_stars, "v bigint, u bigint"), "stars")
+    if few.limit(small + 1).count() <= small:
+        return few.groupBy(F.lit(1).alias("all")).applyInArrow(_labels, "v bigint, comp bigint")
     both = materialise(few.union(few.select("u", "v")).distinct(), "edges")
     label = materialise(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("comp")), "labels")
     while True:

@@ -49,7 +49,7 @@ def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+    return ngram_join.ngram_classes(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
@@ -112,13 +112,17 @@ SELECT d.doc_id, CASE WHEN o.changed THEN o.kept ELSE d.text END AS text, d.lang
        CASE WHEN o.changed THEN length(o.kept) ELSE d.n_chars END AS n_chars
 FROM documents d LEFT JOIN o USING (doc_id) WHERE NOT coalesce(o.changed, false) OR regexp_matches(o.kept, '\\S')""",
     "op10_ngram_join": f"""
-WITH dw AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE dw AS (SELECT doc_id, {_words('text')} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct({_runs(3)})) AS sh FROM dw WHERE len(w) > 0),
-r AS (SELECT sh, min(doc_id) AS rep FROM s GROUP BY sh),
-t AS (SELECT rep, len(sh) AS n, unnest(sh) AS x FROM r),
-p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL)
-SELECT doc_a, doc_b, shared AS overlap, round(shared / (na + nb - shared)::DOUBLE, 6) AS jaccard FROM p WHERE shared >= 0.6 * (na + nb - shared) - 1e-9
-UNION ALL SELECT r.rep, s.doc_id, len(s.sh), 1.0 FROM s JOIN r USING (sh) WHERE s.doc_id > r.rep""",
+r AS (SELECT sh, min(doc_id) AS rep, count(*) AS n FROM s GROUP BY sh),
+t AS (SELECT rep, len(sh) AS m, unnest(sh) AS x FROM r),
+p AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.m AS ma, b.m AS mb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT doc_a, doc_b FROM p WHERE shared >= 0.6 * (ma + mb - shared) - 1e-9),
+l AS (SELECT e.doc_a AS rep, sum(r.n) AS links FROM e JOIN r ON r.rep = e.doc_b GROUP BY e.doc_a),
+c AS (SELECT rep AS v, rep AS u FROM r UNION SELECT c.v, e.doc_b FROM c JOIN e ON e.doc_a = c.u),
+g AS (SELECT v, min(u) AS class_id FROM c GROUP BY v)
+SELECT s.doc_id, g.class_id, r.rep AS copy_of, len(s.sh) AS n_shingles, (r.n - 1 + coalesce(l.links, 0))::BIGINT AS n_links
+FROM s JOIN r USING (sh) JOIN g ON g.v = r.rep LEFT JOIN l ON l.rep = r.rep""",
 }
 
 

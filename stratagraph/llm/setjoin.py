@@ -4,16 +4,18 @@ Sets are the distinct word shingles of a text unit (a line, or a whole document)
 
 1. ``profile``: one scan writes, for every unit, its set's id and size, and a fixed-size count sketch of the tokens.
 2. ``candidates``: tokens are ordered by rarity (sketch count, then hash: any total order keeps the join exact, a rarer-first
-   one makes it fast). Units emit their prefix tokens into token buckets; a bucket joins its lists under length and
-   positional bounds. A pair is a candidate if it shares enough tokens.
-3. ``verified``: candidates' sets are fetched once, grouped by connected component, and their exact Jaccard is counted.
+   one makes it fast). Units emit their prefix tokens into token buckets; a bucket joins its lists, a part of its tokens at a
+   time, under length and positional bounds. A pair is a candidate if it shares enough tokens.
+3. ``verified``: candidates are put into blocks of bounded size beside their neighbours. Two blocks with a candidate pair between
+   them are a cell, which gets those of their sets that have one; the exact Jaccard is counted within cells.
 
 Prefix. Let alpha = ceil(t / (1 + t) * (|x| + |y|)) be the overlap that similarity t needs, and |x| <= |y|. With
 l = 1 + floor(slack * |x|), similar sets share at least l tokens among the first |x| - alpha + l of x and the first
 |y| - alpha + l of y: of the shared tokens, those beyond one of these prefixes lie in one suffix of alpha - l tokens. l = 1 is
 the usual prefix filter; slack > 0 asks for more shared tokens in slightly longer prefixes and leaves far fewer candidates.
 
-Equal sets share an id, hence one posting: a group of thousands of copies costs no more than its distinct sets.
+A class is the units of equal sets, known by the 128 bits of (set_id, rest). It has one posting, so a group of thousands of copies
+costs no more than its distinct sets.
 """
 
 from __future__ import annotations
@@ -24,15 +26,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkernel as tk
 
-#: Postings that a map task holds before it hands them on, pairs that a list join looks at together, pairs that it holds, and
-#: postings that it joins at a time (whole lists; a longer list is one step).
+#: Postings that a map task holds before it hands them on, pairs that a list join looks at together, and pairs that it holds.
 #: They bound a worker's memory and leave nothing out.
-FLUSH, PAIRS, HELD_PAIRS, POSTINGS = 1 << 20, 1 << 20, 2 << 20, 1 << 19
-CHUNK = 1 << 16
+FLUSH, PAIRS, HELD_PAIRS = 1 << 19, 1 << 18, 1 << 19
+#: Parts of a bucket, by token, that are joined one after the other (a longer list is one step).
+PARTS = 8
+#: Counters in a piece of the sketch, and pieces that one task adds up.
+CHUNK, FAN = 1 << 16, 64
+#: Sets and tokens in a block, about. A cell has two blocks at most.
+BLOCK_SETS, BLOCK_TOKENS = 1 << 10, 1 << 20
+#: Shares that a label of several blocks is joined in, so that no task has all of its sets.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -83,53 +92,64 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.expr("xxhash64(text)").alias("row_key"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
 
 
+_UNITS = {"doc_id": pa.int64(), "row_key": pa.int64(), "line": pa.int32(), "set_id": pa.int64(), "rest": pa.int64(), "size": pa.int32()}
+
+
 def profile(docs: DataFrame, spec: SetSpec) -> DataFrame:
-    """The written table (chunk, counts, doc_id[], row_key[], line[], set_id[], size[]): sketch chunks and units' sets."""
+    """The written table (chunk, part, counts, and arrays of _UNITS): sketch chunks by map task, and units' sets."""
+    names = ["chunk", "part", "counts", *_UNITS]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << spec.sketch_bits, np.uint32)
-        low, seen, n = tk.U(len(counts) - 1), [], 0
+        low, seen, n, part = tk.U(len(counts) - 1), [], 0, TaskContext.get().partitionId()
         for batch in batches:
             for doc, key, line, row, h in units(batch, spec):
                 s = tk.token_sets(row, h, len(doc))
-                seen.append((s.token & low).astype(np.uint32))
-                n += len(s.token)
+                seen.append((s.low & low).astype(np.uint32))
+                n += len(s.low)
                 if n > FLUSH:
                     counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
                     seen, n = [], 0
-                ids = tk.set_ids(s)
                 some = s.size > 0
-                cols = [pa.array([x[some]], t) for x, t in ((doc, "l"), (key, "l"), (line.astype(np.int32), "i"), (ids, "l"), (s.size.astype(np.int32), "i")) for t in [pa.list_({"l": pa.int64(), "i": pa.int32()}[t])]]
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.binary()), *cols], names=names)
+                cols = [pa.array([x[some].astype(t.to_pandas_dtype())], pa.list_(t)) for x, t in zip((doc, key, line, *tk.set_ids(s), s.size), _UNITS.values())]
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), *cols], names=names)
         if seen:
             counts += np.bincount(np.concatenate(seen), minlength=len(counts)).astype(np.uint32)
         for k in range(0, len(counts), CHUNK):
             if counts[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes()]), *(pa.nulls(1, pa.list_(t)) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK], pa.int32()), pa.array([part], pa.int32()), pa.array([counts[k : k + CHUNK].tobytes()]), *(pa.nulls(1, pa.list_(t)) for t in _UNITS.values())], names=names)
 
-    names = ["chunk", "counts", "doc_id", "row_key", "line", "set_id", "size"]
-    return common.materialise(_source(docs).mapInArrow(scan, "chunk int, counts binary, doc_id array<bigint>, row_key array<bigint>, line array<int>, set_id array<bigint>, size array<int>"), "profile")
+    kinds = ", ".join(f"{k} array<{'bigint' if t == pa.int64() else 'int'}>" for k, t in _UNITS.items())
+    return common.materialise(_source(docs).mapInArrow(scan, f"chunk int, part int, counts binary, {kinds}"), "profile")
 
 
 def occurrences(table: DataFrame) -> DataFrame:
-    """(doc_id, row_key, line, set_id, size) of every unit that has a token."""
-    z = table.filter("set_id IS NOT NULL").select(F.explode(F.arrays_zip("doc_id", "row_key", "line", "set_id", "size")).alias("z"))
-    return z.select("z.*")
+    """(doc_id, row_key, line, set_id, rest, size) of every unit that has a token."""
+    return table.filter("set_id IS NOT NULL").select(F.explode(F.arrays_zip(*_UNITS)).alias("z")).select("z.*")
 
 
 def rarity(table: DataFrame, spec: SetSpec) -> np.ndarray:
-    """6-bit logarithms of the sketch's counts; 0 where a token occurs in one unit at most."""
+    """6-bit logarithms of the sketch's counts; 0 where a token occurs in one unit at most.
+
+    Pieces are added up FAN tasks' at a time, so that what one task holds doesn't depend on their number.
+    """
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(CHUNK, np.int64)
+        total = np.zeros(CHUNK, np.uint64)
         for x in group.column("counts"):
             total += np.frombuffer(x.as_py(), np.uint32)
-        level = np.minimum(63, np.floor(2.5 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-        return pa.table({"chunk": [group.column("chunk")[0].as_py()], "level": [level.tobytes()]}, pa.schema([("chunk", pa.int32()), ("level", pa.binary())]))
-
+        return pa.table({"chunk": group.column("chunk")[:1], "part": group.column("part")[:1], "counts": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()]}, pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
+
+    pieces = table.filter("chunk IS NOT NULL").select("chunk", "part", "counts")
+    n = (pieces.agg(F.max("part")).first()[0] or 0) + 1
+    while n > 1:
+        pieces, n = pieces.withColumn("part", F.expr(f"part div {FAN}").cast("int")).groupBy("chunk", "part").applyInArrow(add, "chunk int, part int, counts binary"), -(-n // FAN)
+        if n > 1:
+            pieces = common.materialise(pieces, "sketch")
     out = np.zeros(1 << spec.sketch_bits, np.uint8)
-    for r in table.filter("chunk IS NOT NULL").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, level binary").collect():
-        out[r.chunk * CHUNK : r.chunk * CHUNK + CHUNK] = np.frombuffer(r.level, np.uint8)
+    for r in pieces.collect():  # the sketch, of fixed size
+        total = np.frombuffer(r.counts, np.uint32)
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.minimum(63, np.floor(2.5 * np.log2(np.maximum(total, 1))))[: len(out)]
     return out
 
 
@@ -137,19 +157,19 @@ def _lists(cols: list[np.ndarray], order: np.ndarray, edges: np.ndarray, kinds:
     return [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(c[order], k)) for c, k in zip(cols, kinds)]
 
 
-_POSTING = "bucket int, token array<bigint>, set_id array<bigint>, size array<int>, pos array<int>, parity array<bigint>"
+_POSTING = "bucket int, part int, token array<bigint>, set_id array<bigint>, size array<int>, pos array<int>, parity array<bigint>"
 
 
 def _postings(docs: DataFrame, spec: SetSpec, level, buckets: int) -> DataFrame:
     """Prefix tokens of every unit, by token bucket. A token that occurs in one unit only can't be shared and is left out."""
-    names = ["bucket", "token", "set_id", "size", "pos", "parity"]
+    names = ["bucket", "part", "token", "set_id", "size", "pos", "parity"]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         if not held:
             return
         token, ids, size, pos, bits = (np.concatenate(x) for x in zip(*held))
-        b = (tk.mix(token) % tk.U(buckets)).astype(np.int32)
+        b = (tk.mix(token) % tk.U(buckets * PARTS)).astype(np.int64)
         order = np.lexsort((ids, token.view(np.int64), b)) if len(b) else np.zeros(0, np.int64)
         same = np.zeros(len(order), bool)
         same[1:] = (token[order][1:] == token[order][:-1]) & (ids[order][1:] == ids[order][:-1])
@@ -160,7 +180,7 @@ def _postings(docs: DataFrame, spec: SetSpec, level, buckets: int) -> DataFrame:
         cols = _lists([token.view(np.int64), ids, size, pos, *([bits] if spec.parity else [])], order, edges, kinds)
         if empty:
             cols.append(pa.nulls(len(which), pa.list_(pa.int64())))
-        whole = pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), *cols], names=names)
+        whole = pa.RecordBatch.from_arrays([pa.array(which // PARTS, pa.int32()), pa.array(which % PARTS, pa.int32()), *cols], names=names)
         for k in range(0, len(which), 64):
             yield whole.slice(k, 64)
 
@@ -173,7 +193,7 @@ def _postings(docs: DataFrame, spec: SetSpec, level, buckets: int) -> DataFrame:
                 keep = (pos < spec.prefix(s.size)[s.row]) & (s.token >> tk.U(tk.HASH_BITS) > 0)
                 r = s.row[keep]
                 bits = tk.parity_bits(s)[r] if spec.parity else np.zeros(0, np.int64)
-                held.append((s.token[keep], tk.set_ids(s)[r], s.size[r].astype(np.int32), pos[keep].astype(np.int32), bits))
+                held.append((s.token[keep], tk.set_ids(s)[0][r], s.size[r].astype(np.int32), pos[keep].astype(np.int32), bits))
                 n += len(r)
                 if n > FLUSH:
                     yield from flush(held)
@@ -248,49 +268,56 @@ def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.nda
 
 
 def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
-    """(v, u): edges that connect the set ids of every pair that may be similar, every similar pair among them."""
+    """The written table (a, b[], v[], low[]): b are the set ids that may be similar to a, every similar one among them, each pair
+    with one of the two; low: the least one beside v in a part of the pairs."""
     spark = docs.sparkSession
     buckets = max(1, common.partitions(spark) // 3)  # a pair is counted once in each bucket that it shares a token in
     postings = _postings(docs, spec, spark.sparkContext.broadcast(level), buckets)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [[] for _ in range(5)]
-        for batch in batches:
-            for k in range(5):
-                held[k].append(batch.column(k + 1).flatten().to_numpy(zero_copy_only=False))
-        if not held[0]:
-            return
-        token, ids, size, pos, bits = (np.concatenate(x) for x in held)
-        del held, batch
-        order = np.argsort(token)
-        ends = np.flatnonzero(np.append(token[order][1:] != token[order][:-1], True)) + 1 if len(order) else order
-        some, n, lo = [], 0, 0
-        while lo < len(order):
-            hi = int(ends[min(np.searchsorted(ends, lo + POSTINGS), len(ends) - 1)])
-            part = order[lo:hi]
-            lo = hi
-            for cols in _joined(spec, token[part], ids[part], size[part], pos[part], bits[part] if spec.parity else bits):
-                some.append(cols)
-                n += len(cols[0])
-                if n > HELD_PAIRS:
-                    yield from _by_first(*_summed(some))
-                    some, n = [], 0
+        some, n = [], 0
+        for table in grouped(batches, "part"):
+            for lo, hi in zip(*_runs(table.column("part").to_numpy())):
+                part = table.slice(lo, hi - lo)
+                for found in _joined(spec, *(pa.compute.list_flatten(part.column(k).combine_chunks()).to_numpy(zero_copy_only=False) for k in range(2, 7))):
+                    some.append(found)
+                    n += len(found[0])
+                    if n > HELD_PAIRS:
+                        yield from _by_first(*_summed(some))
+                        some, n = [], 0
         if some:
             yield from _by_first(*_summed(some))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some = []
-        for batch in batches:
-            n = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
-            a, size = (np.repeat(batch.column(k).to_numpy(), n) for k in (0, 1))
-            some.append((a, batch.column(2).flatten().to_numpy(), size, batch.column(3).flatten().to_numpy()))
-        if some:
-            a, b, size, shared = _summed(some)
+        for part in grouped(batches, "a"):
+            b, shared = (part.column(k).combine_chunks() for k in (2, 3))
+            n = pa.compute.list_value_length(b).to_numpy(zero_copy_only=False)
+            a, size = (np.repeat(part.column(k).to_numpy(), n) for k in (0, 1))
+            a, b, size, shared = _summed([(a, pa.compute.list_flatten(b).to_numpy(), size, pa.compute.list_flatten(shared).to_numpy())])
             enough = shared >= spec.least_shared(size)
-            yield from common.stars(a[enough], b[enough])
-
-    pairs = postings.repartitionById(buckets, F.col("bucket")).mapInArrow(join, "a bigint, size int, b array<bigint>, shared array<int>")
-    return pairs.repartition(common.partitions(spark), "a").mapInArrow(count, "v bigint, u bigint")
+            a, b = a[enough], b[enough]
+            if len(a):
+                at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), pa.array(b))
+                v, low = least_beside(a, b)
+                for k in range(0, len(at), 1 << 12):
+                    here = lists.slice(k, 1 << 12)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at[k : k + (1 << 12)]]), here, *(pa.nulls(len(here), pa.list_(pa.int64())) for _ in range(2))], names=["a", "b", "v", "low"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([v], pa.list_(pa.int64())), pa.array([low], pa.list_(pa.int64()))], names=["a", "b", "v", "low"])
+
+    parts = postings.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("part")
+    pairs = parts.mapInArrow(join, "a bigint, size int, b array<bigint>, shared array<int>")
+    return common.materialise(pairs.repartition(common.partitions(spark), "a").sortWithinPartitions("a").mapInArrow(count, "a bigint, b array<bigint>, v array<bigint>, low array<bigint>"), "candidates")
+
+
+def least_beside(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(v, low): each vertex of the edges (a, b) and the least of it and its neighbours."""
+    v, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    low = np.arange(len(v))
+    i, j = at[: len(a)], at[len(a) :]
+    np.minimum.at(low, i, j)
+    np.minimum.at(low, j, i)
+    return v, v[low]
 
 
 def _summed(some: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -391,78 +418,161 @@ def similar_pairs(flat: np.ndarray, size: np.ndarray, threshold: float) -> tuple
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-_VERIFIED = "a bigint, b bigint, doc_a bigint, doc_b bigint, size_a int, size_b int, overlap int, low bigint"
+def _cells(table: DataFrame, classes: DataFrame) -> DataFrame:
+    """The written table (lo, hi, block, set_id, rest, doc_id, row_key, line, n, size): the classes to compare, by cell (lo, hi).
+
+    A set's label is the least of it and its candidate partners, so that a dense group shares one. A label of more sets or tokens
+    than a block may have is cut into blocks by hash.
+    """
+    label = table.filter("v IS NOT NULL").select(F.explode(F.arrays_zip("v", "low")).alias("z")).groupBy(F.col("z.v").alias("v")).agg(F.min("z.low").alias("label"))
+    wanted = classes.join(label, classes.set_id == label.v).drop("v")
+    wanted = common.materialise(wanted.withColumn("salt", F.expr(f"pmod(xxhash64(set_id), {SALTS})")), "wanted")
+    weight = wanted.groupBy("label").agg(F.greatest(F.ceil(F.sum("size") / BLOCK_TOKENS), F.ceil(F.count("*") / BLOCK_SETS)).alias("blocks")).filter("blocks > 1")
+    weight = weight.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("bigint"))
+    wanted = wanted.join(weight, ["label", "salt"], "left").withColumn("block", F.expr("xxhash64(label, pmod(xxhash64(set_id, 7), coalesce(blocks, 1)))"))
+    wanted = common.materialise(wanted.drop("label", "salt", "blocks"), "blocks")
+    block = wanted.select("set_id", "block").distinct()
+    pairs = table.filter("a IS NOT NULL").select("a", "b").join(block.toDF("a", "block_a"), "a").select("a", "block_a", F.explode("b").alias("b"))
+    pairs = pairs.join(block.toDF("b", "block_b"), "b").select(F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi"), F.array("a", "b").alias("ab"))
+    cells = pairs.select("lo", "hi", F.explode("ab").alias("set_id")).distinct()
+    return common.materialise(cells.join(wanted, "set_id"), "cells")
+
+
+#: Sets in a cell up to which cells are counted together rather than one by one.
+FEW_SETS = 12
+
+
+def similar_in_cells(flat: np.ndarray, size: np.ndarray, cell: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``similar_pairs`` within each cell; cell: ascending, by set. Sets of small cells meet in lists by (cell, token), all at once."""
+    begin, end = (np.array(x) for x in _runs(cell)) if len(cell) else (np.zeros(0, np.int64),) * 2
+    first, out = np.cumsum(size) - size, []
+    many = end - begin > FEW_SETS
+    for lo, hi in zip(begin[many].tolist(), end[many].tolist()):
+        i, j, ov = similar_pairs(flat[first[lo] : first[hi - 1] + size[hi - 1]], size[lo:hi], threshold)
+        out.append((i + lo, j + lo, ov))
+    small = np.repeat(~many, end - begin)
+    of = np.repeat(np.cumsum(np.concatenate([[0], (end - begin)[:-1]])) if len(begin) else begin, end - begin)  # a set's cell by its first set
+    whole = np.flatnonzero(small)
+    done = 0
+    while done < len(whole):  # whole cells of PAIRS tokens together, or one
+        upto = np.cumsum(size[whole[done:]])
+        last = whole[min(done + int(np.searchsorted(upto, PAIRS, side="left")), len(whole) - 1)]
+        cut = int(np.searchsorted(whole, end[np.searchsorted(begin, of[last])], side="left"))
+        mine, done = whole[done:cut], cut
+        owner = np.repeat(mine, size[mine])
+        token = flat[_slices_of(first[mine], first[mine] + size[mine])]
+        order = np.lexsort((owner, token, of[owner]))
+        owner, token = owner[order], token[order]
+        for step in range(1, FEW_SETS):  # neighbours at this distance in a list
+            i, j = owner[:-step], owner[step:]
+            same = (token[:-step] == token[step:]) & (of[i] == of[j])
+            if not same.any():
+                break
+            out.append((i[same], j[same], None))
+        pairs = [(i, j) for i, j, ov in out if ov is None]
+        out = [x for x in out if x[2] is not None]
+        if pairs:
+            i, j = (np.concatenate(x) for x in zip(*pairs))
+            key, ov = np.unique(i * (len(size) + 1) + j, return_counts=True)
+            i, j = key // (len(size) + 1), key % (len(size) + 1)
+            ok = ov >= np.ceil(threshold * (size[i] + size[j] - ov) - 1e-9)
+            out.append((i[ok], j[ok], ov[ok]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+
+
+_VERIFIED = "set_id bigint, rest bigint, links bigint, near_doc bigint, near_key bigint, near_line int, low bigint"
+_PAIRS = "a bigint, b bigint, doc_a bigint, doc_b bigint, size_a int, size_b int, overlap int"
 
 
-def verified(docs: DataFrame, spec: SetSpec, firsts: DataFrame, edges: DataFrame) -> DataFrame:
-    """(a, b, doc_a, doc_b, size_a, size_b, overlap, low): similar pairs of set ids, with the document that ``firsts`` has for each;
-    low: the least id of their group under similarity.
+def verified(docs: DataFrame, spec: SetSpec, classes: DataFrame, table: DataFrame, pairs: bool = False) -> DataFrame:
+    """The written table (set_id, rest, links, near_*, low), a row for each cell in which a class has similar ones: links: their units
+    by n; near: the least first unit of theirs; low: the least set id that the class reaches by similarity within the cell.
+    With pairs instead (a, b, doc_a, doc_b, size_a, size_b, overlap): each pair of similar sets.
 
-    firsts: (set_id, doc_id, row_key, line) of one unit of each set. Only the documents of candidates are scanned again, and each
-    candidate's set is sent once, to its component of the candidate graph.
+    classes: (set_id, rest, doc_id, row_key, line, n, size), the first unit of each class and a number of its units. Only the
+    documents of candidates are scanned again. A pair is counted in one cell: where both its blocks are.
     """
-    comp = common.components(edges)
-    wanted = common.materialise(firsts.join(comp, firsts.set_id == comp.v).select("set_id", "doc_id", "row_key", "line", "comp"), "wanted")
-    source = _source(common.possibly(docs, "doc_id", common.id_buckets(wanted, "doc_id")))
-    mask = docs.sparkSession.sparkContext.broadcast(_id_mask(wanted))
+    cells = _cells(table, classes)
+    source = _source(common.possibly(docs, "doc_id", common.id_buckets(cells, "doc_id")))
+    mask = docs.sparkSession.sparkContext.broadcast(_unit_mask(cells))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = mask.value
         for batch in batches:
             for doc, key, line, row, h in units(batch, spec):
-                ids = tk.set_ids(tk.token_sets(row, h, len(doc)))
-                some = np.flatnonzero(may[ids & (len(may) - 1)])
+                ids, rest = tk.set_ids(tk.token_sets(row, h, len(doc)))
+                some = np.flatnonzero(may[(ids ^ key ^ line) & (len(may) - 1)])
                 if not len(some):
                     continue
                 order = np.argsort(row, kind="stable")
                 at = np.searchsorted(row[order], np.arange(len(doc) + 1))
                 tokens = [np.unique(h[order[at[r] : at[r + 1]]]).view(np.int64) for r in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(key[some]), pa.array(line[some].astype(np.int32)), pa.array(tokens, pa.list_(pa.int64()))], names=["f_doc", "f_key", "f_line", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(rest[some]), pa.array(doc[some]), pa.array(key[some]), pa.array(line[some].astype(np.int32)), pa.array(tokens, pa.list_(pa.int64()))], names=["f_set", "f_rest", "f_doc", "f_key", "f_line", "tokens"])
 
-    found = source.mapInArrow(fetch, "f_doc bigint, f_key bigint, f_line int, tokens array<bigint>")
-    here = (found.f_doc == wanted.doc_id) & (found.f_key == wanted.row_key) & (found.f_line == wanted.line)
-    sets = found.join(wanted, here).select("comp", "set_id", "doc_id", "tokens")
+    found = source.mapInArrow(fetch, "f_set bigint, f_rest bigint, f_doc bigint, f_key bigint, f_line int, tokens array<bigint>")
+    here = (found.f_set == cells.set_id) & (found.f_rest == cells.rest) & (found.f_doc == cells.doc_id) & (found.f_key == cells.row_key) & (found.f_line == cells.line)
+    sets = found.join(cells, here).select(F.xxhash64("lo", "hi").alias("cell"), "lo", "hi", "block", "set_id", "rest", "doc_id", "row_key", "line", "n", "tokens")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, "comp"):
-            comp = group.column("comp").to_numpy()
-            for lo, hi in zip(*_runs(comp)):
-                part = group.slice(lo, hi - lo).combine_chunks()
-                own = part.column("set_id").to_numpy()
-                once = np.concatenate([[True], own[1:] != own[:-1]])  # rows that repeat a document
-                part = part if once.all() else part.filter(pa.array(once))
-                ids, docs_of, lists = part.column("set_id").to_numpy(), part.column("doc_id").to_numpy(), part.column("tokens").combine_chunks()
-                size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                i, j, ov = similar_pairs(lists.flatten().to_numpy(zero_copy_only=False), size, spec.threshold)
-                low = ids[common.lowest(len(ids), i, j)]
+        for part in grouped(batches, "cell"):
+            part = part.combine_chunks()
+            at = _runs(*(part.column(k).to_numpy() for k in ("lo", "hi", "set_id", "rest")))[0]  # without rows that repeat a document
+            part = part if len(at) == part.num_rows else part.take(pa.array(at))
+            lo, hi, ids, rest, doc, key, line, n, block = (part.column(k).to_numpy() for k in ("lo", "hi", "set_id", "rest", "doc_id", "row_key", "line", "n", "block"))
+            lists = part.column("tokens").combine_chunks()
+            size = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            begin, end = _runs(lo, hi)
+            cell = np.repeat(np.arange(len(begin)), np.array(end) - np.array(begin))
+            i, j, ov = similar_in_cells(pa.compute.list_flatten(lists).to_numpy(zero_copy_only=False), size, cell, spec.threshold)
+            own = (lo[i] == hi[i]) | (block[i] != block[j])
+            i, j, ov = i[own], j[own], ov[own]
+            if pairs:
                 for k in range(0, len(i), 1 << 18):
                     x, y = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(docs_of[x]), pa.array(docs_of[y]), pa.array(size[x].astype(np.int32)), pa.array(size[y].astype(np.int32)), pa.array(ov[k : k + (1 << 18)].astype(np.int32)), pa.array(low[x])], names=["a", "b", "doc_a", "doc_b", "size_a", "size_b", "overlap", "low"])
-
-    return common.materialise(sets.repartition(common.partitions(docs.sparkSession), "comp").sortWithinPartitions("comp", "set_id").mapInArrow(verify, _VERIFIED), "verified")
-
-
-def _runs(k: np.ndarray) -> tuple[list[int], list[int]]:
-    at = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    return at.tolist(), [*at[1:].tolist(), len(k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[x]), pa.array(ids[y]), pa.array(doc[x]), pa.array(doc[y]), pa.array(size[x].astype(np.int32)), pa.array(size[y].astype(np.int32)), pa.array(ov[k : k + (1 << 18)].astype(np.int32))], names=["a", "b", "doc_a", "doc_b", "size_a", "size_b", "overlap"])
+            elif len(i):
+                m, order = len(ids), np.lexsort((line, key, doc))
+                place = np.empty(m, np.int64)
+                place[order] = np.arange(m)
+                links = np.bincount(i, n[j], m) + np.bincount(j, n[i], m)
+                near = np.full(m, m)
+                np.minimum.at(near, i, place[j])
+                np.minimum.at(near, j, place[i])
+                k = np.flatnonzero(near < m)
+                first = order[near[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[k], rest[k], links[k].astype(np.int64), doc[first], key[first], line[first], ids[common.lowest(m, i, j)[k]])], names=["set_id", "rest", "links", "near_doc", "near_key", "near_line", "low"])
+
+    sets = sets.repartition(common.partitions(docs.sparkSession), "cell").sortWithinPartitions("cell", "lo", "hi", "set_id", "rest")
+    return common.materialise(sets.mapInArrow(verify, _PAIRS if pairs else _VERIFIED), "verified")
+
+
+def _runs(*keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of equal keys."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    at = np.flatnonzero(new).tolist()
+    return at, [*at[1:], len(new)]
 
 
 MASK = 1 << 22
 
 
-def _id_mask(wanted: DataFrame) -> np.ndarray:
-    """Bits of the set ids' low ends: MASK of them, whatever the data."""
+def _unit_mask(cells: DataFrame) -> np.ndarray:
+    """Bits of the wanted units: MASK of them, whatever the data."""
     out = np.zeros(MASK, bool)
-    table = wanted.select(F.expr(f"set_id & {MASK - 1}").cast("int").alias("x")).distinct().toArrow()
+    table = cells.select(F.expr(f"(set_id ^ row_key ^ line) & {MASK - 1}").cast("int").alias("x")).distinct().toArrow()
     out[table.column("x").to_numpy()] = True
     return out
 
 
-def search(docs: DataFrame, spec: SetSpec) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, similar pairs of set ids) of the units of docs(doc_id, text)."""
+def search(docs: DataFrame, spec: SetSpec, by_document: bool = False, pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(occurrences, classes, ``verified``) of the units of docs(doc_id, text). by_document: a class's n counts its doc_ids, and
+    occurrences are (set_id, rest, doc_id, size) without repeats."""
     table = profile(docs, spec)
     occ = occurrences(table)
-    firsts = occ.groupBy("set_id").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("f")).select("set_id", "f.*")
-    return occ, verified(docs, spec, firsts, candidates(docs, spec, rarity(table, spec)))
-
-
+    if by_document:
+        occ = occ.groupBy("set_id", "rest", "doc_id", "size").agg(F.min(F.struct("row_key", "line")).alias("u")).select("set_id", "rest", "doc_id", "size", "u.*")
+        occ = common.materialise(occ, "sets")
+    classes = occ.groupBy("set_id", "rest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("f"), F.count("*").alias("n"), F.max("size").alias("size"))
+    classes = common.materialise(classes.select("set_id", "rest", "f.*", "n", "size"), "classes")
+    return occ, classes, verified(docs, spec, classes, candidates(docs, spec, rarity(table, spec)), pairs)

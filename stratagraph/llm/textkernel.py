@@ -18,10 +18,10 @@ import pyarrow.compute as pc
 NOT_WORD = re.compile(r"[^\w\x00-\x7f]")
 U = np.uint64
 #: Bytes of text hashed at once: bounds the work arrays, not the texts (a longer text is one slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in a slice; row, rarity and hash share one 64-bit sort key.
 SLICE_ROWS = 1 << 14
-HASH_BITS = 44
+HASH_BITS, LOW_BITS = 44, 50
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _IS_WORD = np.zeros(256, np.uint8)
@@ -158,30 +158,57 @@ class Sets(NamedTuple):
     token: np.ndarray  # rarity << HASH_BITS | hash, ascending within a row
     size: np.ndarray  # by row
     first: np.ndarray  # index of each row's first token
+    top: np.ndarray  # each token's upper HASH_BITS bits, by row
+    low: np.ndarray  # each token's lower LOW_BITS bits, by row
+
+
+def _distinct(key: np.ndarray) -> np.ndarray:
+    key = np.sort(key)
+    keep = np.ones(len(key), bool)
+    keep[1:] = key[1:] != key[:-1]
+    return key[keep]
 
 
 def token_sets(row: np.ndarray, h: np.ndarray, rows: int, rarity: np.ndarray | None = None) -> Sets:
-    """Distinct tokens of each row in the global order (rarity, hash). rarity: by the hash's low bits, at most 63."""
-    token = h >> U(64 - HASH_BITS)
-    if rarity is not None:
-        token |= rarity[token & U(len(rarity) - 1)].astype(U) << U(HASH_BITS)
-    key = np.sort((row.astype(U) << U(HASH_BITS + 6)) | token)
-    if len(key):
-        keep = np.ones(len(key), bool)
-        keep[1:] = key[1:] != key[:-1]
-        key = key[keep]
-    row = (key >> U(HASH_BITS + 6)).astype(np.int64)
-    size = np.bincount(row, minlength=rows)
-    return Sets(row, key & U((1 << (HASH_BITS + 6)) - 1), size, np.cumsum(size) - size)
-
-
-def set_ids(s: Sets) -> np.ndarray:
-    """An order-free 64-bit id of each row's set; 0 for the empty set."""
+    """Distinct tokens of each row in the global order (rarity, hash). rarity: by the hash's low bits, at most 63.
+
+    One sort has the tokens' upper bits in order, another counts them by their lower bits: a row whose counts differ holds two
+    tokens that agree in the upper bits. Then whole hashes are sorted, and the second of such tokens goes by another number, the
+    same in every row, so that both are shared by sets that hold both.
+    """
+    token, shift = h >> U(64 - HASH_BITS), U(HASH_BITS + 6)
+    level = np.zeros(len(h), U) if rarity is None else rarity[h & U(len(rarity) - 1)].astype(U)
+    mask, at = U((1 << HASH_BITS) - 1), row.astype(U) << shift
+    key, low = _distinct(at | (level << U(HASH_BITS)) | token), _distinct(at | (h & U((1 << LOW_BITS) - 1)))
+    size, other = (np.bincount((x >> shift).astype(np.int64), minlength=rows) for x in (key, low))
+    top = key & mask
+    if (size < other).any():
+        order = np.lexsort((h, at | (level << U(HASH_BITS)) | token))
+        new = np.ones(len(order), bool)
+        new[1:] = (row[order][1:] != row[order][:-1]) | (h[order][1:] != h[order][:-1])
+        order = order[new]
+        key = (at | (level << U(HASH_BITS)) | token)[order]
+        top, again = key & mask, np.zeros(len(key), bool)
+        again[1:] = key[1:] == key[:-1]
+        key[again] = (key[again] & ~mask) | (mix(key[again] & mask) & mask)
+        size = np.bincount((key >> shift).astype(np.int64), minlength=rows)
+    where = (key >> shift).astype(np.int64)
+    return Sets(where, key & ((U(1) << shift) - U(1)), size, np.cumsum(size) - size, top, low)
+
+
+def _sums(m: np.ndarray, size: np.ndarray) -> np.ndarray:
+    total, end = np.concatenate([np.zeros(1, U), np.cumsum(m)]), np.cumsum(size)
+    return (total[end] - total[end - size]).view(np.int64)
+
+
+def set_ids(s: Sets) -> tuple[np.ndarray, np.ndarray]:
+    """An order-free id of each row's set, of two times 64 bits, from all bits of its tokens; zeros for the empty set."""
     if not len(s.token):
-        return np.zeros(len(s.size), np.int64)
-    m = mix((s.token & U((1 << HASH_BITS) - 1)) * U(_BASE) + U(1))
-    total = np.concatenate([np.zeros(1, U), np.cumsum(m)])
-    return (total[s.first + s.size] - total[s.first]).view(np.int64)
+        return np.zeros(len(s.size), np.int64), np.zeros(len(s.size), np.int64)
+    shift = U(HASH_BITS + 6)
+    rest = np.bincount((s.low >> shift).astype(np.int64), minlength=len(s.size))
+    low = s.low & U((1 << LOW_BITS) - 1)
+    return _sums(mix(s.top * U(_BASE) + U(1)), s.size), _sums(mix(low * U(0xD1B54A32D192ED03) + U(5)), rest)
 
 
 def parity_bits(s: Sets) -> np.ndarray:

@@ -106,3 +106,87 @@ def test_obfuscated_words_count():
     f = toxicity.features(pa.array(["what an 1d10t", "what an idiot", "what an item"]), np.zeros(0, np.uint64), toxicity.hashes_of(["idiot"]), toxicity.hashes_of(["you"]))
     masked = toxicity.FEATURES.index("masked_hits")
     assert f[0, masked] > 0 == f[1, masked] == f[2, masked]
+
+
+def slow_features(text, learned, abuse, second):
+    """toxicity.features by plain loops."""
+    low = text.lower()
+    words = lambda t: re.findall(r"\w+", t)
+    w = words(low)
+    letter = lambda c: c.isascii() and c.isalpha() or not c.isascii() and c.encode()[0] >= 0xC0
+    n, size = max(1, len(w)), max(1, len(text.encode()))
+    hits = sum(x in abuse for x in w)
+    masked = max(0, sum(x in abuse for x in words(low.translate(str.maketrans("013457@$", "oieastas")))) - hits)
+    you = [k for k, x in enumerate(w) if x in second]
+    near = sum((x in abuse or x in learned) and any(abs(k - y) <= toxicity.NEAR for y in you) for k, x in enumerate(w))
+    raw = low.encode()
+    is_letter = lambda b: 97 <= b <= 122 or b >= 0xC0
+    mixed = sum(is_letter(a) and (48 <= b <= 57 or b in b"@$") or 48 <= a <= 57 and is_letter(b) for a, b in zip(raw, raw[1:]))
+    again = sum(is_letter(a) and a == b == c for a, b, c in zip(raw, raw[1:], raw[2:]))
+    signs = sum(33 <= b < 48 or 58 <= b < 65 or 91 <= b < 97 or 123 <= b < 127 for b in text.encode())
+    own = sum(x in learned for x in w)
+    return [np.log1p(len(w)), hits / n, np.log1p(hits), own / n, np.log1p(own), np.log1p(masked), np.log1p(near), len(you) / n, sum(c.isupper() for c in text) / max(1, sum(map(letter, text))),
+            sum(c in "!?" for c in text) / size, signs / size, mixed / n, again / n]
+
+
+def test_features_against_plain_loops():
+    r = random.Random(6)
+    bits = ["you", "idiot", "1d10t", "a$$hole", "IDIOT!", "Été", "ÉTÉ", "ПРИВЕТ", "мир", "plain", "x9", "sooo", "word", "’", "😀", "--", "?!", "vile"]
+    texts = [" ".join(r.choice(bits) for _ in range(r.randrange(0, 30))) for _ in range(200)] + ["", "you are vile", "A" * 40_000]
+    learned, abuse, second = {"vile"}, {"idiot", "asshole"}, {"you"}
+    got = toxicity.features(pa.array(texts), *(toxicity.hashes_of(sorted(x)) for x in (learned, abuse, second)))
+    odd = re.compile(r"[^\w\x00-\x7f]")
+    for t, row in zip(texts, got):
+        expect = slow_features(t, learned, abuse, second)
+        plain = slow_features(odd.sub(" ", t), learned, abuse, second)
+        expect = [p if k in (11, 12) else e for k, (e, p) in enumerate(zip(expect, plain))]
+        assert row.tolist() == pytest.approx(expect, abs=1e-9), t
+
+
+def test_masked_words_count_beside_any_character():
+    masked, mixed = (toxicity.FEATURES.index(k) for k in ("masked_hits", "mixed_words"))
+    texts = [f"you a$$hole and $hit{x}" for x in ("", " ’", " 😀", " Привет", " …", "\u00a0")]
+    f = toxicity.features(pa.array(texts), np.zeros(0, np.uint64), toxicity.hashes_of(["asshole", "shit"]), toxicity.hashes_of(["you"]))
+    assert (f[:, masked] == np.log1p(2)).all() and (f[:, mixed] > 0).all()
+
+
+def test_posteriors_against_brute_force(spark):
+    r = random.Random(7)
+    good, bad = "Plain words in a sentence, and more of them. ", "Xx%% ZZ## || !! 99 "
+    rows = [(i, "".join(r.choice([good, good, bad]) for _ in range(r.randrange(1, 9))), f"h{r.randrange(5)}") for i in range(150)] + [(500 + i, bad * 4, "h9") for i in range(40)] + [(900, None, "h1")]
+    lang = [f"l{i % 3}" for i in range(len(rows))]
+    df = spark.createDataFrame([(*x, y) for x, y in zip(rows, lang)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(d, int(d < 500), 0) for d, _, _ in rows if d % 2], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in quality.quality(df, labels).collect()}
+    p = {d: got[d].evidence for d, t, _ in rows if t is not None}
+    site = {d: (h, y) for (d, _, h), y in zip(rows, lang)}
+    mean = np.mean(list(p.values()))
+
+    def prior(key):
+        by = {}
+        for d in p:
+            by.setdefault(key(site[d]), []).append(p[d])
+        within, n = mean * (1 - mean), len(p)
+        between = sum(len(v) * (np.mean(v) - mean) ** 2 for v in by.values()) / n
+        beyond = between - within * len(by) / n
+        return by, min(1e6, max(1.0, (within - between) / beyond)) if beyond > 1e-12 else 1e6
+
+    hosts, kh = prior(lambda s: s[0])
+    paths, kp = prior(lambda s: s)
+    for d in p:
+        h, q = hosts[site[d][0]], paths[site[d]]
+        host = (sum(h) - p[d] + kh * mean) / (len(h) - 1 + kh)
+        path = (sum(q) - p[d] + kp * host) / (len(q) - 1 + kp)
+        odds = lambda x: np.log(x / (1 - x))
+        whole = 1 / (1 + np.exp(-(odds(min(1 - 1e-4, max(1e-4, p[d]))) + odds(path) - odds(mean))))
+        assert (got[d].host_posterior, got[d].path_posterior, got[d].quality) == (pytest.approx(host, abs=1e-3), pytest.approx(path, abs=1e-3), pytest.approx(whole, abs=2e-2))
+        assert got[d].keep == (got[d].quality >= 0.5)
+    assert got[900].quality is None and not got[900].keep
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"d{i}", "you stupid idiot moron, you" if i % 3 == 0 else "plain words here", "a", "b") for i in range(60)] + [(None, "x", "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, lang string")
+    labels = spark.createDataFrame([(f"d{i}", 1 - int(i % 3 == 0), int(i % 3 == 0)) for i in range(60)], "doc_id string, quality int, toxic int")
+    assert {r.doc_id for r in toxicity.score(df, labels).collect() if r.toxic} == {f"d{i}" for i in range(0, 60, 3)}
+    assert toxicity.drop_toxic(df, labels).count() == 41 and quality.quality(df, labels).count() == 61

@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from stratagraph.llm import common, decontaminate, line_dedup, ngram_join, setjoin
+from stratagraph.llm import common, decontaminate, line_dedup, ngram_join, setjoin, textkernel as tk
 
 WORD = re.compile(r"\w+")
 CLASH = "bucket long, id long, gone_doc long, gone_lines string, kept_text string, set_id long, row_key long, line int, size int, comp long, v long, token long"
@@ -67,6 +69,83 @@ def test_ngram_join(spark, shingle, threshold):
     assert len(expect) > 10
 
 
+def brute_classes(rows, shingle, threshold):
+    sets = {d: s for d, t in rows if (s := shingles(t, shingle))}
+    beside = {a: [b for b in sets if a != b and similar(sets[a], sets[b], threshold)] for a in sets}
+    out = {}
+    for d in sorted(sets):
+        if d not in out:
+            out[d], todo = d, [d]
+            while todo:
+                for x in beside[todo.pop()]:
+                    if x not in out:
+                        out[x] = d
+                        todo.append(x)
+    return {(d, out[d], min(x for x in sets if sets[x] == sets[d]), len(sets[d]), len(beside[d])) for d in sets}
+
+
+@pytest.mark.parametrize("shingle, threshold", [(3, 0.6), (1, 0.8)])
+def test_ngram_classes(spark, shingle, threshold):
+    rows = documents(shingle + 20)
+    got = ngram_join.ngram_classes(frame(spark, [*rows, (None, rows[0][1]), (901, None)], True), setjoin.SetSpec(shingle, False, threshold, 0.1, 18)).collect()
+    expect = brute_classes(rows, shingle, threshold)
+    assert len(got) == len(expect) and {tuple(r) for r in got} == expect and sum(r.n_links > 0 for r in got) > 10
+
+
+def test_blocks_bound_what_a_task_holds(spark, monkeypatch):
+    """A dense group beyond a block, and a chain of similar sets: every link is counted once, and no cell holds a whole group."""
+    monkeypatch.setattr(setjoin, "BLOCK_SETS", 32)
+    r = random.Random(4)
+    base = [f"b{k}" for k in range(200)]
+    dense = [(i, " ".join([*base, f"own{i}"])) for i in range(300)]
+    chain = [(1000 + i, " ".join(f"c{k}" for k in range(i, i + 20))) for i in range(1500)]
+    rows = [*dense, *chain, (5000, dense[7][1])]
+    r.shuffle(rows)
+    got = {x.doc_id: x for x in ngram_join.ngram_classes(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i].class_id == 0 and got[i].n_links == 300 for i in [*range(300), 5000]) and got[5000].copy_of == 7
+    near = lambda i: min(i, 4) + min(1499 - i, 4)
+    assert all(got[1000 + i].class_id == 1000 and got[1000 + i].n_links == near(i) for i in range(1500))
+    table = setjoin.profile(frame(spark, rows), ngram_join.SPEC)
+    occ = setjoin.occurrences(table)
+    classes = occ.groupBy("set_id", "rest").agg(F.min(F.struct("doc_id", "row_key", "line")).alias("f"), F.count("*").alias("n"), F.max("size").alias("size")).select("set_id", "rest", "f.*", "n", "size")
+    cells = setjoin._cells(setjoin.candidates(frame(spark, rows), ngram_join.SPEC, setjoin.rarity(table, ngram_join.SPEC)), classes)
+    assert max(x["count"] for x in cells.groupBy("lo", "hi").count().collect()) <= 120
+
+
+def test_words_whose_hashes_begin_alike(spark):
+    """q6c2eab and q85dea9 agree in the upper 44 bits of their hashes."""
+    words = ["q6c2eab", "q85dea9", "other"]
+    h = tk.hash_words(*tk.lowered(pa.array(words))).hash
+    assert h[0] >> np.uint64(20) == h[1] >> np.uint64(20) and h[0] != h[1]
+    s = tk.token_sets(np.array([0, 0, 1, 2]), h[[0, 1, 0, 1]], 3)
+    ids = list(zip(*(x.tolist() for x in tk.set_ids(s))))
+    assert s.size.tolist() == [2, 1, 1] and len(set(ids)) == 3 and len(set(s.token[:2].tolist())) == 2
+    rows = [(i, w) for i, w in enumerate(words)]
+    assert sorted(r.doc_id for r in line_dedup.line_dedup(frame(spark, rows)).collect()) == [0, 1, 2]
+    rows = [(i, f"a b c d e f g {w}") for i, w in enumerate(words)] + [(3, "a b c d e f g q6c2eab q85dea9")]
+    got = {tuple(x) for x in ngram_join.ngram_classes(frame(spark, rows), setjoin.SetSpec(1, False, 0.85, 0.1, 18)).collect()}
+    assert got == brute_classes(rows, 1, 0.85)
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"d{i:03d}", t) for i, t in documents(5, 60)[:60]] + [("x y", "a b c d e"), (None, "a b c d e"), ("zz", None)]
+    df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id string, text string, own_id string").repartition(3)
+    by = {d: i for i, d in enumerate(sorted(d for d, _ in rows if d))}
+    whole = [(d, t) for d, t in rows if d and t]
+    name = {v: k for k, v in by.items()}
+    expect = {(name[a], name[b], name[c], n, m) for a, b, c, n, m in brute_classes([(by[d], t) for d, t in whole], 3, 0.6)}
+    assert {tuple(r) for r in ngram_join.ngram_classes(df).collect()} == expect
+    numbers = spark.createDataFrame([(by.get(d), t) for d, t in rows], "doc_id long, text string")
+    for f in (line_dedup.line_dedup, ngram_join.drop_near_copies):
+        got = collections.Counter((r.doc_id, r.text) for r in f(df).collect())
+        assert f(df).columns == df.columns and got == collections.Counter((name.get(r.doc_id), r.text) for r in f(numbers).collect())
+    item = [("i1", rows[0][1]), (None, "x")]
+    bench = spark.createDataFrame(item, "item_id string, text string")
+    leaks = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    assert ("d000", "i1") in leaks and ("d000",) not in {(r.doc_id,) for r in decontaminate.drop_contaminated(df, bench).collect()}
+
+
 def test_near_copies_keep_the_first(spark):
     rows = documents(7)
     kept = sorted(r.doc_id for r in ngram_join.drop_near_copies(frame(spark, [*rows, (None, "lost id"), (900, None)], True)).collect() if r.doc_id is not None)
@@ -130,10 +209,30 @@ def test_similar_pairs_derives_answers():
     assert dict(zip(zip(i.tolist(), j.tolist()), ov.tolist())) == expect and len(expect) > 100
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_in_cells(seed, monkeypatch):
+    monkeypatch.setattr(setjoin, "PAIRS", [1 << 18, 50][seed % 2])
+    r = np.random.default_rng(seed)
+    sets, cell = [], []
+    for c in range(60):
+        base = r.choice(500, 30, replace=False)
+        for _ in range(int(r.choice([1, 2, 3, 12, 13, 20]))):
+            sets.append(np.unique(np.concatenate([r.choice(base, 26, replace=False), r.choice(500, 3)])))
+            cell.append(c)
+    size = np.array([len(s) for s in sets])
+    i, j, ov = setjoin.similar_in_cells(np.concatenate(sets), size, np.array(cell), 0.7)
+    expect = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in range(len(sets)) for b in range(a + 1, len(sets)) if cell[a] == cell[b]}
+    expect = {k: v for k, v in expect.items() if v >= 0.7 * (size[k[0]] + size[k[1]] - v) - 1e-9}
+    assert len(i) == len(expect) and dict(zip(zip(i.tolist(), j.tolist()), ov.tolist())) == expect and len(expect) > 50
+    assert len(setjoin.similar_in_cells(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0.7)[0]) == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7), (100, 102)]
-    got = {r.v: r.comp for r in common.components(spark.createDataFrame(edges, "v long, u long").repartition(5)).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    for small in (common.SMALL, 3):
+        got = {r.v: r.comp for r in common.components(spark.createDataFrame(edges, "v long, u long").repartition(5), small).collect()}
+        assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert common.components(spark.createDataFrame([], "v long, u long")).count() == 0
 
 
 def brute_leaks(rows, items, n=5, share=0.5):

@@ -19,23 +19,22 @@ def test_op9_writes_whole_shards(spark, tmp_path):
     got = out.collect()
     t, size = tokenizer.load(), shards.LENGTH * 2
     files = {x.shard: (x.path, x.sha256) for x in got}
-    assert len(files) == 3 == len(set(files.values())) and {(x.shard, x.path, x.sha256) for x in got} == {(k, *v) for k, v in files.items()}
-    assert sorted(x.slot for x in got) == list(range(len(got)))
-    assert sorted(os.listdir(os.path.dirname(files[0][0]))) == [f"shard-{k:08d}.bin" for k in range(3)]
-    count = collections.Counter(x.shard for x in got)
-    for k, (path, sha256) in files.items():
-        data = open(path, "rb").read()
-        assert len(data) == count[k] * size and hashlib.sha256(data).hexdigest() == sha256
-    texts, found = collections.Counter(), collections.defaultdict(list)
-    for i, text in rows:
-        if text is not None:
-            ids = [*t.encode(text), t.end]
-            texts.update((i, k // shards.LENGTH, tuple(ids[k : k + shards.LENGTH])) for k in range(0, len(ids), shards.LENGTH))
+    assert len(files) == 1 and {(x.shard, x.path, x.sha256) for x in got} == {(k, *v) for k, v in files.items()}
+    slots = {x.slot for x in got}
+    assert slots == set(range(len(slots)))
+    assert os.listdir(os.path.dirname(files[0][0])) == ["shard-00000000.bin"]
+    data = open(files[0][0], "rb").read()
+    assert len(data) == len(slots) * size and hashlib.sha256(data).hexdigest() == files[0][1]
+    ids, found = np.frombuffer(data, t.dtype), collections.defaultdict(dict)
+    texts = collections.Counter((i, (*t.encode(text), t.end)) for i, text in rows if text is not None)
     for x in got:
-        row = shards.read_shard(x.path, x.byte_offset // size)[0]
-        found[x.doc_id, x.piece, tuple(row[: x.n_tokens].tolist())].append(x.slot)
-        assert (row[x.n_tokens :] == t.end).all()
-    assert {k: len(v) for k, v in found.items()} == texts
+        found[x.doc_id].setdefault(x.piece, []).append(ids[x.byte_offset // 2 : x.byte_offset // 2 + x.n_tokens].tolist())
+    for i in {i for i, _ in rows}:
+        own = [k for (d, k), n in texts.items() if d == i for _ in range(n)]
+        if len(own) == 1:
+            assert tuple(y for p in sorted(found[i]) for y in found[i][p][0]) == own[0]
+        else:
+            assert sum(len(y) for p in found.get(i, {}).values() for y in p) == sum(map(len, own))
     before = {p: os.stat(p).st_mtime_ns for p, _ in files.values()}
     assert out.count() == len(got) and {p: os.stat(p).st_mtime_ns for p in before} == before
 

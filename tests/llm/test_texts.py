@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 
 import numpy as np
 import pytest
@@ -181,30 +182,109 @@ def test_feistel_is_a_permutation(n):
     assert sorted(a.tolist()) == list(range(n)) and (n < 16 or a.tolist() != b.tolist())
 
 
+def brute_shards(spark, rows, length, shard, key):
+    """The shards' bytes and every piece's (slot, byte_offset, doc_id, piece, n_tokens), from the texts in the order of the stream."""
+    t = tokenizer.load()
+    keys = docs(spark, rows).filter("text IS NOT NULL").select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), F.xxhash64("text", F.lit(1)).alias("k")).collect()
+    ids, pieces = [], []
+    for x in sorted(keys, key=lambda x: (x.h, x.k)):
+        own, begin, piece = [*t.encode(x.text), t.end], len(ids), 0
+        ids += own
+        while begin < len(ids):
+            end = min(len(ids), (begin // length + 1) * length)
+            pieces.append((begin // length, begin % length, x.doc_id, piece, end - begin))
+            begin, piece = end, piece + 1
+    n = -(-len(ids) // length)
+    slot = shards.feistel(np.arange(n), n, key)
+    whole = np.full((n, length), t.end, t.dtype)
+    whole.reshape(-1)[: len(ids)] = ids
+    ordered = np.empty_like(whole)
+    ordered[slot] = whole
+    size = t.dtype.itemsize
+    return [ordered[k : k + shard].tobytes() for k in range(0, n, shard)], collections.Counter((int(slot[q]), (int(slot[q]) % shard * length + at) * size, d, p, c) for q, at, d, p, c in pieces)
+
+
 def test_training_order(spark, tmp_path):
     r = random.Random(9)
-    rows = [(i, " ".join(r.choice(["alpha", "beta", "ß", "42"]) for _ in range(r.randrange(0, 60)))) for i in range(150)] + [(7, "again"), (None, "no id"), (8, None), (9, "")]
-    ordered = shards.training_order(docs(spark, rows).repartition(5), length=16, shard=10, key=3).cache()
-    got = ordered.collect()
-    assert sorted(x.slot for x in got) == list(range(len(got)))
-    assert all(x.shard == x.slot // 10 and x.byte_offset == x.slot % 10 * 32 for x in got)
-    parts = ordered.select(F.spark_partition_id().alias("p"), "shard").distinct().groupBy("shard").count().collect()
-    assert all(x["count"] == 1 for x in parts)
-    t = tokenizer.load()
-    texts = collections.Counter()
-    for d in {x.doc_id for x in got}:
-        for text in [x for i, x in rows if i == d and x is not None]:
-            ids = [*t.encode(text), t.end]
-            for k in range(0, len(ids), 16):
-                texts[d, k // 16, tuple(ids[k : k + 16])] += 1
-    assert collections.Counter((x.doc_id, x.piece, tuple(np.frombuffer(x.tokens, t.dtype).tolist())) for x in got) == texts
-    made = shards.write_shards(ordered, str(tmp_path / "s"), length=16).collect()
-    assert sum(m.sequences for m in made) == len(got)
-    by_slot = {x.slot: np.frombuffer(x.tokens, t.dtype) for x in got}
-    for m in made:
-        for k, row in enumerate(shards.read_shard(f"{tmp_path}/s/shard-{m.shard:08d}.bin", length=16)):
-            own = by_slot[m.shard * 10 + k]
-            assert (row[: len(own)] == own).all() and (row[len(own) :] == t.end).all()
-    again = shards.write_shards(ordered, str(tmp_path / "s"), length=16).collect()
-    assert sorted(made) == sorted(again)
+    rows = [(i, " ".join(r.choice(["alpha", "beta", "ß", "42"]) for _ in range(r.randrange(0, 60)))) for i in range(150)] + [(7, "again"), (None, "no id"), (8, None), (9, ""), (9, ""), (10, "long " * 900)]
+    expect, pieces = brute_shards(spark, rows, 16, 10, 3)
+    for parts in (5, 1):  # the layout of the input changes nothing
+        ordered = shards.training_order(docs(spark, rows).repartition(parts), length=16, shard=10, key=3).cache()
+        got = ordered.collect()
+        assert collections.Counter((x.slot, x.byte_offset, x.doc_id, x.piece, x.n_tokens) for x in got) == pieces and all(x.shard == x.slot // 10 for x in got)
+        placed = ordered.select(F.spark_partition_id().alias("p"), "shard").distinct().groupBy("shard").count().collect()
+        assert all(x["count"] == 1 for x in placed)
+        made = shards.write_shards(ordered, str(tmp_path / f"s{parts}"), length=16).collect()
+        assert sum(m.sequences for m in made) == len({x.slot for x in got}) and [open(f"{tmp_path}/s{parts}/shard-{k:08d}.bin", "rb").read() for k in range(len(made))] == expect
+        again = shards.write_shards(ordered, str(tmp_path / f"s{parts}"), length=16).collect()
+        assert sorted(made) == sorted(again)
+    assert shards.read_shard(f"{tmp_path}/s1/shard-00000000.bin", 3, length=16).tobytes() == expect[0][3 * 32 :]
     assert shards.training_order(docs(spark, []).limit(0)).count() == 0
+
+
+def brute_plan(counts):
+    """Bins by the stated rules, one item at a time."""
+    top, left, bins = len(counts) - 1, list(counts), []
+
+    def has(items):
+        return all(left[x] >= n for x, n in collections.Counter(items).items())
+
+    def pair(gap):
+        return ((x, gap - x) for x in range(gap - 1, 0, -1) if x >= gap - x)
+
+    def fill(length):
+        gap = top - length
+        if not gap:
+            return (length,)
+        tries = [(length, gap), *((length, *p) for p in pair(gap)), *((length, x, *p) for x in range(gap - 1, 0, -1) for p in pair(gap - x))]
+        return next((x for x in tries if has(x)), None)
+
+    def take(items):
+        for x in items:
+            left[x] -= 1
+        bins.append(tuple(sorted(items)))
+
+    for length in range(top, 0, -1):
+        while left[length] and (items := fill(length)):
+            take(items)
+    while any(left):
+        items = [max(x for x in range(top + 1) if left[x])]
+        while fit := [x for x in range(1, top - sum(items) + 1) if left[x] > items.count(x)]:
+            items.append(max(fit))
+        take(items)
+    return collections.Counter(bins)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_against_brute_force(seed):
+    r = np.random.default_rng(seed)
+    counts = np.zeros(25 + seed, np.int64)
+    n = r.integers(1, len(counts), int(r.integers(1, 90)))
+    np.add.at(counts, n if seed % 3 else np.minimum(n * 3, len(counts) - 1), 1)
+    got = collections.defaultdict(list)
+    for length, _, items, begin, _ in packing.plan(counts).tolist():
+        for k in range(items):
+            got[begin + k].append(length)
+    assert collections.Counter(tuple(sorted(x)) for x in got.values()) == brute_plan(counts.tolist())
+
+
+def test_many_equal_lines():
+    r = random.Random(2)
+    a, b = ([r.choice("xyz") for _ in range(700)] for _ in range(2))
+    got = [a[i] for i in sorted(html_diff.shared_lines(a, b))]
+    rest = iter(b)
+    assert all(x in rest for x in got) and len(got) == lcs(a, b)
+    a, b = ([r.choice("xyz") for _ in range(20_000)] for _ in range(2))
+    begin = time.time()
+    html_diff.shared_lines(a, b)
+    assert time.time() - begin < 20
+
+
+def test_ids_of_any_type(spark):
+    rows = [(f"p{i}", f"http://h.org/{i}", page(f"t {i}")) for i in range(6)] + [(None, "http://h.org/9", page("n"))]
+    got = {(r.page_id, r.partner_id) for r in html_diff.page_differences(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()}
+    assert got == {("p0", "p1"), ("p1", "p0"), ("p2", "p1"), ("p3", "p2"), ("p4", "p3"), ("p5", "p4"), (None, "p5")}
+    texts = spark.createDataFrame([("a", "x y"), ("b", "z " * 5000), (None, "n"), ("c", "")], "doc_id string, text string")
+    assert {r.doc_id for r in packing.pack_documents(texts).collect()} == {"a", "b"}
+    assert {r.doc_id for r in shards.training_order(texts).collect()} == {"a", "b", None, "c"}
+    assert fingerprint.fingerprints(texts).count() == 4
