@@ -1,16 +1,20 @@
-"""Token ids in training order: a keyed permutation gives every sequence a global slot; shards have a fixed stride."""
+"""Token ids in training order: a keyed permutation gives every sequence a global slot; shards have a fixed stride.
+
+Documents follow one another in an order of their content, an end id after each, and this stream of ids is cut into sequences. So
+sequences are full, and neither they nor their slots depend on the layout of the input or on the cluster.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import shared_folder
 from . import common, tokenizer
@@ -45,99 +49,114 @@ def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """The written table (part, ord, doc_id, piece, n_tokens, tokens): each text's ids and an end id, cut every length ids.
+def stream(docs: DataFrame, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
+    """The written table (part, at, doc_id, n_tokens, tokens): each text's ids and an end id, in the order of the stream.
 
-    tokens: little-endian ids of 2 or 4 bytes, as the vocabulary needs. (part, ord) numbers the sequences as they lie in the
-    input; an attempt that is run again after a loss writes the same rows.
+    Documents are sorted by a hash of doc_id and text; rows that agree in both may stand in any order. at: ids before the document
+    in its part; parts are ranges of the order. tokens: little-endian ids of 2 or 4 bytes, as the vocabulary needs.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, part, done = tokenizer.load(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            doc, piece, count, data = [], [], [], []
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(t.ids(text.as_py()), t.dtype.type(t.end))
-                for k in range(0, len(ids), length):
-                    doc.append(d)
-                    piece.append(k // length)
-                    count.append(len(ids[k : k + length]))
-                    data.append(ids[k : k + length].tobytes())
-            n = len(doc)
-            for k in range(0, n, 2000):
-                e = min(k + 2000, n)
-                yield pa.RecordBatch.from_arrays([pa.array([part] * (e - k), pa.int32()), pa.array(range(done + k, done + e), pa.int64()), pa.array(doc[k:e], pa.int64()), pa.array(piece[k:e], pa.int32()), pa.array(count[k:e], pa.int32()), pa.array(data[k:e], pa.binary())], names=["part", "ord", "doc_id", "piece", "n_tokens", "tokens"])
-            done += n
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
-    return common.materialise(texts.mapInArrow(scan, "part int, ord bigint, doc_id bigint, piece int, n_tokens int, tokens binary"), "sequences")
+            data = [np.append(t.ids(x.as_py()), t.dtype.type(t.end)) for x in batch.column("text")]
+            count = np.array([len(x) for x in data], np.int64)
+            at = done + np.cumsum(count) - count
+            done += int(count.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(data), pa.int32()), pa.array(at), batch.column("doc_id"), pa.array(count), pa.array([x.tobytes() for x in data], pa.binary())], names=["part", "at", "doc_id", "n_tokens", "tokens"])
+
+    text = F.col("text").cast("string")
+    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"), F.xxhash64(text, F.lit(1)).alias("k")).filter("text IS NOT NULL")
+    order = ["h", "k", "doc_id", "salt"]  # the salt spreads rows that repeat each other over ranges
+    ranges = keyed.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return common.materialise(ranges.select("doc_id", "text").mapInArrow(scan, f"part int, at bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, tokens binary"), "stream")
 
 
 def training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, piece, n_tokens, tokens): every sequence in its place of the training order.
+    """(slot, shard, byte_offset, doc_id, piece, n_tokens, tokens): every document's pieces in their places of the training order.
 
-    Slots are 0 .. n - 1, each once; they depend on the key, the number of sequences and their order in the input. Partitions
-    hold whole shards in slot order. byte_offset is the place in the shard, whose stride is length ids. A null text gives no
-    sequence, an empty one the end id alone; null and repeated doc_ids are kept as they are; no rows give no rows.
+    The stream of all documents is cut every length ids into sequences; sequence i has slot feistel(i). Slots are 0 .. n - 1, each
+    once, and depend on the documents, length and the key only. piece numbers a document's pieces; byte_offset is a piece's place
+    in the shard, whose stride is length ids. Only the stream's last sequence may be short. Partitions hold whole shards in the
+    order of their places. A null text gives no row, an empty one its end id; null and repeated doc_ids, of any type, are kept
+    as they are, as are very long texts; no rows give no rows. Other columns aren't read.
     """
     spark = docs.sparkSession
-    table = sequences(docs, length, vocabulary)
-    counts = table.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task that read the input
+    table = stream(docs, vocabulary)
+    counts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote the stream
     counts = common.materialise(counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))), "bases")
-    n = counts.agg(F.sum("n")).first()[0] or 0
-    parts, shards = common.partitions(spark), -(-n // shard) or 1
+    n = -(-(counts.agg(F.sum("n")).first()[0] or 0) // length)
+    parts, shards, size = common.partitions(spark), -(-n // shard) or 1, tokenizer.load(vocabulary).dtype.itemsize
 
-    @F.pandas_udf(T.LongType())
-    def slot_of(ordinal: pd.Series) -> pd.Series:
-        return pd.Series(feistel(ordinal.to_numpy(), n, key))
-
-    stride = length * tokenizer.load(vocabulary).dtype.itemsize
-    placed = table.join(counts.select("part", "base"), "part").withColumn("slot", slot_of(F.col("base") + F.col("ord")))
-    placed = placed.select("slot", F.expr(f"slot div {shard}").alias("shard"), F.expr(f"(slot % {shard}) * {stride}").alias("byte_offset"), "doc_id", "piece", "n_tokens", "tokens")
-    return placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("slot")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            begin, count = (batch.column(k).to_numpy() for k in ("begin", "n_tokens"))
+            first = begin // length
+            pieces = (begin + count - 1) // length - first + 1
+            row = np.repeat(np.arange(len(begin)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            seq = first[row] + piece
+            lo = np.maximum(begin[row], seq * length)
+            hi = np.minimum((begin + count)[row], (seq + 1) * length)
+            slot = feistel(seq, n, key)
+            whole = batch.column("tokens")
+            tokens = [whole[r].as_buffer()[a * size : b * size].to_pybytes() for r, a, b in zip(row.tolist(), (lo - begin[row]).tolist(), (hi - begin[row]).tolist())]
+            place = (slot % shard * length + lo - seq * length) * size
+            cols = [pa.array(slot), pa.array(slot // shard), pa.array(place), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "tokens"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = table.join(counts.select("part", "base"), "part").select((F.col("base") + F.col("at")).alias("begin"), "doc_id", "n_tokens", "tokens")
+    placed = placed.mapInArrow(cut, f"slot bigint, shard bigint, byte_offset bigint, doc_id {kind}, piece int, n_tokens int, tokens binary")
+    return placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard", "byte_offset")
 
 
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """Writes folder/shard-NNNNNNNN.bin, each sequence at its byte_offset and filled up with the end id; folder must be shared.
+    """Writes folder/shard-NNNNNNNN.bin, each piece at its byte_offset and the last sequence filled up with the end id; folder must
+    be shared. Gives (shard, sequences, sha256); no rows write nothing.
 
-    Gives (shard, sequences, sha256). A shard is written beside its place and renamed, so a reader never sees half of one, and
-    one that is written again after a loss is the same.
+    A shard is written beside its place and renamed, so a reader never sees half of one, and one that is written again after a
+    loss is the same.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, held, _, sha256 in _written(batches, folder, length, vocabulary):
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([held.num_rows], pa.int64()), pa.array([sha256])], names=["shard", "sequences", "sha256"])
+        for shard, _, sequences, _, sha256 in _written(batches, folder, length, vocabulary):
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([sequences], pa.int64()), pa.array([sha256])], names=["shard", "sequences", "sha256"])
 
-    return ordered.select("shard", "tokens").mapInArrow(write, "shard bigint, sequences bigint, sha256 string")
+    return ordered.select("shard", "byte_offset", "tokens").mapInArrow(write, "shard bigint, sequences bigint, sha256 string")
 
 
-def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabulary: str) -> Iterator[tuple[int, pa.Table, str, str]]:
-    """(shard, its rows but for tokens, path, sha256) of each shard once it is written; a shard's rows follow each other."""
+def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabulary: str) -> Iterator[tuple[int, pa.Table, int, str, str]]:
+    """(shard, its rows but for tokens, sequences, path, sha256) of each shard once it is written; its rows come one after another."""
     t = tokenizer.load(vocabulary)
+    stride = length * t.dtype.itemsize
     os.makedirs(folder, exist_ok=True)
     now, data, rows = None, [], []
 
-    def close() -> tuple[int, pa.Table, str, str]:
+    def close() -> tuple[int, pa.Table, int, str, str]:
         whole = b"".join(data)
+        whole += np.full(-len(whole) % stride // t.dtype.itemsize, t.end, t.dtype).tobytes()
         final = f"{folder}/shard-{now:08d}.bin"
-        with open(part := f"{final}.{os.getpid()}", "wb") as f:
+        with open(part := f"{final}.{uuid.uuid4().hex}", "wb") as f:
             f.write(whole)
         os.replace(part, final)
-        return now, pa.Table.from_batches(rows), final, hashlib.sha256(whole).hexdigest()
+        return now, pa.Table.from_batches(rows), len(whole) // stride, final, hashlib.sha256(whole).hexdigest()
 
     for batch in batches:
-        of, rest, lo = batch.column("shard").to_pylist(), batch.drop_columns(["tokens"]), 0
-        for k, (s, tokens) in enumerate(zip(of, batch.column("tokens"))):
+        of, at, rest, lo = batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), batch.drop_columns(["tokens"]), 0
+        for k, (s, place, tokens) in enumerate(zip(of, at, batch.column("tokens"))):
             if s != now:
                 if k > lo:
                     rows.append(rest.slice(lo, k - lo))
                 if data:
                     yield close()
-                now, data, rows, lo = s, [], [], k
-            ids = np.full(length, t.end, t.dtype)
-            own = np.frombuffer(tokens.as_py(), t.dtype)
-            ids[: len(own)] = own
-            data.append(ids.tobytes())
+                now, data, rows, lo, size = s, [], [], k, 0
+            if place > size:  # behind the stream's last sequence
+                data.append(np.full((place - size) // t.dtype.itemsize, t.end, t.dtype).tobytes())
+            data.append(tokens.as_py())
+            size = place + len(data[-1])
         if len(of) > lo:
             rows.append(rest.slice(lo))
     if data:
@@ -145,10 +164,10 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabu
 
 
 def training_shards(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, piece, n_tokens, path, sha256): the training order with its shards written.
+    """(slot, shard, byte_offset, doc_id, piece, n_tokens, path, sha256): ``training_order`` with its shards written.
 
     The shards lie in a new folder of the shared folder when this returns: shard's file is path, sha256 is of its bytes, and a
-    slot's tokens are the first n_tokens ids at byte_offset. The rows are a written table, so reading them writes nothing again.
+    piece's tokens are the n_tokens ids at byte_offset. The rows are a written table, so reading them writes nothing again.
     The shared folder must be mounted as files, as shards are mapped by their readers.
     """
     folder = shared_folder(docs.sparkSession, "shards")
@@ -156,7 +175,7 @@ def training_shards(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, k
     kept = [c for c in ordered.columns if c != "tokens"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows, path, sha256 in _written(batches, folder, length, vocabulary):
+        for _, rows, _, path, sha256 in _written(batches, folder, length, vocabulary):
             rows = rows.combine_chunks().append_column("path", pa.array([path] * rows.num_rows)).append_column("sha256", pa.array([sha256] * rows.num_rows))
             yield from rows.to_batches()
 
@@ -165,6 +184,7 @@ def training_shards(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, k
 
 
 def read_shard(path: str, first: int = 0, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> np.ndarray:
-    """Sequences of a shard from number first on, mapped rather than read: training resumes at any slot."""
+    """Sequences of a shard from number first on, mapped rather than read: training resumes at any slot. No sequence from there on
+    gives an empty array; an empty file can't be mapped, but none is written."""
     dtype = tokenizer.load(vocabulary).dtype
     return np.memmap(path, dtype, "r").reshape(-1, length)[first:]
