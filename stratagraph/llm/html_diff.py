@@ -8,6 +8,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -27,8 +28,16 @@ def text_lines(page: str) -> list[str]:
     return [line for raw in text.split("\n") if (line := " ".join(raw.split()))]
 
 
+#: Equal pairs of lines, as a multiple of the lines, up to which chains of matches are followed.
+FEW = 4
+
+
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices in a of a longest common subsequence of a and b, by chains of matches (Hunt and Szymanski) between the common ends."""
+    """Indices in a of a longest common subsequence of a and b.
+
+    Common ends are taken off first. Where few pairs of lines are equal, chains of matches are followed (Hunt and Szymanski); else,
+    as on pages whose lines repeat, rows of the table are bit vectors (Crochemore and others), a line at a time.
+    """
     lo, top = 0, min(len(a), len(b))
     while lo < top and a[lo] == b[lo]:
         lo += 1
@@ -39,10 +48,18 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     places: dict[str, list[int]] = defaultdict(list)
     for j in range(len(b) - end - 1, lo - 1, -1):
         places[b[j]].append(j)
+    mine = [i for i in range(lo, len(a) - end) if a[i] in places]
+    if sum(len(places[a[i]]) for i in mine) <= FEW * (len(a) + len(b)):
+        return out | _by_chains([(i, places[a[i]]) for i in mine])
+    known = {*(a[i] for i in mine)}
+    return out | {mine[i] for i in _by_bits([a[i] for i in mine], [x for x in b[lo : len(b) - end] if x in known])}
+
+
+def _by_chains(matches: list[tuple[int, list[int]]]) -> set[int]:
     tails: list[int] = []
     chains: list[tuple] = []
-    for i in range(lo, len(a) - end):
-        for j in places.get(a[i], ()):
+    for i, at in matches:
+        for j in at:
             k = bisect_left(tails, j)
             link = (i, chains[k - 1] if k else None)
             if k == len(tails):
@@ -50,13 +67,48 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
                 chains.append(link)
             elif j < tails[k]:
                 tails[k], chains[k] = j, link
-    link = chains[-1] if chains else None
+    out, link = set(), chains[-1] if chains else None
     while link:
         out.add(link[0])
         link = link[1]
     return out
 
 
+def _by_bits(a: list[str], b: list[str]) -> set[int]:
+    """Bit j of row i is 0 where a[: i + 1] has a longer subsequence in common with b[: j + 1] than with b[:j]. Every step-th row is
+    kept and those between are made again on the way back: memory for 2 sqrt(len(a)) rows."""
+    at: dict[str, bytearray] = defaultdict(lambda: bytearray(len(b) // 8 + 1))
+    for j, x in enumerate(b):
+        at[x][j >> 3] |= 1 << (j & 7)
+    bits = {x: int.from_bytes(v, "little") for x, v in at.items()}
+    full, size, step = (1 << len(b)) - 1, len(b) // 8 + 1, max(1, isqrt(len(a)))
+
+    def rows(row: int, lines: list[str]) -> Iterator[int]:
+        for x in lines:
+            u = row & bits.get(x, 0)
+            row = ((row + u) | (row - u)) & full
+            yield row
+
+    kept, row = [], full
+    for i in range(0, len(a), step):
+        kept.append(row)
+        for row in rows(row, a[i : i + step]):
+            pass
+    out, j = set(), len(b) - 1
+    for k in range(len(kept) - 1, -1, -1):
+        own = [kept[k].to_bytes(size, "little"), *(r.to_bytes(size, "little") for r in rows(kept[k], a[k * step : (k + 1) * step]))]
+        i = len(own) - 1
+        while i > 0 and j >= 0:
+            if own[i][j >> 3] >> (j & 7) & 1:
+                j -= 1
+            else:
+                i -= 1
+                if own[i][j >> 3] >> (j & 7) & 1:
+                    out.add(k * step + i)
+                    j -= 1
+    return out
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, _URL, 1)), F.lit(""))
 
@@ -73,6 +125,7 @@ def _near(path: str, other: str) -> int:
     return len(os.path.commonprefix([path, other]))
 
 
+@common.any_id("page_id")
 def page_differences(pages: DataFrame) -> DataFrame:
     """(page_id, partner_id, n_lines, n_shared, text) of pages(page_id, url, html).
 
@@ -82,7 +135,8 @@ def page_differences(pages: DataFrame) -> DataFrame:
     before others). Where a host has a single path, its pages are told apart by their query string instead, by the same rules. The
     lines on a longest common subsequence of both pages are deleted. A page without a partner, as the only path and query of its
     host, or without a host in its URL, keeps its lines, and partner_id is null; a null html gives an empty text.
-    Every row gives a row. Other columns aren't read.
+    Every row gives a row, repeated ones too; a page may be of any length and ids of any type; no rows give no rows. Other columns
+    aren't read.
 
     One light pass over the URLs finds bounds of equal ranges of (host, path); then each page's lines are sent once, to its
     range, and the pages at a range's ends also to the range beside it.
