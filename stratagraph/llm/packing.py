@@ -26,10 +26,11 @@ class _Index:
 
     def _reindex(self) -> None:
         self.lengths = np.flatnonzero(self.left)
-        self.pairs = np.zeros(self.capacity + 1, bool)
-        for a in self.lengths.tolist():
-            other = self.lengths[: np.searchsorted(self.lengths, min(a, self.capacity - a), side="right")]
-            self.pairs[a + other] = True
+        self.singles, self.pairs, self.triples = (np.zeros(self.capacity + 1, bool) for _ in range(3))
+        self.singles[self.lengths] = True
+        for longer, sums in ((self.singles, self.pairs), (self.pairs, self.triples)):
+            for a in self.lengths.tolist():
+                sums[a + 1 :] |= longer[1 : self.capacity + 1 - a]
         self.gone = 0
 
     def times(self, pattern: tuple[int, ...]) -> int:
@@ -61,6 +62,8 @@ class _Index:
             return (length, gap)
         if found := self._pair((length,), gap):
             return found
+        if not self.triples[gap]:
+            return None
         a = self.lengths[: np.searchsorted(self.lengths, gap)]
         a = a[(self.left[a] > 0) & self.pairs[gap - a]]
         for x in a[::-1].tolist():
@@ -106,17 +109,18 @@ def plan(counts: np.ndarray) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of each row with a doc_id and a text."""
+    """(doc_id, n_tokens) of each row with a doc_id, of any type, and a text; an empty text has 0; no rows give no rows."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = tokenizer.load(vocabulary).count
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(x.as_py()) for x in batch.column(1)], pa.int64())], names=["doc_id", "n_tokens"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return texts.mapInArrow(scan, "doc_id bigint, n_tokens bigint")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return texts.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 
+@common.any_id("doc_id")
 def pack(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, length, bin, offset): where each piece of each row of lengths(doc_id, n_tokens) goes.
 
