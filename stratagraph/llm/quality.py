@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import common, textkernel as tk
-from .toxicity import _DIGIT, _LETTER, _SIGN, _UPPER, _bytes_by_row, _by_row, sample
+from .toxicity import _DIGIT, _LETTER, _SIGN, _bytes_by_row, _by_row, capitals, sample
 from .trees import Logistic
 
 MAX_LABELLED = 20_000
@@ -38,7 +38,7 @@ def features(texts: pa.Array) -> np.ndarray:
         letters = _bytes_by_row(_LETTER, off, raw)
         lines = _bytes_by_row(_LINE, off, raw) + 1
         parts.append(np.stack([
-            np.log1p(w.count), distinct / n, _by_row(same, w) / n, letters / n / 10, letters / size, _bytes_by_row(_UPPER, off, raw) / np.maximum(letters, 1),
+            np.log1p(w.count), distinct / n, _by_row(same, w) / n, letters / n / 10, letters / size, capitals(part) / np.maximum(letters, 1),
             _bytes_by_row(_DIGIT, off, raw) / size, _bytes_by_row(_SIGN, off, raw) / size, _bytes_by_row(_BAR, off, raw) / size, _bytes_by_row(_SPACE, off, raw) / size,
             np.log1p(w.count / lines), _bytes_by_row(_STOP, off, raw) / n,
         ], 1))
@@ -52,8 +52,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Logisti
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(features(batch.column("text"))), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    table = sample(docs, labels, "quality", most).mapInArrow(scan, "doc_id bigint, y int, x array<double>").toArrow()
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    labelled = sample(docs, labels, "quality", most)
+    table = labelled.mapInArrow(scan, f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").toArrow()
+    order = np.argsort(table.column("doc_id").to_pandas().to_numpy(), kind="stable")
     y = table.column("y").to_numpy().astype(float)[order]
     if min(y.sum(), len(y) - y.sum()) < 5:
         return None

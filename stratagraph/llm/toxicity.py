@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common, textkernel as tk
 from .trees import BoostedTrees, Isotonic
@@ -27,8 +28,6 @@ SECOND_PERSON = """you your yours yourself yourselves ur u du dich dir dein dein
 vous votre vos tú ti tuyo tuya usted ustedes vosotros vuestro os""".split()
 NEAR = 5
 
-_UPPER = np.zeros(256, np.uint8)
-_UPPER[65:91] = 1
 _LETTER = np.zeros(256, np.uint8)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 256)]] = 1
 _DIGIT = np.zeros(256, np.uint8)
@@ -64,6 +63,11 @@ def _bytes_by_row(table: np.ndarray, off: np.ndarray, data: np.ndarray) -> np.nd
     return (total[off[1:]] - total[off[:-1]]).astype(float)
 
 
+def capitals(texts: pa.Array) -> np.ndarray:
+    """Upper-case letters, of any script, by row."""
+    return pa.compute.fill_null(pa.compute.count_substring_regex(texts, r"\p{Lu}"), 0).to_numpy(zero_copy_only=False).astype(float)
+
+
 def _near(hits: np.ndarray, other: np.ndarray, w: tk.Words) -> np.ndarray:
     """Hits with one of the others at most NEAR words away in the same row."""
     row = np.repeat(np.arange(len(w.count)), w.count)
@@ -96,7 +100,7 @@ def features(texts: pa.Array, learned: np.ndarray, abuse: np.ndarray, second: np
         hits, own = _by_row(seen, w), _by_row(known, w)
         parts.append(np.stack([
             np.log1p(w.count), hits / n, np.log1p(hits), own / n, np.log1p(own), np.log1p(masked), np.log1p(_by_row(_near(seen | known, you, w), w)), _by_row(you, w) / n,
-            _bytes_by_row(_UPPER, off, raw) / letters, _bytes_by_row(_LOUD, off, raw) / size, _bytes_by_row(_SIGN, off, raw) / size,
+            capitals(part) / letters, _bytes_by_row(_LOUD, off, raw) / size, _bytes_by_row(_SIGN, off, raw) / size,
             _bytes_by_row(mixed, loff, np.arange(len(low))) / n, _bytes_by_row(again, loff, np.arange(len(low))) / n,
         ], 1))
     return np.concatenate(parts)
@@ -120,10 +124,12 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """The written table (doc_id, text, y) of at most so many labelled documents; a repeated doc_id counts once."""
-    chosen = labels.select(F.col("doc_id").cast("bigint").alias("__id"), F.col(label).cast("int").alias("y")).filter("__id IS NOT NULL AND y IN (0, 1)")
+    """The written table (doc_id, text, y) of at most so many labelled documents; a repeated doc_id counts once. Ids are compared as
+    docs has them: as integers, else as strings."""
+    kind = "bigint" if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else "string"
+    chosen = labels.select(F.col("doc_id").try_cast(kind).alias("__id"), F.col(label).try_cast("int").alias("y")).filter("__id IS NOT NULL AND y IN (0, 1)")
     chosen = chosen.groupBy("__id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("__id"), "__id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     return common.materialise(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "y"), "labelled")
 
 
@@ -161,8 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model:
             x = features(batch.column("text"), model.learned, model.abuse, model.second)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    table = labelled.filter(half == 1).mapInArrow(scan, "doc_id bigint, y int, x array<double>").toArrow()  # at most MAX_LABELLED short rows
-    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    table = labelled.filter(half == 1).mapInArrow(scan, f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, y int, x array<double>").toArrow()  # at most MAX_LABELLED short rows
+    order = np.argsort(table.column("doc_id").to_pandas().to_numpy(), kind="stable")
     y = table.column("y").to_numpy().astype(float)[order]
     if min(y.sum(), len(y) - y.sum()) < 5:
         return model
@@ -193,7 +199,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most: int = MAX_LABELLED) -> DataFrame:
-    """docs, all columns, without the toxic documents; null texts stay. One pass, without a join."""
+    """docs, all columns, without the documents that ``score`` calls toxic. One pass, without a join.
+
+    Null texts stay, as do null ids; repeated rows stay or go together; empty texts are scored as any other. Empty labels leave the
+    share of abusive words to decide, as in ``score``; no rows give no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most))
     at = docs.columns.index("text")
 
