@@ -111,6 +111,6 @@ def change_factor(direction: Column, magnitude: Column) -> Column:
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on an integer key and a seed alone, by arithmetic that any engine repeats."""
-    h = F.pmod(key * 1103515245 + 12345 + 7919 * seed, F.lit(2147483648))
+    h = F.pmod(F.pmod(key.cast("bigint"), F.lit(2147483648)) * 1103515245 + 12345 + 7919 * seed, F.lit(2147483648))
     h = F.pmod(h * 1103515245 + 12345, F.lit(2147483648))
     return h / 2147483648.0
