@@ -61,6 +61,23 @@ def cached_type(refs: DataFrame, defs: DataFrame, cache: DataFrame) -> DataFrame
     return _candidates(typed.join(defs, (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent"))), "lsp", F.lit(0.95), F.concat_ws(": ", "receiver", "type_name"))
 
 
+def heuristics(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """The candidates of ``same_file``, ``name_match``, ``type_hint`` and ``imported`` together.
+
+    References meet the definitions of their name once; the first two strategies are tests on that pair, the third joins the pair's
+    receiver and parent with the types. A popular name is one key of that join, whose partitions Spark splits as it runs.
+    """
+    pair = refs.join(defs, F.col("name") == F.col("t_name"))
+    near = paths.parent(F.col("file")) == paths.parent(F.col("t_file"))
+    kinds = F.array(
+        F.when(F.col("file") == F.col("t_file"), F.struct(F.lit("same_file").alias("strategy"), F.lit(STRATEGIES["same_file"][1]).alias("ordinal"), F.lit(0.9).alias("confidence"))),
+        F.struct(F.lit("name_match").alias("strategy"), F.lit(STRATEGIES["name_match"][1]).alias("ordinal"), F.when(near, 0.6).otherwise(0.5).alias("confidence")),
+    )
+    by_name = pair.withColumn("k", F.explode(F.array_compact(kinds))).select(*_CALL, "k.*", "t_file", "t_name", "t_line", "t_parent", F.lit(None).cast("string").alias("type_hint"))
+    typed = pair.join(types, (F.col("receiver") == F.col("t_of")) & (F.col("t_parent") == F.col("type_name")))
+    return by_name.unionByName(_candidates(typed, "type_hint", F.lit(0.85), F.col("type_name"))).unionByName(imported(refs, defs, imports))
+
+
 def scaled(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
     """A strategy's confidence times its weight, held between 0 and 1; one of 0.01 or less is left out."""
     held = {k: min(1.0, max(0.0, w)) for k, w in weights.items()}

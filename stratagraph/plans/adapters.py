@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import materialise
+
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 
 #: $EXPLODE, $AT (an array's item from 1) and $STR are spelt by each engine; {name} is a table or another view.
@@ -47,12 +49,29 @@ def _spelt(sql: str, engine: str) -> str:
     return sql.replace('"case"', "`case`") if engine == "spark" else sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table, or a view over tables."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A table, or a view over tables; made: views that are there already."""
+    if made and name in made:
+        return made[name]
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = _spelt(VIEWS[name], "spark")
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in set(_NAME.findall(sql))})
+    return spark.sql(sql, **{n: view(spark, sf_dir, n, made) for n in set(_NAME.findall(sql))})
+
+
+class Views:
+    """The tables and views of a folder by name. ``written`` ones are made once, as tables, for queries that read them often."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._folder, self._made = spark, sf_dir, {}
+
+    def __call__(self, name: str) -> DataFrame:
+        return view(self._spark, self._folder, name, self._made)
+
+    def written(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = materialise(self(name), name)
+        return self._made[name]
 
 
 def oracle(sql: str) -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import paths, scores, text
 from ..operators import boosts, extract, graph, history, metrics, policy, prompts, render, resolve, runs, search
 from ..params import PARAMETERS, Coordinates, Policy, RankingConfig, ScanConfig
-from .adapters import oracle, view
+from .adapters import Views, oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +22,7 @@ def query(sql: str | None):
     """Registers a function of (v, spark), v(name) being a table or view, and its oracle."""
 
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(lambda n: view(spark, sf_dir, n), spark)
+        QUERIES[f.__name__] = lambda spark, sf_dir, f=f: f(Views(spark, sf_dir), spark)
         if sql is not None:
             ORACLES[f.__name__] = oracle(sql)
         return f
@@ -164,7 +164,8 @@ _HEURISTICS = ("same_file", "type_hint", "import", "name_match")
 
 
 def _candidates(v, name: str) -> DataFrame:
-    refs, defs = resolve.references(v("tags")), resolve.definitions(v("tags"))
+    tags = v.written("tags")
+    refs, defs = resolve.references(tags), resolve.definitions(tags)
     return {
         "same_file": lambda: resolve.same_file(refs, defs), "name_match": lambda: resolve.name_match(refs, defs), "type_hint": lambda: resolve.type_hint(refs, defs, v("types")),
         "import": lambda: resolve.imported(refs, defs, v("imports")), "lsp": lambda: resolve.cached_type(refs, defs, v("type_cache")),
@@ -172,8 +173,12 @@ def _candidates(v, name: str) -> DataFrame:
 
 
 def _union(v, *names: str) -> DataFrame:
-    out = _candidates(v, names[0])
-    for n in names[1:]:
+    if names[: len(_HEURISTICS)] == _HEURISTICS:
+        tags = v.written("tags")
+        out, names = resolve.heuristics(resolve.references(tags), resolve.definitions(tags), v("types"), v("imports")), names[len(_HEURISTICS) :]
+    else:
+        out, names = _candidates(v, names[0]), names[1:]
+    for n in names:
         out = out.unionByName(_candidates(v, n))
     return out
 
@@ -237,7 +242,7 @@ _CALLS = f"""SELECT e.file AS src_file, e.caller AS src_name, e.caller_line AS s
 
 @query(f"SELECT src_file, src_name, src_line, dst_file, dst_name, dst_line, round(confidence, 6) AS confidence, strategy, call_site FROM ({_CALLS})")
 def call_graph(v, spark):
-    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    g = resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
     return g.select("src_file", "src_name", "src_line", "dst_file", "dst_name", "dst_line", _r("confidence", "confidence"), "strategy", "call_site")
 
 
@@ -251,7 +256,7 @@ _SRC, _DST = (_node(f"{e}_file", f"{e}_name", f"{e}_line", f"{e}_parent") for e
 @query(_unrolled(f"SELECT node, ({_WEIGHT}) / sum({_WEIGHT}) OVER () AS p FROM (SELECT DISTINCT {_node('t_file', 't_name', 't_line', 't_parent')} AS node, t_file AS path FROM ({_DEFS}) dd) d0",
                  f"SELECT src, dst, sum(confidence / n) AS share FROM (SELECT {_SRC} AS src, {_DST} AS dst, confidence, count(*) OVER (PARTITION BY {_SRC})::DOUBLE AS n FROM ({_CALLS}) g0) g1 GROUP BY src, dst"))
 def pagerank_functions(v, spark):
-    tags = v("tags")
+    tags = v.written("tags")
     ranks = policy.function_ranks(tags, resolve.call_graph(tags, _union(v, *_HEURISTICS), Coordinates.shadow()), iterations=PR_STEPS, tolerance=0.0)
     return ranks.select("node", _r("rank", "rank", 8))
 
@@ -269,7 +274,7 @@ _LEAST = 0.65
   """ + ", ".join(f"count(*) FILTER (best >= {_LEAST} AND best >= {k / 5}{f' AND best < {(k + 1) / 5}' if k < 4 else ''}) AS b{k}" for k in range(5)) + f""",
   count(*) FILTER (best - second < 0.1) AS competition, count(*) FILTER (agrees) AS agreement, round(coalesce(sum({_LEAST} - best) FILTER (best < {_LEAST} AND best >= {_LEAST} - 0.2), 0), 6) AS near_misses FROM k""")
 def resolution_stats(v, spark):
-    s = resolve.statistics(resolve.references(v("tags")), _union(v, *_HEURISTICS), least=_LEAST)
+    s = resolve.statistics(resolve.references(v.written("tags")), _union(v, *_HEURISTICS), least=_LEAST)
     return s.withColumn("near_misses", F.round("near_misses", 6))
 
 
@@ -280,8 +285,8 @@ z AS (SELECT count(*)::DOUBLE AS calls, count(*) FILTER (best > 0.3) AS taken, c
 SELECT round(taken / calls, 6) AS resolution_rate, round(dropped / calls, 6) AS rejection_rate, round(close / taken::DOUBLE, 6) AS competition_rate,
   round((SELECT count(*) FROM l) / (SELECT count(*) FROM q)::DOUBLE, 6) AS lsp_utilisation, round((n - yes) / n::DOUBLE, 6) AS lsp_conflict_rate FROM z, m""")
 def resolution_rates(v, spark):
-    refs = resolve.references(v("tags"))
-    r = resolve.rates(resolve.statistics(refs, _union(v, *_HEURISTICS)), resolve.typed_lookups(v("tags"), _union(v, *_HEURISTICS, "lsp")))
+    refs = resolve.references(v.written("tags"))
+    r = resolve.rates(resolve.statistics(refs, _union(v, *_HEURISTICS)), resolve.typed_lookups(v.written("tags"), _union(v, *_HEURISTICS, "lsp")))
     return r.select(*(_r(c, c) for c in r.columns))
 
 
@@ -294,7 +299,7 @@ def oracle_agreement(v, spark):
 
 @query(f"SELECT r.file, r.line, round(max(coalesce(b.weighted, 0.0)), 6) AS confidence FROM ({_REFS}) r LEFT JOIN (SELECT * FROM ({_RANKED}) WHERE rn = 1) b ON r.file = b.file AND r.name = b.name AND r.line = b.line AND r.seq = b.seq GROUP BY r.file, r.line")
 def call_confidences(v, spark):
-    c = resolve.confidences(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    c = resolve.confidences(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
     return c.select("file", "line", _r("confidence", "confidence"))
 
 
@@ -309,7 +314,7 @@ _CALLERS = f"SELECT dst_file AS file, dst_name AS name, max(n) AS callers FROM (
 
 @query(f"SELECT file, CAST(sum(callers) AS BIGINT) AS callers, round(1 + greatest(ln(sum(callers)), 0), 6) AS weight FROM ({_CALLERS}) GROUP BY file")
 def caller_weights(v, spark):
-    w = graph.file_caller_weights(graph.caller_weights(resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())))
+    w = graph.file_caller_weights(graph.caller_weights(resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())))
     return w.select("file", "callers", _r("weight", "weight"))
 
 
@@ -322,9 +327,9 @@ _BOOSTED = f"""SELECT t.file, t.name, t.line, coalesce(f.rank, 0) * CASE WHEN t.
 
 
 def _boosted(v) -> DataFrame:
-    ranks = v("tags").groupBy("file").agg((F.count("*") / 100.0).alias("rank"))
-    callers = graph.file_caller_weights(graph.caller_weights(resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow()))).select("file", F.col("weight").alias("w"))
-    return boosts.boosted(v("tags"), ranks, callers=callers, chat=["d1/c1.py"], files=["d1/c1.py", "d2/c2.py"], idents=["the", "der"], temporal=["d3/c3.py"])
+    ranks = v.written("tags").groupBy("file").agg((F.count("*") / 100.0).alias("rank"))
+    callers = graph.file_caller_weights(graph.caller_weights(resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow()))).select("file", F.col("weight").alias("w"))
+    return boosts.boosted(v.written("tags"), ranks, callers=callers, chat=["d1/c1.py"], files=["d1/c1.py", "d2/c2.py"], idents=["the", "der"], temporal=["d3/c3.py"])
 
 
 @query(f"SELECT file, name, line, round(rank, 6) AS rank FROM ({_BOOSTED})")
@@ -360,6 +365,23 @@ def token_budget(v, spark):
     return render.budgeted(d, "cost", ["n_chars", "doc_id"], 4096, ["source"]).select("source", "doc_id", "spent")
 
 
+@query(f"""WITH RECURSIVE st AS (SELECT src, dst, w / (sum(w) OVER (PARTITION BY src))::DOUBLE AS share FROM (SELECT r.file AS src, d.file AS dst, sum(r.w) AS w FROM (SELECT file, name, count(*) AS w FROM {{tags}} WHERE kind = 'ref' GROUP BY file, name) r
+  JOIN (SELECT DISTINCT file, name FROM {{tags}} WHERE kind = 'def') d ON r.name = d.name AND r.file <> d.file GROUP BY r.file, d.file)), n AS (SELECT node, 1.0 / count(*) OVER () AS p, node NOT IN (SELECT src FROM st) AS loose FROM (SELECT DISTINCT file AS node FROM {{tags}})),
+r(step, ranks) AS (SELECT 0, map_from_entries(list((node, p))) FROM n UNION ALL SELECT step + 1, (SELECT map_from_entries(list((n.node, 0.15 * p + 0.85 * (coalesce(f.flow, 0) + lost * p)))) FROM n LEFT JOIN (SELECT dst, sum(share * r.ranks[src]) AS flow FROM st GROUP BY dst) f ON f.dst = n.node,
+  (SELECT coalesce(sum(r.ranks[node]), 0) AS lost FROM n WHERE loose)) FROM r WHERE step < 10), o AS (SELECT unnest(map_entries(ranks)) AS e FROM r WHERE step = 10), f AS (SELECT e.key AS file, e.value AS rank FROM o),
+b AS (SELECT t.file, t.name, t.line, f.rank * CASE WHEN t.file = 'd1/c1.py' THEN 5.0 ELSE 1.0 END * greatest(0.01, 1 + (coalesce(c.w, 1.0) - 1) * 2.0) AS rank FROM {{tags}} t JOIN f ON t.file = f.file
+  LEFT JOIN (SELECT file, 1 + greatest(ln(sum(callers)), 0) AS w FROM ({_CALLERS}) GROUP BY file) c ON t.file = c.file WHERE t.kind = 'def')
+SELECT file, name, line, round(rank, 6) AS rank FROM b""")
+def ranked_map(v, spark):
+    """From tags to the map: file edges, PageRank, call graph, boosts."""
+    tags = v.written("tags")
+    nodes = tags.select(F.col("file").alias("node")).distinct().withColumn("p", F.lit(1.0))
+    ranks = graph.pagerank(nodes, graph.file_edges(tags.filter("kind = 'def'"), tags.filter("kind = 'ref'")), iterations=10, tolerance=0.0).select(F.col("node").alias("file"), "rank")
+    calls = resolve.call_graph(tags, _union(v, *_HEURISTICS), Coordinates.shadow())
+    callers = graph.file_caller_weights(graph.caller_weights(calls)).select("file", F.col("weight").alias("w"))
+    return boosts.boosted(tags, ranks, callers=callers, files=["d1/c1.py"]).select("file", "name", "line", _r("rank", "rank"))
+
+
 @query(None)
 def directory_map(v, spark):
     return render.directory_map(extract.buckets(_boosted(v).drop("kind").withColumn("kind", F.lit("def"))))
@@ -619,7 +641,7 @@ def softmax_weights(v, spark):
 @query(None)
 def bicameral_waves(v, spark):
     lookup = v("type_cache").select(F.col("c_file").alias("file"), (F.col("c_line") + 1).alias("line"), "type_name")
-    return policy.bicameral(v("tags"), _union(v, *_HEURISTICS), lookup, Policy(gate=1e9, exploration_floor=0.2))
+    return policy.bicameral(v.written("tags"), _union(v, *_HEURISTICS), lookup, Policy(gate=1e9, exploration_floor=0.2))
 
 
 # ---- search ---------------------------------------------------------------------------------------------------------
@@ -916,19 +938,19 @@ def fallback_distractors(v, spark):
 
 @query(f"SELECT src_file, src_name, dst_file, dst_name, call_site FROM ({_CALLS}) WHERE src_name = 'the'")
 def calls_from(v, spark):
-    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    g = resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
     return graph.calls(g, None, "the").select("src_file", "src_name", "dst_file", "dst_name", "call_site")
 
 
 @query(f"SELECT src_file, src_name, dst_file, dst_name, call_site FROM ({_CALLS}) WHERE dst_name = 'der' AND starts_with(dst_file, 'd1/')")
 def calls_to(v, spark):
-    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
+    g = resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow())
     return graph.calls(g, None, "der", "to").filter(F.startswith("dst_file", F.lit("d1/"))).select("src_file", "src_name", "dst_file", "dst_name", "call_site")
 
 
 @query(f"SELECT DISTINCT file, name, line, parent FROM (SELECT src_file AS file, src_name AS name, src_line AS line, src_parent AS parent FROM ({_CALLS}) UNION ALL SELECT dst_file, dst_name, dst_line, dst_parent FROM ({_CALLS})) WHERE name = 'the'")
 def functions_by_name(v, spark):
-    return resolve.functions_named(resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow()), name="the")
+    return resolve.functions_named(resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow()), name="the")
 
 
 @query(f"SELECT * FROM ({_all('same_file', 'import')})")
@@ -938,7 +960,7 @@ def supported_strategies(v, spark):
 
 @query(f"""SELECT e.file AS src_file, e.caller AS src_name, e.name AS dst_name, e.line AS call_site FROM ({_ENCLOSED}) e ANTI JOIN ({_all(*_HEURISTICS)}) c ON e.file = c.file AND e.name = c.name AND e.line = c.line AND e.seq = c.seq WHERE e.caller IS NOT NULL""")
 def dangling_calls(v, spark):
-    g = resolve.call_graph(v("tags"), _union(v, *_HEURISTICS), Coordinates.shadow(), dangling=True)
+    g = resolve.call_graph(v.written("tags"), _union(v, *_HEURISTICS), Coordinates.shadow(), dangling=True)
     return g.filter("dst_file = '?'").select("src_file", "src_name", "dst_name", "call_site")
 
 
@@ -993,6 +1015,75 @@ def regex_tags(v, spark):
     return extract.tags(files).select("file", "name", "line", "kind", "node_type")
 
 
+#: By suffix: the lines of a file, and (name, line, kind, node type, parent, receiver) of what is in them; # stands for a number.
+_SOURCES = {
+    "py": (["class C#:", "    def run#(self):", "        return db.helper#(1)", "def top#(x):", "LIMIT# = 3"], [("C#", 1, "def", "class", None, None), ("run#", 2, "def", "method", "C#", None), ("helper#", 3, "ref", "call", None, "db"), ("top#", 4, "def", "function", None, None), ("LIMIT#", 5, "def", "constant", None, None)]),
+    "rs": (["pub struct S# {", "}", "impl S# {", "pub async fn go#() {", "    other#();", "}", "trait T# {", "enum E# {", "const N#: u8 = 1;"], [("S#", 1, "def", "struct", None, None), ("S#", 3, "def", "impl", None, None), ("go#", 4, "def", "function", None, None), ("other#", 5, "ref", "call", None, None), ("T#", 7, "def", "trait", None, None), ("E#", 8, "def", "enum", None, None), ("N#", 9, "def", "constant", None, None)]),
+    "js": (["export class K# {", "export async function f#(a) {", "const g# = (b) => use#(b)", "const MAX# = 1"], [("K#", 1, "def", "class", None, None), ("f#", 2, "def", "function", None, None), ("g#", 3, "def", "function", None, None), ("use#", 3, "ref", "call", None, None), ("MAX#", 4, "def", "constant", None, None)]),
+    "ts": (["export interface I# {", "type A# = string", "enum M# {"], [("I#", 1, "def", "interface", None, None), ("A#", 2, "def", "type", None, None), ("M#", 3, "def", "enum", None, None)]),
+    "go": (["func Run#(x int) {", "type G# struct {", "\tfmt.Show#(x)"], [("Run#", 1, "def", "function", None, None), ("G#", 2, "def", "type", None, None), ("Show#", 3, "ref", "call", None, "fmt")]),
+}
+_FOUND = ", ".join(f"('{ext}', '{n}', {line}, '{kind}', '{node}', {f"'{p}'" if p else 'NULL'}, {f"'{r}'" if r else 'NULL'})" for ext, (_, rows) in _SOURCES.items() for n, line, kind, node, p, r in rows)
+
+
+@query(f"""SELECT 'src/f' || n_nationkey || '.' || ext AS file, replace(name, '#', n_nationkey::VARCHAR) AS name, line, kind, node_type, replace(parent, '#', n_nationkey::VARCHAR) AS parent, receiver FROM nation, (VALUES {_FOUND}) v(ext, name, line, kind, node_type, parent, receiver)""")
+def source_tags(v, spark):
+    k = F.col("n_nationkey").cast("string")
+    each = F.explode(F.create_map(*(F.lit(x) for ext, (lines, _) in _SOURCES.items() for x in (ext, "\n".join(lines)))))
+    f = v("nation").select("n_nationkey", each.alias("ext", "content")).select(F.concat(F.lit("src/f"), k, F.lit("."), "ext").alias("file"), F.replace("content", F.lit("#"), k).alias("content"))
+    return extract.tags(f).select("file", "name", "line", "kind", "node_type", "parent", "receiver")
+
+
+@query("""SELECT n_nationkey AS k, '(self, x' || n_nationkey || ')' AS low, '(self, x' || n_nationkey || ': List' || CASE WHEN n_regionkey > 2 THEN ') -> Config' ELSE ')' END AS medium,
+  '(self, x' || n_nationkey || ': List[int]' || CASE WHEN n_regionkey > 2 THEN ') -> app.core.Config' ELSE ')' END AS high, n_name || ': ' || CASE WHEN n_regionkey = 0 THEN '?' ELSE 'Vec<u8>' || CASE WHEN n_regionkey = 1 THEN ' = 1' ELSE '' END END AS field FROM nation""")
+def rendered_symbols(v, spark):
+    n = v("nation")
+    p = F.array(F.struct(F.lit("self").alias("name"), F.lit(None).cast("string").alias("type")), F.struct(F.concat(F.lit("x"), "n_nationkey").alias("name"), F.lit("List[int]").alias("type")))
+    sig = F.struct(p.alias("parameters"), F.when(F.col("n_regionkey") > 2, "app.core.Config").alias("return_type"))
+    field = F.struct(F.col("n_name").alias("name"), F.when(F.col("n_regionkey") > 0, "Vec<u8>").alias("type_annotation"), F.when(F.col("n_regionkey") == 1, "1").alias("default_value"))
+    n = n.withColumns({"sig": sig, "field": field})
+    return n.select(F.col("n_nationkey").alias("k"), *(text.render_signature(F.col("sig"), d).alias(d) for d in ("low", "medium", "high")), text.render_field(F.col("field"), "high").alias("field"))
+
+
+@query("""SELECT s_suppkey, s_name || CASE WHEN s_nationkey % 2 = 0 THEN ': ' || s_nationkey ELSE '' END AS hover FROM supplier""")
+def hover_texts(v, spark):
+    body = F.concat("s_name", F.when(F.col("s_nationkey") % 2 == 0, F.concat(F.lit(": "), "s_nationkey")).otherwise(""))
+    return v("supplier").select("s_suppkey", text.clean_hover(F.concat(F.lit("\n```python\n"), body, F.lit("\n```\n "))).alias("hover"))
+
+
+@query("""WITH m AS (SELECT DISTINCT n_regionkey, n_name FROM nation), r AS (SELECT n_regionkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS o FROM m)
+SELECT 'f' || n_regionkey || '.py' AS file, 'K' || n_regionkey AS class, list(n_name ORDER BY n_name) FILTER (o <= 3) AS methods FROM r GROUP BY n_regionkey UNION ALL SELECT 'f9.py', 'Alone', []""")
+def class_methods(v, spark):
+    n = v("nation").select(F.concat(F.lit("f"), "n_regionkey", F.lit(".py")).alias("file"), F.concat(F.lit("K"), "n_regionkey").alias("parent"), F.col("n_name").alias("name"), F.lit("method").alias("section"))
+    return render.class_list(n.unionByName(spark.createDataFrame([("f9.py", None, "Alone", "class")], "file string, parent string, name string, section string")))
+
+
+@query("""SELECT text, octet_length(encode(text)) AS bytes, octet_length(encode(text)) > 200000 AS large FROM (SELECT string_agg(repeat('=', 80) || chr(10) || n_name || chr(10) || repeat('=', 80) || chr(10) || r_name, chr(10) ORDER BY n_name) AS text FROM nation JOIN region ON n_regionkey = r_regionkey)""")
+def joined_text(v, spark):
+    return render.joined_files(v("nation").join(v("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("path"), F.col("r_name").alias("content")))
+
+
+@query("""WITH d AS (SELECT event_type AS name, score - lag(score) OVER (PARTITION BY user_id ORDER BY step) AS delta FROM {series}) SELECT name, round(sum(abs(delta)), 6) AS total, count(*) AS moves FROM d WHERE delta IS NOT NULL GROUP BY name ORDER BY sum(abs(delta)) DESC, name LIMIT 5""")
+def parameter_movement(v, spark):
+    d = v("series").withColumn("delta", F.col("score") - F.lag("score").over(Window.partitionBy("user_id").orderBy("step"))).filter("delta IS NOT NULL")
+    return runs.movement(d.select(F.col("event_type").alias("name"), "delta")).select("name", _r("total", "total"), "moves")
+
+
+@query("""WITH c AS (SELECT n_nationkey AS k, 1.0 / (n_regionkey + 1) AS w FROM nation), u AS (SELECT k, sum(w) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER () AS whole FROM c) SELECT min(k) AS k FROM u WHERE upto > whole * 0.4""")
+def roulette_pick(v, spark):
+    return runs.pick(v("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("runs")), "k", "runs", 0.4)
+
+
+@query("""SELECT test AS from_file, '__file__' AS from_sym, source AS to_file, '__file__' AS to_sym FROM (SELECT 'test_' || n_name AS test, n_name AS source FROM nation) UNION ALL SELECT n_name, '__file__', 'test_' || n_name, '__file__' FROM nation""")
+def test_symbol_edges(v, spark):
+    return graph.symbol_edges(v("nation").select(F.concat(F.lit("test_"), "n_name").alias("test"), F.col("n_name").alias("source")))
+
+
+@query("SELECT file, mtime_s, mtime_ns, bytes FROM (" + _CACHE + ") WHERE false")
+def cache_clear(v, spark):
+    return extract.cache_clear(_cache(v)[1])
+
+
 @query("""WITH l AS (SELECT user_id, list(score ORDER BY step) AS v FROM {series} GROUP BY user_id), b AS (SELECT user_id, v, list_min(v) AS lo, greatest(list_max(v) - list_min(v), 0.001) AS r FROM l)
 SELECT user_id, array_to_string(list_transform(range(0, 20), lambda i: CASE WHEN len(v) > 20 THEN substr('▁▂▃▄▅▆▇█', 1 + round((v[1 + i * len(v) // 20] - lo) / r * 7)::INT, 1) WHEN i < len(v) THEN substr('▁▂▃▄▅▆▇█', 1 + round((v[1 + i] - lo) / r * 7)::INT, 1) ELSE ' ' END), '') AS spark FROM b""")
 def series_sparkline(v, spark):
