@@ -14,44 +14,62 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import paths
 from ..params import ScanConfig
 
-#: A larger file is no source text; its content is null.
-MOST_BYTES = 1 << 30
+#: What one value of a row can hold. A larger file among those to read is an error.
+MOST_BYTES = (1 << 31) - (1 << 16)
 IGNORE_FILES = (".stratagraphignore", ".eslintignore", ".prettierignore", ".stylelintignore")
 
 
 def source_files(spark: SparkSession, root: str, config: ScanConfig | None = None, include_all: bool = False) -> DataFrame:
     """(path, modified, length, content) of the files below root, by path; a single file gives itself, a missing path is an error.
 
-    Paths are listed by the driver and read by the executors, which must reach root. .gitignore patterns of root apply; hidden files stay. Contents that aren't UTF-8
-    are left out.
+    Paths are listed by the driver and read by the executors, which must reach root. What is ignored is left out: by patterns of
+    .gitignore in any folder, for what lies below it, of .git/info/exclude, and of the user's own ignore file; hidden files stay.
+    So are files of binary suffixes, but with include_all, and contents that aren't UTF-8. A file of 2 GB is an error.
     """
     here = Path(root)
     if not here.exists():
         raise FileNotFoundError(root)
-    base = f"file:{here.resolve() if here.is_dir() else here.resolve().parent}/"
-    df = _listed(spark, here.resolve())
-    df = df.withColumn("path", F.substring("path", len(base) + 1, 1 << 20))
-    ignore = gitignore_globs((here / ".gitignore").read_text()) if here.is_dir() and (here / ".gitignore").exists() else []
-    keep = paths.included(F.col("path"), config or ScanConfig()) & ~paths.is_binary(F.col("path"))
-    if not include_all:
-        keep = keep & ~paths.any_of([paths.matches(g, F.col("path")) for g in [*ignore, "**/.git/**"]])
-    df = df.filter(keep)
-    return df.select("path", F.col("modificationTime").alias("modified"), "length", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter("content IS NOT NULL").orderBy("path")
-
-
-def _listed(spark: SparkSession, root: Path) -> DataFrame:
-    """All files below root, those too that a directory listing of Spark hides: names that begin with a dot or an underscore."""
-    names = [str(root)] if root.is_file() else [os.path.join(d, f) for d, _, fs in os.walk(root, followlinks=False) for f in fs if not os.path.islink(os.path.join(d, f))]
+    config = config or ScanConfig()
+    if here.is_file():
+        df = _read(spark, [str(here.resolve())]).withColumn("path", F.lit(here.name))
+    else:
+        here = here.resolve()
+        names = [os.path.relpath(os.path.join(d, f), here) for d, _, fs in os.walk(here, followlinks=False) for f in fs if not os.path.islink(os.path.join(d, f))]
+        path = F.col("path")
+        keep = paths.included(path, config) & ~paths.any_of([paths.matches(g, path) for g in [*ignored_globs(here, names), "**/.git/**"]])
+        keep = keep if include_all else keep & ~paths.is_binary(path)
+        chosen = [r.path for r in spark.createDataFrame([(n,) for n in sorted(names)], "path string").filter(keep).collect()] if names else []
+        df = _read(spark, [os.path.join(here, n) for n in chosen]).withColumn("path", F.substring("path", len(str(here)) + 2, 1 << 20))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return df.select("path", F.col("modificationTime").alias("modified"), "length", text.alias("content")).filter("content IS NOT NULL").orderBy("path")
+
+
+def ignored_globs(root: Path, names: list[str]) -> list[str]:
+    """Globs, from root, of the ignore files that count there; names: the files below root."""
+    user = Path(os.environ.get("XDG_CONFIG_HOME") or Path.home() / ".config", "git", "ignore")
+    out = [g for f in (user, root / ".git" / "info" / "exclude") if f.is_file() for g in gitignore_globs(f.read_text())]
+    for n in sorted(n for n in names if os.path.basename(n) == ".gitignore"):
+        below = os.path.dirname(n)
+        for g in gitignore_globs((root / n).read_text()):
+            out += [g] if not below else [f"{below}/{g}", *([f"{below}/{g[3:]}"] if g.startswith("**/") else [])]
+    return out
+
+
+def _read(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Files by name, those too that a directory listing of Spark hides: names that begin with a dot or an underscore."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
 
+    def content(name: str, size: int) -> bytes:
+        if size > MOST_BYTES:
+            raise ValueError(f"{name} has {size} bytes; exclude it")
+        return Path(name).read_bytes()
+
     def read(batches):
         for pdf in batches:
             stats = [os.stat(p) for p in pdf["p"]]
-            yield pd.DataFrame({"path": "file:" + pdf["p"], "modificationTime": pd.to_datetime([s.st_mtime_ns // 1000 for s in stats], unit="us"), "length": [s.st_size for s in stats], "content": [Path(p).read_bytes() if s.st_size < MOST_BYTES else None for p, s in zip(pdf["p"], stats)]})
+            yield pd.DataFrame({"path": pdf["p"], "modificationTime": pd.to_datetime([s.st_mtime_ns // 1000 for s in stats], unit="us"), "length": [s.st_size for s in stats], "content": [content(p, s.st_size) for p, s in zip(pdf["p"], stats)]})
 
-    paths_ = spark.createDataFrame([(n,) for n in sorted(names)], "p string")
-    keep = ~paths.is_binary(F.col("p"))
-    return paths_.filter(keep).repartition(max(1, min(len(names) // 200 + 1, 1000))).mapInPandas(read, schema)
+    return spark.createDataFrame([(n,) for n in names], "p string").repartition(max(1, min(len(names) // 200 + 1, 1000))).mapInPandas(read, schema)
 
 
 def with_extensions(files: DataFrame, extensions: list[str]) -> DataFrame:
@@ -161,7 +179,3 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
-
-
-def folder_exists(path: str) -> bool:
-    return os.path.isdir(path)

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -399,3 +400,20 @@ def test_evaluate_uses_every_case_weight(spark):
     each = {c: {r.ablated: r.ndcg for r in search.evaluate(points, items.filter(F.col("case") == c), None, "ablated").collect()} for c in (1, 2)}
     both = search.evaluate(points, items, spark.createDataFrame([(1, 3.0), (2, 1.0)], "case int, weight double"), "ablated").collect()
     assert all(r.ndcg == pytest.approx((3 * each[1][r.ablated] + each[2][r.ablated]) / 4) for r in both) and len(both) == 2
+
+
+def test_nested_ignores_and_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    tree = {"r/.gitignore": "*.log\n", "r/a.py": "1", "r/a.log": "1", "r/sub/.gitignore": "gen.py\n/only.py\n", "r/sub/gen.py": "1", "r/sub/deep/gen.py": "1", "r/gen.py": "1", "r/sub/only.py": "1", "r/sub/deep/only.py": "1",
+            "r/.git/info/exclude": "secret.py\n", "r/x/secret.py": "1", "home/git/ignore": "*.swp\n", "r/b.swp": "1", "r/p.png": "1"}
+    for name, content in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content)
+    got = [r.path for r in files.source_files(spark, str(tmp_path / "r")).collect()]
+    assert got == [".gitignore", "a.py", "gen.py", "sub/.gitignore", "sub/deep/only.py"]
+    assert [r.path for r in files.source_files(spark, str(tmp_path / "r"), include_all=True).collect()] == sorted([*got, "p.png"])
+    (tmp_path / "r" / "big.py").touch()
+    os.truncate(tmp_path / "r" / "big.py", files.MOST_BYTES + 1)
+    with pytest.raises(Exception, match="exclude it"):
+        files.source_files(spark, str(tmp_path / "r")).collect()
+    assert [r.path for r in files.source_files(spark, str(tmp_path / "r"), ScanConfig(extend_exclude=("big.py",))).collect()] == got
