@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..params import RankingConfig
+from ..storage import running
 
 
 def boosted(tags: DataFrame, file_ranks: DataFrame, symbol_ranks: DataFrame | None = None, git: DataFrame | None = None, callers: DataFrame | None = None, focus: DataFrame | None = None, chat: list[str] = (), files: list[str] = (), idents: list[str] = (), temporal: list[str] = (), config: RankingConfig = RankingConfig()) -> DataFrame:
@@ -30,7 +31,7 @@ def boosted(tags: DataFrame, file_ranks: DataFrame, symbol_ranks: DataFrame | No
 def file_order(ranked: DataFrame) -> DataFrame:
     """(file, best, symbols, place): files by their best rank."""
     f = ranked.groupBy("file").agg(F.max("rank").alias("best"), F.count("*").alias("symbols"))
-    return f.withColumn("place", F.row_number().over(Window.orderBy(F.desc("best"), "file")))
+    return running(f, [F.desc("best"), "file"], name="place").withColumn("place", F.col("place") + 1)
 
 
 def first_by_name(ranked: DataFrame) -> DataFrame:

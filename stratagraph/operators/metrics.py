@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import materialise, running
+
 METRICS = ["ndcg", "ndcg_5", "p_at_k", "p_at_5", "r_at_k", "r_at_5", "mrr", "ap"]
 
 
@@ -68,9 +70,16 @@ def population_variance(value: Column) -> Column:
     return F.coalesce(F.var_pop(value), F.lit(0.0))
 
 
-def average_rank(value: str, by: list[str] = ()) -> Column:
-    """Ascending rank from 1; equal values share their mean rank."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
+def less(df: DataFrame, value: str) -> DataFrame:
+    """df with less and same: how many rows have a smaller value, and the same one. Values are counted before they are put in order."""
+    counts = df.groupBy(value).agg(F.count("*").alias("same"))
+    counts = running(counts, [value], "same", "less").withColumnRenamed(value, "__value")
+    return df.join(counts, F.col(value).eqNullSafe(F.col("__value"))).drop("__value")
+
+
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the ascending rank of a value, from 1; equal values share their mean rank."""
+    return less(df, value).withColumn(name, F.col("less") + (F.col("same") + 1) / 2).drop("less", "same")
 
 
 def spearman(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
@@ -79,15 +88,16 @@ def spearman(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     for k in on:
         match = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) if match is None else match & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     both = a.alias("l").join(b.alias("r"), match).select(F.col("l.value").alias("x"), F.col("r.value").alias("y"))
-    both = both.select(average_rank("x").alias("rx"), average_rank("y").alias("ry"))
+    both = average_rank(average_rank(materialise(both, "both"), "x", "rx"), "y", "ry")
     s = both.agg(F.count("*").alias("n"), F.sum(F.pow(F.col("rx") - F.col("ry"), F.lit(2))).alias("d"))
     n = F.col("n").cast("double")
     return s.select("n", F.when(F.col("n") < 2, 0.0).otherwise(1 - F.try_divide(6 * F.col("d"), n * (n * n - 1))).alias("rho"))
 
 
-def percentile(value: str, by: list[str] = ()) -> Column:
-    """Share of rows with a smaller value."""
-    return (F.rank().over(Window.partitionBy(*by).orderBy(value)) - 1) / F.count("*").over(Window.partitionBy(*by))
+def percentile(df: DataFrame, value: str, name: str = "percentile") -> DataFrame:
+    """df with the share of rows that have a smaller value."""
+    total = df.agg(F.count("*").alias("__all"))
+    return less(df, value).crossJoin(F.broadcast(total)).withColumn(name, F.col("less") / F.col("__all")).drop("less", "same", "__all")
 
 
 def failures(metrics: DataFrame, threshold: float = 0.5, cases: int = 50, most: int = 10) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths, scores
 from ..params import Coordinates, Policy, RankingConfig
-from ..storage import materialise
+from ..storage import materialise, running
 from . import graph, metrics, resolve
 
 
@@ -28,7 +28,8 @@ def bridges(degrees: DataFrame) -> DataFrame:
 def select_wave(candidates: DataFrame, p: Policy = Policy(), key: str = "site") -> DataFrame:
     """candidates(site, score) with boltzmann, place and chosen: the first share of them by score, and all whose weight passes the
     gate and the utility floor."""
-    c = candidates.withColumn("boltzmann", scores.boltzmann(F.col("score"), p)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("boltzmann"), key)))
+    c = candidates.withColumn("boltzmann", scores.boltzmann(F.col("score"), p))
+    c = running(c, [F.desc("boltzmann"), key], name="place").withColumn("place", F.col("place") + 1)
     n = c.agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(p.exploration_floor) - 1e-9)).alias("explore"))
     c = c.crossJoin(F.broadcast(n))
     return c.withColumn("chosen", (F.col("place") <= F.col("explore")) | ((F.col("boltzmann") >= p.gate) & (F.col("boltzmann") >= p.utility_floor))).drop("explore")
@@ -39,7 +40,7 @@ def signals(tags: DataFrame, ranks: DataFrame, confidence: DataFrame, degrees: D
     ``function_id`` gives it."""
     sites = resolve.enclosing(tags).join(resolve.references(tags).select("file", "name", "line", "seq", "receiver"), ["file", "name", "line", "seq"])
     sites = sites.withColumn("node", function_id("file", "caller", "caller_line", "caller_parent"))
-    r = ranks.select("node", "rank", metrics.percentile("rank").alias("percentile"))
+    r = metrics.percentile(ranks.select("node", "rank"), "rank")
     out = sites.join(r, "node", "left").join(confidence, ["file", "line"], "left").join(coherence(sites).select("receiver", "coherence"), "receiver", "left").join(bridges(degrees), "node", "left")
     return out.select("file", "name", "line", "seq", "receiver", F.coalesce("rank", F.lit(0.0)).alias("centrality"), F.coalesce("percentile", F.lit(0.0)).alias("percentile"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.coalesce("coherence", F.lit(0.5)).alias("coherence"), F.coalesce("bridge", F.lit(0.0)).alias("bridge"), F.lit(False).alias("is_root"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths, text
+from ..storage import running
 
 
 def map_header(ranked: DataFrame) -> DataFrame:
@@ -29,7 +30,8 @@ def directory_map(ranked: DataFrame, badges: DataFrame | None = None, width: int
     files = part.withColumn("line", line).groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("line")), "\n").alias("lines"), F.max("best").alias("best"))
     files = files.join(badges.select("file", "badges"), "file", "left") if badges is not None else files.withColumn("badges", F.array().cast("array<string>"))
     head = F.concat_ws(" ", "file", F.array_join(F.transform(F.coalesce("badges", F.array().cast("array<string>")), text.badge), " "))
-    return files.select("file", F.row_number().over(Window.orderBy(F.desc("best"), "file")).alias("place"), F.concat(F.rtrim(head), F.lit("\n"), "lines").alias("body"))
+    files = running(files.select("file", "best", F.concat(F.rtrim(head), F.lit("\n"), "lines").alias("body")), [F.desc("best"), "file"], name="place")
+    return files.select("file", (F.col("place") + 1).alias("place"), "body")
 
 
 def class_list(sections: DataFrame) -> DataFrame:

@@ -65,9 +65,19 @@ def binary_filter(v, spark):
     return v("page_files").select("path", paths.is_binary(F.col("path")).alias("excluded"))
 
 
-@query("""WITH f AS (SELECT DISTINCT file FROM {tags}) SELECT file, 'python' AS language, true AS is_source FROM f""")
+_SUFFIXES = "py pyw rs js jsx tsx ts go java h hh rb gemspec php5 cs kts sc markdown txt swift".split()
+
+
+@query("""WITH s AS (SELECT ['""" + "', '".join(_SUFFIXES) + """'] AS s), f AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'vendor/x/' WHEN 2 THEN 'build/' ELSE '' END || 'f' || o_orderkey || '.' || s[1 + o_orderkey % len(s)] AS file, s[1 + o_orderkey % len(s)] AS ext FROM orders, s)
+SELECT file, CASE WHEN ext IN ('py', 'pyw') THEN 'python' WHEN ext = 'rs' THEN 'rust' WHEN ext = 'js' THEN 'javascript' WHEN ext IN ('jsx', 'tsx', 'go', 'java') THEN ext WHEN ext = 'ts' THEN 'typescript' WHEN ext = 'h' THEN 'c' WHEN ext = 'hh' THEN 'cpp'
+  WHEN ext IN ('rb', 'gemspec') THEN 'ruby' WHEN ext = 'php5' THEN 'php' WHEN ext = 'cs' THEN 'c_sharp' WHEN ext = 'kts' THEN 'kotlin' WHEN ext = 'sc' THEN 'scala' WHEN ext = 'markdown' THEN 'markdown' END AS language,
+  k % 4 IN (0, 3) AND ext NOT IN ('pyw', 'gemspec', 'php5', 'sc', 'markdown', 'txt') AS is_source FROM f""")
 def source_predicate(v, spark):
-    return v("tags").select("file").distinct().select("file", paths.language(F.col("file")).alias("language"), paths.is_source(F.col("file")).alias("is_source"))
+    k = F.col("o_orderkey")
+    folder = F.element_at(F.array(*(F.lit(x) for x in ("src/", "vendor/x/", "build/", ""))), (k % 4 + 1).cast("int"))
+    ext = F.element_at(F.array(*(F.lit(x) for x in _SUFFIXES)), (k % len(_SUFFIXES) + 1).cast("int"))
+    f = v("orders").select(F.concat(folder, F.lit("f"), k, F.lit("."), ext).alias("file"))
+    return f.select("file", paths.language(F.col("file")).alias("language"), paths.is_source(F.col("file")).alias("is_source"))
 
 
 @query("""SELECT file, name, line, CASE WHEN parent IS NULL THEN name ELSE parent || '.' || name END AS qualified, starts_with(name, 'test_') OR starts_with(name, 'Test') AS is_test FROM {tags} WHERE kind = 'def'""")
@@ -580,7 +590,7 @@ def spearman(v, spark):
 @query(f"SELECT k, round((rank() OVER (ORDER BY n) - 1) / (count(*) OVER ())::DOUBLE, 6) AS percentile FROM ({_SUPPLIERS})")
 def percentile_rank(v, spark):
     s = v("lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"))
-    return s.select("k", _r(metrics.percentile("n"), "percentile"))
+    return metrics.percentile(s, "n").select("k", _r("percentile", "percentile"))
 
 
 @query("SELECT c_mktsegment, round(var_pop(c_acctbal), 4) AS variance, round(stddev_pop(c_acctbal), 4) AS sd FROM customer GROUP BY c_mktsegment")

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +46,19 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
+
+
+def running(df: DataFrame, order: list, amount: str | None = None, name: str = "before") -> DataFrame:
+    """df with the sum of an amount (1 without) over the rows before each in a total order of all of them; ties stand in any order.
+
+    Rows are put into ranges of the order, each range is summed by itself, and the ranges' totals, a row for each, are added: no task
+    has all rows.
+    """
+    spark = df.sparkSession
+    one = F.lit(1) if amount is None else F.col(amount)
+    ranged = materialise(df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("__range").agg(F.sum(one).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(upto), F.lit(0))).drop("__sum")
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(base), "__range")  # a row for each range
+    return out.withColumn(name, F.col("__base") + F.coalesce(F.sum(one).over(own), F.lit(0))).drop("__range", "__base")

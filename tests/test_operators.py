@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph import storage
 from stratagraph.functions import paths, scores, text
 from stratagraph.operators import boosts, extract, graph, history, metrics, policy, prompts, render, resolve, runs, search
 from stratagraph.params import Coordinates, Policy, RankingConfig, ScanConfig, to_config
@@ -212,7 +213,8 @@ def test_spearman(spark):
     a = spark.createDataFrame([(f"f{i}", 0.1 * i) for i in range(1, 6)], "k string, value double")
     b = spark.createDataFrame([(f"f{i}", 0.2 * i) for i in range(1, 6)], "k string, value double")
     assert metrics.spearman(a, b, ["k"]).first().rho == pytest.approx(1)
-    v = spark.createDataFrame([(10,), (30,), (20,), (30,)], "v int").select("v", metrics.average_rank("v").alias("r"))
+    v = spark.createDataFrame([(10,), (30,), (20,), (30,)], "v int")
+    v = metrics.average_rank(v, "v", "r")
     assert sorted((r.v, r.r) for r in v.collect()) == [(10, 1.0), (20, 2.0), (30, 3.5), (30, 3.5)]
     assert metrics.spearman(a.limit(1), b, ["k"]).first().rho == 0.0
 
@@ -417,3 +419,17 @@ def test_nested_ignores_and_large_files(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="exclude it"):
         files.source_files(spark, str(tmp_path / "r")).collect()
     assert [r.path for r in files.source_files(spark, str(tmp_path / "r"), ScanConfig(extend_exclude=("big.py",))).collect()] == got
+
+
+def test_running_sums_over_ranges(spark):
+    rows = [(i * 37 % 101, float(i % 5)) for i in range(101)]
+    got = {r.k: r.before for r in storage.running(spark.createDataFrame(rows, "k int, v double").repartition(7), ["k"], "v").collect()}
+    expect, total = {}, 0.0
+    for k, v in sorted(rows):
+        expect[k] = total
+        total += v
+    assert got == expect
+    got = [(r.k, r.place) for r in storage.running(spark.createDataFrame(rows, "k int, v double"), [F.desc("k")], name="place").collect()]
+    assert sorted(got) == [(k, 100 - k) for k in range(101)] and storage.running(spark.createDataFrame([], "k int"), ["k"]).count() == 0
+    less = {r.x: (r.less, r.same) for r in metrics.less(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double"), "x").collect()}
+    assert less == {None: (0, 1), 1.0: (1, 1), 2.0: (2, 2)}
