@@ -94,8 +94,11 @@ def features(texts: pa.Array, learned: np.ndarray, abuse: np.ndarray, second: np
         digit, letter = _DIGIT[low].astype(bool), _LETTER[low].astype(bool)
         mixed = np.zeros(len(low), np.uint8)
         mixed[1:] = (letter[:-1] & (digit[1:] | (low[1:] == 64) | (low[1:] == 36))) | (digit[:-1] & letter[1:])
+        begins = loff[:-1][loff[:-1] < len(low)]
+        mixed[begins] = 0  # the byte before is of another text
         again = np.zeros(len(low), np.uint8)
         again[2:] = letter[2:] & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+        again[begins] = again[np.minimum(begins + 1, len(low) - 1)] = 0
         n, size, letters = np.maximum(w.count, 1), np.maximum(np.diff(off), 1), np.maximum(_bytes_by_row(_LETTER, off, raw), 1)
         hits, own = _by_row(seen, w), _by_row(known, w)
         parts.append(np.stack([
