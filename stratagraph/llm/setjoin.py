@@ -69,8 +69,9 @@ class SetSpec:
         return np.minimum(size, size - least + self.least_shared(least) + 1)
 
 
-def units(batch: pa.RecordBatch, spec: SetSpec) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By slices: document and row key, line number, and shingles' unit and hash. Columns of batch: doc_id, row_key, text."""
+def units(batch: pa.RecordBatch, spec: SetSpec, may: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices: document and row key, line number, and shingles' unit and hash. Columns of batch: doc_id, row_key, text.
+    may: units whose bit isn't set are left out before their words are hashed."""
     doc, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
     text = batch.column(2)
     if spec.by_line:
@@ -81,6 +82,9 @@ def units(batch: pa.RecordBatch, spec: SetSpec) -> Iterator[tuple[np.ndarray, np
         text = pa.compute.list_flatten(lists)
     else:
         parent, line = np.arange(len(text)), np.zeros(len(text), np.int64)
+    if may is not None:
+        some = may[(key[parent] ^ line) & (len(may) - 1)]
+        parent, line, text = parent[some], line[some], text.filter(pa.array(some))
     for lo, part in tk.slices(text):
         mine = parent[lo : lo + len(part)]
         row, h = tk.shingles(tk.hash_words(*tk.lowered(part)), spec.shingle)
@@ -499,15 +503,15 @@ def verified(docs: DataFrame, spec: SetSpec, classes: DataFrame, table: DataFram
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = mask.value
         for batch in batches:
-            for doc, key, line, row, h in units(batch, spec):
+            for doc, key, line, row, h in units(batch, spec, may):
                 ids, rest = tk.set_ids(tk.token_sets(row, h, len(doc)))
-                some = np.flatnonzero(may[(ids ^ key ^ line) & (len(may) - 1)])
-                if not len(some):
-                    continue
-                order = np.argsort(row, kind="stable")
-                at = np.searchsorted(row[order], np.arange(len(doc) + 1))
-                tokens = [np.unique(h[order[at[r] : at[r + 1]]]).view(np.int64) for r in some.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(rest[some]), pa.array(doc[some]), pa.array(key[some]), pa.array(line[some].astype(np.int32)), pa.array(tokens, pa.list_(pa.int64()))], names=["f_set", "f_rest", "f_doc", "f_key", "f_line", "tokens"])
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                edges = np.searchsorted(row[new], np.arange(len(doc) + 1))
+                tokens = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(h[new].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rest), pa.array(doc), pa.array(key), pa.array(line.astype(np.int32)), tokens], names=["f_set", "f_rest", "f_doc", "f_key", "f_line", "tokens"])
 
     found = source.mapInArrow(fetch, "f_set bigint, f_rest bigint, f_doc bigint, f_key bigint, f_line int, tokens array<bigint>")
     here = (found.f_set == cells.set_id) & (found.f_rest == cells.rest) & (found.f_doc == cells.doc_id) & (found.f_key == cells.row_key) & (found.f_line == cells.line)
@@ -560,7 +564,7 @@ MASK = 1 << 22
 def _unit_mask(cells: DataFrame) -> np.ndarray:
     """Bits of the wanted units: MASK of them, whatever the data."""
     out = np.zeros(MASK, bool)
-    table = cells.select(F.expr(f"(set_id ^ row_key ^ line) & {MASK - 1}").cast("int").alias("x")).distinct().toArrow()
+    table = cells.select(F.expr(f"(row_key ^ line) & {MASK - 1}").cast("int").alias("x")).distinct().toArrow()
     out[table.column("x").to_numpy()] = True
     return out
 
