@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -33,10 +35,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return at.getPath()
 
 
+#: Whether a query's shuffle files go when it ends, or when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Tables written here leave no shuffle files behind: what is written needs them no longer."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: what reads it needs no executor that made it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -44,7 +62,8 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``materialise`` in buckets by key, as many as a shuffle has partitions: joins and aggregates by key read it without a shuffle."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
+    with _cleaned(spark):
+        df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 
