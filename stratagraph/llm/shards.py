@@ -72,15 +72,19 @@ def stream(docs: DataFrame, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame
     return common.materialise(ranges.select("doc_id", "text").mapInArrow(scan, f"part int, at bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, tokens binary"), "stream")
 
 
-def training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, piece, n_tokens, tokens): every document's pieces in their places of the training order.
+_PLACES = ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens"]
 
-    The stream of all documents is cut every length ids into sequences; sequence i has slot feistel(i). Slots are 0 .. n - 1, each
-    once, and depend on the documents, length and the key only. piece numbers a document's pieces; byte_offset is a piece's place
-    in the shard, whose stride is length ids. Only the stream's last sequence may be short. Partitions hold whole shards in the
-    order of their places. A null text gives no row, an empty one its end id; null and repeated doc_ids, of any type, are kept
-    as they are, as are very long texts; no rows give no rows. Other columns aren't read.
-    """
+
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in _PLACES)
+
+
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", 3)
+
+
+def _order(docs: DataFrame, length: int, shard: int, key: int, vocabulary: str) -> DataFrame:
+    """``training_order`` with packed in place of tokens: ids are moved compressed, as they are most of what is moved."""
     spark = docs.sparkSession
     table = stream(docs, vocabulary)
     counts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote the stream
@@ -89,6 +93,7 @@ def training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ke
     parts, shards, size = common.partitions(spark), -(-n // shard) or 1, tokenizer.load(vocabulary).dtype.itemsize
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -102,17 +107,38 @@ def training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, ke
             hi = np.minimum((begin + count)[row], (seq + 1) * length)
             slot = feistel(seq, n, key)
             whole = batch.column("tokens")
-            tokens = [whole[r].as_buffer()[a * size : b * size].to_pybytes() for r, a, b in zip(row.tolist(), (lo - begin[row]).tolist(), (hi - begin[row]).tolist())]
+            packed = [codec.compress(whole[r].as_buffer()[a * size : b * size], asbytes=True) for r, a, b in zip(row.tolist(), (lo - begin[row]).tolist(), (hi - begin[row]).tolist())]
             place = (slot % shard * length + lo - seq * length) * size
-            cols = [pa.array(slot), pa.array(slot // shard), pa.array(place), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens", "tokens"])
+            cols = [pa.array(slot), pa.array(slot // shard), pa.array(place), batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*_PLACES, "packed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = table.join(counts.select("part", "base"), "part").select((F.col("base") + F.col("at")).alias("begin"), "doc_id", "n_tokens", "tokens")
-    placed = placed.mapInArrow(cut, f"slot bigint, shard bigint, byte_offset bigint, doc_id {kind}, piece int, n_tokens int, tokens binary")
+    placed = placed.mapInArrow(cut, f"slot bigint, shard bigint, byte_offset bigint, doc_id {kind}, piece int, n_tokens int, packed binary")
     return placed.repartitionById(parts, F.expr(f"cast(shard * {parts} div {shards} as int)")).sortWithinPartitions("shard", "byte_offset")
 
 
+def training_order(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, key: int = KEY, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, piece, n_tokens, tokens): every document's pieces in their places of the training order.
+
+    The stream of all documents is cut every length ids into sequences; sequence i has slot feistel(i). Slots are 0 .. n - 1, each
+    once, and depend on the documents, length and the key only. piece numbers a document's pieces; byte_offset is a piece's place
+    in the shard, whose stride is length ids. Only the stream's last sequence may be short. Partitions hold whole shards in the
+    order of their places. A null text gives no row, an empty one its end id; null and repeated doc_ids, of any type, are kept
+    as they are, as are very long texts; no rows give no rows. Other columns aren't read.
+    """
+    size = tokenizer.load(vocabulary).dtype.itemsize
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec()
+        for batch in batches:
+            whole = [codec.decompress(x.as_buffer(), n * size, asbytes=True) for x, n in zip(batch.column("packed"), batch.column("n_tokens").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.drop_columns(["packed"]).columns, pa.array(whole, pa.binary())], names=[*_PLACES, "tokens"])
+
+    ordered = _order(docs, length, shard, key, vocabulary)
+    return ordered.mapInArrow(unpack, f"{_kinds(ordered)}, tokens binary")
+
+
 def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame:
     """Writes folder/shard-NNNNNNNN.bin, each piece at its byte_offset and the last sequence filled up with the end id; folder must
     be shared. Gives (shard, sequences, sha256); no rows write nothing.
@@ -129,7 +155,8 @@ def write_shards(ordered: DataFrame, folder: str, length: int = LENGTH, vocabula
 
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabulary: str) -> Iterator[tuple[int, pa.Table, int, str, str]]:
-    """(shard, its rows but for tokens, sequences, path, sha256) of each shard once it is written; its rows come one after another."""
+    """(shard, its rows but for the last column, sequences, path, sha256) of each shard once it is written; its rows come one after
+    another. The last column is tokens, or packed."""
     t = tokenizer.load(vocabulary)
     stride = length * t.dtype.itemsize
     os.makedirs(folder, exist_ok=True)
@@ -144,9 +171,11 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabu
         os.replace(part, final)
         return now, pa.Table.from_batches(rows), len(whole) // stride, final, hashlib.sha256(whole).hexdigest()
 
+    codec = _codec()
     for batch in batches:
-        of, at, rest, lo = batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), batch.drop_columns(["tokens"]), 0
-        for k, (s, place, tokens) in enumerate(zip(of, at, batch.column("tokens"))):
+        of, at, rest, lo = batch.column("shard").to_pylist(), batch.column("byte_offset").to_pylist(), batch.drop_columns([held := batch.schema.names[-1]]), 0
+        many = batch.column("n_tokens").to_pylist() if held == "packed" else of
+        for k, (s, place, tokens, n) in enumerate(zip(of, at, batch.column(held), many)):
             if s != now:
                 if k > lo:
                     rows.append(rest.slice(lo, k - lo))
@@ -155,7 +184,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, length: int, vocabu
                 now, data, rows, lo, size = s, [], [], k, 0
             if place > size:  # behind the stream's last sequence
                 data.append(np.full((place - size) // t.dtype.itemsize, t.end, t.dtype).tobytes())
-            data.append(tokens.as_py())
+            data.append(codec.decompress(tokens.as_buffer(), n * t.dtype.itemsize, asbytes=True) if held == "packed" else tokens.as_py())
             size = place + len(data[-1])
         if len(of) > lo:
             rows.append(rest.slice(lo))
@@ -171,16 +200,14 @@ def training_shards(docs: DataFrame, length: int = LENGTH, shard: int = SHARD, k
     The shared folder must be mounted as files, as shards are mapped by their readers.
     """
     folder = shared_folder(docs.sparkSession, "shards")
-    ordered = training_order(docs, length, shard, key, vocabulary)
-    kept = [c for c in ordered.columns if c != "tokens"]
+    ordered = _order(docs, length, shard, key, vocabulary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, _, path, sha256 in _written(batches, folder, length, vocabulary):
             rows = rows.combine_chunks().append_column("path", pa.array([path] * rows.num_rows)).append_column("sha256", pa.array([sha256] * rows.num_rows))
             yield from rows.to_batches()
 
-    kinds = ", ".join(f"{c} {ordered.schema[c].dataType.simpleString()}" for c in kept)
-    return common.materialise(ordered.mapInArrow(write, f"{kinds}, path string, sha256 string"), "slots")
+    return common.materialise(ordered.mapInArrow(write, f"{_kinds(ordered)}, path string, sha256 string"), "slots")
 
 
 def read_shard(path: str, first: int = 0, length: int = LENGTH, vocabulary: str = tokenizer.VOCABULARY) -> np.ndarray:
