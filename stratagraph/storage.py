@@ -50,11 +50,11 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: what reads it needs no executor that made it."""
+def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """df as a table in the shared folder: what reads it needs no executor that made it. level: of compression."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with _cleaned(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
