@@ -22,6 +22,8 @@ from . import common, tokenizer
 #: Tokens in a sequence, sequences in a shard, and the permutation's key.
 LENGTH, SHARD, KEY = 2048, 512, 0x5DEECE66D
 ROUNDS = 6
+#: Of zstd, for ids that are kept or moved.
+LEVEL = 6
 
 
 def feistel(x: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -69,7 +71,7 @@ def stream(docs: DataFrame, vocabulary: str = tokenizer.VOCABULARY) -> DataFrame
     keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("h"), F.xxhash64(text, F.lit(1)).alias("k")).filter("text IS NOT NULL")
     order = ["h", "k", "doc_id", "salt"]  # the salt spreads rows that repeat each other over ranges
     ranges = keyed.withColumn("salt", F.monotonically_increasing_id()).repartitionByRange(common.partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return common.materialise(ranges.select("doc_id", "text").mapInArrow(scan, f"part int, at bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, tokens binary"), "stream")
+    return common.materialise(ranges.select("doc_id", "text").mapInArrow(scan, f"part int, at bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, tokens binary"), "stream", LEVEL)
 
 
 _PLACES = ["slot", "shard", "byte_offset", "doc_id", "piece", "n_tokens"]
@@ -80,7 +82,7 @@ def _kinds(df: DataFrame) -> str:
 
 
 def _codec() -> pa.Codec:
-    return pa.Codec("zstd", 3)
+    return pa.Codec("zstd", LEVEL)
 
 
 def _order(docs: DataFrame, length: int, shard: int, key: int, vocabulary: str) -> DataFrame:
