@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,10 @@ from . import common, textkernel as tk
 #: Postings that a map task holds before it hands them on, pairs that a list join looks at together, and pairs that it holds.
 #: They bound a worker's memory and leave nothing out.
 FLUSH, PAIRS, HELD_PAIRS = 1 << 19, 1 << 18, 1 << 19
-#: Parts of a bucket, by token, that are joined one after the other (a longer list is one step).
+#: Parts of a bucket, by token, that are read one after the other (a longer list is one step).
 PARTS = 8
+#: Shared postings of a bucket that are joined together, at least; most shares of their pairs; postings of which one is tried to count them.
+HELD_POSTINGS, SHARES, TRIED = 1 << 21, 256, 16
 #: Counters in a piece of the sketch, and pieces that one task adds up.
 CHUNK, FAN = 1 << 16, 64
 #: Sets and tokens in a block, about. A cell has two blocks at most.
@@ -207,17 +210,24 @@ def _postings(docs: DataFrame, spec: SetSpec, level, buckets: int) -> DataFrame:
     return _source(docs).mapInArrow(scan, _POSTING)
 
 
-def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.ndarray, ...]]:
-    """Pairs of one bucket's postings, (a, b, size of a, tokens shared), a before b by (size, id).
+class Lists(NamedTuple):
+    """Postings of tokens that several sets have, by token, block of positions, size and id."""
 
-    A token's list is cut into blocks by position; a block is sorted by size. Given a posting (size s, position p) and a block
-    whose least position is P, the bounds on positions are bounds on the partner's size, so the partners are one run of the
-    block, found by binary search, and a block whose run is empty is skipped whole.
-    """
-    t, beta, lam = spec.threshold, spec.threshold / (1 + spec.threshold), spec.slack
+    ids: np.ndarray
+    size: np.ndarray
+    pos: np.ndarray
+    run: np.ndarray  # number of the token
+    where: np.ndarray  # (run, block, size) in one number, ascending
+    span: int  # beyond the sizes
+    blocks: list[int]
+    bits: np.ndarray
+
+
+def _shared(spec: SetSpec, token, ids, size, pos, bits) -> Lists | None:
+    """The lists of postings' tokens; None if no two sets share a token."""
     block = np.where(pos > 0, np.floor(np.log2(np.maximum(pos, 1))).astype(np.int64) + 1, 0)
     order = np.lexsort((ids, size, block, token))
-    token, ids, size, pos, block = token[order], ids[order], size[order].astype(np.int64), pos[order].astype(np.int64), block[order]
+    token, ids, size, pos, block = token[order], ids[order], size[order], pos[order], block[order]
     bits = bits[order] if spec.parity else bits
     if len(token):
         fresh = np.ones(len(token), bool)  # equal sets, one posting
@@ -228,32 +238,50 @@ def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.nda
     run[1:] = np.cumsum(token[1:] != token[:-1])
     alone = np.bincount(run)[run] < 2 if len(run) else np.zeros(0, bool)
     ids, size, pos, block, run = (x[~alone] for x in (ids, size, pos, block, run))
-    bits = bits[~alone] if spec.parity else bits
+    bits = bits[~alone] if spec.parity else bits[:0]
     if not len(ids):
-        return
+        return None
     span = int(size.max()) + 2
     if (int(run[-1]) + 1) * 64 * span >= 1 << 62:
         raise ValueError("a token bucket is too large; raise spark.sql.shuffle.partitions")
-    where = (run * 64 + block) * span + size
-    for k in np.unique(block).tolist():
+    return Lists(ids, size, pos, run.astype(np.int32), (run * 64 + block) * span + size, span, np.unique(block).tolist(), bits)
+
+
+def _partners(spec: SetSpec, x: Lists, only: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By block: the postings among only that may have partners in it, and their partners' begin and number.
+
+    A token's list is cut into blocks by position; a block is sorted by size. Given a posting (size s, position p) and a block
+    whose least position is P, the bounds on positions are bounds on the partner's size, so the partners are one run of the
+    block, found by binary search, and a block whose run is empty is skipped whole.
+    """
+    t, beta = spec.threshold, spec.threshold / (1 + spec.threshold)
+    size, pos, run = (v[only].astype(np.int64) for v in (x.size, x.pos, x.run))
+    ell = spec.least_shared(size) - 1
+    high = np.minimum(np.floor(size / t + 1e-6), np.floor((size + ell - pos) / beta - size + 1e-6 + 1)).astype(np.int64)
+    for k in x.blocks:
         least = 0 if k == 0 else 1 << (k - 1)
-        ell = spec.least_shared(size) - 1
         low = np.maximum(size, np.ceil((1 + t) * (beta * size - ell + least) - 1e-6 - 1).astype(np.int64))
-        high = np.minimum(np.floor(size / t + 1e-6), np.floor((size + ell - pos) / beta - size + 1e-6 + 1)).astype(np.int64)
-        base = (run * 64 + k) * span
-        lo = np.searchsorted(where, base + np.minimum(low, span - 1), side="left")
-        hi = np.searchsorted(where, base + np.clip(high, -1, span - 1), side="right")
+        base = (run * 64 + k) * x.span
+        lo = np.searchsorted(x.where, base + np.minimum(low, x.span - 1), side="left")
+        hi = np.searchsorted(x.where, base + np.clip(high, -1, x.span - 1), side="right")
         many = np.where(high >= low, np.maximum(hi - lo, 0), 0)
         some = np.flatnonzero(many)
-        ends = np.cumsum(many[some])
+        yield only[some], lo[some], many[some]
+
+
+def _joined(spec: SetSpec, x: Lists, only: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of the postings among only with any, (a, b, size of a, tokens shared), a before b by (size, id)."""
+    ids, size, pos, bits = x.ids, x.size, x.pos, x.bits
+    for mine_all, lo, many in _partners(spec, x, only):
+        ends = np.cumsum(many)
         first = 0
-        while first < len(some):
+        while first < len(many):
             done = ends[first - 1] if first else 0
             last = max(first + 1, int(np.searchsorted(ends, done + PAIRS, side="right")))
-            mine, n = some[first:last], many[some[first:last]]
+            mine, n, begin = mine_all[first:last], many[first:last], lo[first:last]
             first = last
             i = np.repeat(mine, n)
-            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[mine], n)
+            j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
             ok = (size[j] > size[i]) | (ids[j] > ids[i])
             i, j = i[ok], j[ok]
             alpha, shared = spec.alpha(size[i], size[j]), spec.least_shared(size[i])
@@ -271,6 +299,31 @@ def _joined(spec: SetSpec, token, ids, size, pos, bits) -> Iterator[tuple[np.nda
             yield a[o][at], b[o][at], size[i][o][at], np.diff(np.append(at, len(o)))
 
 
+def _met(spec: SetSpec, lists: list[Lists]) -> Iterator[pa.RecordBatch]:
+    """The pairs of these lists together, each once with all its tokens, by shares of their first sets.
+
+    Near copies meet in most of their tokens, so pairs that leave token by token are moved many times. A share's pairs are as many as
+    a worker holds, by an estimate from every TRIED-th posting; beyond, they leave in pieces, which ``candidates`` adds up.
+    """
+    tried = TRIED * sum(int(n.sum()) for x in lists for _, _, n in _partners(spec, x, np.arange(0, len(x.ids), TRIED)))
+    shares = min(SHARES, max(1, -(-tried // (2 * HELD_PAIRS))))
+    share = [(tk.mix(x.ids.view(np.uint64)) % tk.U(shares)).astype(np.uint8) for x in lists]
+    for k in range(shares):
+        some, n = [], 0
+        for x, of in zip(lists, share):
+            for found in _joined(spec, x, np.flatnonzero(of == k)):
+                some.append(found)
+                n += len(found[0])
+                if n > HELD_PAIRS:
+                    some = [_summed(some)]
+                    n = len(some[0][0])
+                    if n > HELD_PAIRS // 2:
+                        yield from _by_first(*some[0])
+                        some, n = [], 0
+        if some:
+            yield from _by_first(*_summed(some))
+
+
 def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
     """The written table (a, b[], v[], low[]): b are the set ids that may be similar to a, every similar one among them, each pair
     with one of the two; low: the least one beside v in a part of the pairs."""
@@ -279,18 +332,18 @@ def candidates(docs: DataFrame, spec: SetSpec, level: np.ndarray) -> DataFrame:
     postings = _postings(docs, spec, spark.sparkContext.broadcast(level), buckets)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, n = [], 0
+        held, n = [], 0
         for table in grouped(batches, "part"):
             for lo, hi in zip(*_runs(table.column("part").to_numpy())):
                 part = table.slice(lo, hi - lo)
-                for found in _joined(spec, *(pa.compute.list_flatten(part.column(k).combine_chunks()).to_numpy(zero_copy_only=False) for k in range(2, 7))):
-                    some.append(found)
-                    n += len(found[0])
-                    if n > HELD_PAIRS:
-                        yield from _by_first(*_summed(some))
-                        some, n = [], 0
-        if some:
-            yield from _by_first(*_summed(some))
+                lists = _shared(spec, *(pa.compute.list_flatten(part.column(k).combine_chunks()).to_numpy(zero_copy_only=False) for k in range(2, 7)))
+                if lists:
+                    held.append(lists)
+                    n += len(lists.ids)
+                if n > HELD_POSTINGS:
+                    yield from _met(spec, held)
+                    held, n = [], 0
+        yield from _met(spec, held)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in grouped(batches, "a"):

@@ -113,6 +113,29 @@ def test_blocks_bound_what_a_task_holds(spark, monkeypatch):
     assert max(x["count"] for x in cells.groupBy("lo", "hi").count().collect()) <= 120
 
 
+def test_pairs_leave_their_bucket_once(spark, monkeypatch):
+    """Near copies meet in most of their tokens, more often than a worker holds pairs; each pair is moved once by each bucket."""
+    moved = []
+    cls = type(spark.range(1))
+    repartition = cls.repartition
+
+    def watched(self, n, *by):
+        if by == ("a",):
+            moved.append(self)
+        return repartition(self, n, *by)
+
+    monkeypatch.setattr(cls, "repartition", watched)
+    rows = [(i, " ".join([*(f"b{k}" for k in range(400)), f"own{i}"])) for i in range(250)]
+    docs = frame(spark, rows)
+    table = setjoin.profile(docs, ngram_join.SPEC)
+    found = setjoin.candidates(docs, ngram_join.SPEC, setjoin.rarity(table, ngram_join.SPEC))
+    entries = moved[0].select(F.spark_partition_id().alias("bucket"), "a", F.explode(F.arrays_zip("b", "shared")).alias("z")).select("bucket", "a", "z.*").collect()
+    assert sum(r.shared for r in entries) > 2 * setjoin.HELD_PAIRS
+    assert len(entries) == len({(r.bucket, r.a, r.b) for r in entries})
+    pairs = {frozenset((r.a, r.b)) for r in found.filter("a IS NOT NULL").selectExpr("a", "explode(b) b").collect()}
+    assert len(pairs) == 250 * 249 // 2
+
+
 def test_words_whose_hashes_begin_alike(spark):
     """q6c2eab and q85dea9 agree in the upper 44 bits of their hashes."""
     words = ["q6c2eab", "q85dea9", "other"]
