@@ -38,7 +38,7 @@ FLUSH, PAIRS, HELD_PAIRS = 1 << 19, 1 << 18, 1 << 19
 #: Parts of a bucket, by token, that are read one after the other (a longer list is one step).
 PARTS = 8
 #: Shared postings of a bucket that are joined together, at least; most shares of their pairs; postings of which one is tried to count them.
-HELD_POSTINGS, SHARES, TRIED = 1 << 21, 256, 16
+HELD_POSTINGS, SHARES, TRIED = 1 << 21, 256, 64
 #: Counters in a piece of the sketch, and pieces that one task adds up.
 CHUNK, FAN = 1 << 16, 64
 #: Sets and tokens in a block, about. A cell has two blocks at most.
@@ -305,8 +305,8 @@ def _met(spec: SetSpec, lists: list[Lists]) -> Iterator[pa.RecordBatch]:
     Near copies meet in most of their tokens, so pairs that leave token by token are moved many times. A share's pairs are as many as
     a worker holds, by an estimate from every TRIED-th posting; beyond, they leave in pieces, which ``candidates`` adds up.
     """
-    tried = TRIED * sum(int(n.sum()) for x in lists for _, _, n in _partners(spec, x, np.arange(0, len(x.ids), TRIED)))
-    shares = min(SHARES, max(1, -(-tried // (2 * HELD_PAIRS))))
+    about = TRIED * sum(len(found[0]) for x in lists for found in _joined(spec, x, np.arange(0, len(x.ids), TRIED)))
+    shares = min(SHARES, max(1, round(about / (2 * HELD_PAIRS))))
     share = [(tk.mix(x.ids.view(np.uint64)) % tk.U(shares)).astype(np.uint8) for x in lists]
     for k in range(shares):
         some, n = [], 0
