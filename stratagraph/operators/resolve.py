@@ -48,17 +48,25 @@ def type_hint(refs: DataFrame, defs: DataFrame, types: DataFrame) -> DataFrame:
     return _candidates(typed.join(defs, (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent"))), "type_hint", F.lit(0.85), F.col("type_name"))
 
 
-def imported(refs: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
-    """imports: (alias, module, original). The equi-join on the name comes first; the path test is its residual."""
-    named = refs.join(imports, F.col("name") == F.col("alias"))
+def _brought(defs: DataFrame, imports: DataFrame) -> DataFrame:
+    """(alias, t_...): the definitions that each import brings in."""
     inside = F.col("t_file").contains(F.regexp_replace("module", r"\.", "/"))
-    return _candidates(named.join(defs, (F.col("original") == F.col("t_name")) & inside), "import", F.lit(0.8))
+    return imports.join(defs, (F.col("original") == F.col("t_name")) & inside).select("alias", "t_file", "t_name", "t_line", "t_parent")
+
+
+def imported(refs: DataFrame, defs: DataFrame, imports: DataFrame) -> DataFrame:
+    """imports: (alias, module, original). Imports meet the definitions first, so the path test is made once for each of those."""
+    return _candidates(refs.join(_brought(defs, imports), F.col("name") == F.col("alias")), "import", F.lit(0.8))
+
+
+def _cached(refs: DataFrame, defs: DataFrame, cache: DataFrame) -> DataFrame:
+    typed = refs.filter("receiver IS NOT NULL").join(cache, (F.col("file") == F.col("c_file")) & (F.col("line") - 1 == F.col("c_line")) & (F.col("c_col") == 0))
+    return typed.join(defs, (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent")))
 
 
 def cached_type(refs: DataFrame, defs: DataFrame, cache: DataFrame) -> DataFrame:
     """cache: (c_file, c_line, c_col, type_name), counted from 0."""
-    typed = refs.filter("receiver IS NOT NULL").join(cache, (F.col("file") == F.col("c_file")) & (F.col("line") - 1 == F.col("c_line")) & (F.col("c_col") == 0))
-    return _candidates(typed.join(defs, (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent"))), "lsp", F.lit(0.95), F.concat_ws(": ", "receiver", "type_name"))
+    return _candidates(_cached(refs, defs, cache), "lsp", F.lit(0.95), F.concat_ws(": ", "receiver", "type_name"))
 
 
 def heuristics(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
@@ -68,6 +76,10 @@ def heuristics(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: Data
     receiver and parent with the types. A popular name is one key of that join, whose partitions Spark splits as it runs.
     """
     pair = refs.join(defs, F.col("name") == F.col("t_name"))
+    return _of_names(pair, types).unionByName(imported(refs, defs, imports))
+
+
+def _of_names(pair: DataFrame, types: DataFrame) -> DataFrame:
     near = paths.parent(F.col("file")) == paths.parent(F.col("t_file"))
     kinds = F.array(
         F.when(F.col("file") == F.col("t_file"), F.struct(F.lit("same_file").alias("strategy"), F.lit(STRATEGIES["same_file"][1]).alias("ordinal"), F.lit(0.9).alias("confidence"))),
@@ -75,7 +87,61 @@ def heuristics(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: Data
     )
     by_name = pair.withColumn("k", F.explode(F.array_compact(kinds))).select(*_CALL, "k.*", "t_file", "t_name", "t_line", "t_parent", F.lit(None).cast("string").alias("type_hint"))
     typed = pair.join(types, (F.col("receiver") == F.col("t_of")) & (F.col("t_parent") == F.col("type_name")))
-    return by_name.unionByName(_candidates(typed, "type_hint", F.lit(0.85), F.col("type_name"))).unionByName(imported(refs, defs, imports))
+    return by_name.unionByName(_candidates(typed, "type_hint", F.lit(0.85), F.col("type_name")))
+
+
+def heuristics_of(pair: DataFrame, types: DataFrame, imports: DataFrame) -> DataFrame:
+    """``heuristics`` among pairs of a reference and a definition."""
+    inside = F.col("t_file").contains(F.regexp_replace("module", r"\.", "/"))
+    brought = pair.join(imports, (F.col("name") == F.col("alias")) & (F.col("original") == F.col("t_name")) & inside)
+    return _of_names(pair.filter("name = t_name"), types).unionByName(_candidates(brought, "import", F.lit(0.8)))
+
+
+_DEF = ["t_file", "t_line", "t_name", "t_parent"]
+
+
+def first_definitions(defs: DataFrame, keys: list[str], k: int = 1, last: bool = False) -> DataFrame:
+    """Of the rows that share the keys, the first (or last) k definitions by file and line. Each task cuts its own rows before they
+    are moved."""
+    order = [F.desc(c) if last else F.asc(c) for c in _DEF]
+    return defs.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= k).drop("n")
+
+
+def leading(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: DataFrame, k: int = 1) -> DataFrame:
+    """Of the candidates of ``heuristics``, those that may come among the first k of their reference in the order of ``ranked``.
+
+    A strategy gives one confidence to all definitions of its key, so the key's first k stand for all of them with any weights, and
+    no reference meets each definition of its name. name_match has two confidences and keeps the first k of the directory and of
+    all. With k above 1 it also gives the targets that other strategies keep, so that ``statistics`` sees which are agreed on.
+    """
+
+    def firsts(rows: DataFrame, keys: list[str], name: str, hint: Column | None = None) -> DataFrame:
+        one = F.struct(*_DEF, (hint if hint is not None else F.lit(None).cast("string")).alias("hint"))
+        return first_definitions(rows, keys, k).groupBy(*keys).agg(F.sort_array(F.collect_list(one)).alias(name))
+
+    placed = defs.select("*", F.col("t_name").alias("name"), F.col("t_file").alias("file"), paths.parent(F.col("t_file")).alias("dir"))
+    typed = refs.select("name", "receiver").distinct().join(types, F.col("receiver") == F.col("t_of"))
+    typed = typed.join(first_definitions(defs, ["t_name", "t_parent"], k), (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent")))
+    brought = _brought(defs, imports).withColumnRenamed("alias", "name")
+    r = refs.withColumn("dir", paths.parent(F.col("file"))).join(firsts(placed, ["name", "file"], "own"), ["name", "file"], "left").join(firsts(placed, ["name", "dir"], "near"), ["name", "dir"], "left")
+    r = r.join(firsts(placed, ["name"], "all"), "name", "left").join(firsts(typed, ["name", "receiver"], "typed", F.col("type_name")), ["name", "receiver"], "left").join(firsts(brought, ["name"], "brought"), "name", "left")
+    close = lambda x: paths.parent(x["t_file"]) == F.col("dir")
+    target = lambda x: F.struct(*(x[c].alias(c) for c in _DEF), F.lit(None).cast("string").alias("hint"))
+    none = F.array().cast(r.schema["all"].dataType)
+    kept = {c: F.coalesce(c, none) for c in ("own", "near", "all", "typed", "brought")}
+    by_name = F.concat(kept["near"], F.filter(kept["all"], lambda x: ~close(x)))
+    if k > 1:
+        others = F.filter(F.concat(kept["own"], kept["typed"], kept["brought"]), lambda x: x["t_name"] == F.col("name"))
+        by_name = F.concat(by_name, F.array_except(F.transform(others, target), by_name))
+
+    def rows(found: Column, strategy: str, confidence) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(strategy).alias("strategy"), F.lit(STRATEGIES[strategy][1]).alias("ordinal"), confidence(x).alias("confidence"), *(x[c].alias(c) for c in ("t_file", "t_name", "t_line", "t_parent")), x["hint"].alias("type_hint")))
+
+    each = F.concat(
+        rows(kept["own"], "same_file", lambda x: F.lit(0.9)), rows(kept["typed"], "type_hint", lambda x: F.lit(0.85)), rows(kept["brought"], "import", lambda x: F.lit(0.8)),
+        rows(by_name, "name_match", lambda x: F.when(close(x), 0.6).otherwise(0.5)),
+    )
+    return r.select(*_CALL, F.explode(each).alias("c")).select(*_CALL, "c.*")
 
 
 def scaled(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -88,10 +154,15 @@ def scaled(candidates: DataFrame, weights: dict[str, float]) -> DataFrame:
     return candidates.filter(~F.col("strategy").isin(*gone) if gone else F.lit(True)).withColumn("confidence", F.col("confidence") * factor)
 
 
+def weighed(candidates: DataFrame, c: Coordinates = Coordinates()) -> DataFrame:
+    """Candidates with their weighted confidence."""
+    return candidates.withColumn("weighted", scores.weighted(F.col("strategy"), F.col("confidence"), c))
+
+
 def ranked(candidates: DataFrame, c: Coordinates = Coordinates()) -> DataFrame:
-    """Candidates with their weighted confidence and rank in the call, by confidence, strategy, file and line."""
+    """``weighed`` with the rank in the call, by confidence, strategy, file and line."""
     w = Window.partitionBy(*_CALL).orderBy(F.desc("weighted"), F.desc("ordinal"), "t_file", "t_line")
-    return candidates.withColumn("weighted", scores.weighted(F.col("strategy"), F.col("confidence"), c)).withColumn("rn", F.row_number().over(w))
+    return weighed(candidates, c).withColumn("rn", F.row_number().over(w))
 
 
 def call_graph(tags: DataFrame, candidates: DataFrame, c: Coordinates = Coordinates(), dangling: bool = False) -> DataFrame:
@@ -153,6 +224,15 @@ def typed_lookups(tags: DataFrame, candidates: DataFrame) -> DataFrame:
     return inside.agg(F.count("*").alias("queries")).crossJoin(resolved).crossJoin(oracle_agreement(own))
 
 
+def counted_lookups(tags: DataFrame, types: DataFrame, imports: DataFrame, cache: DataFrame) -> DataFrame:
+    """``typed_lookups`` of all candidates, which are counted by key and not listed."""
+    inside = enclosing(tags).filter("caller IS NOT NULL").select(*_CALL)
+    defs, own = definitions(tags), references(tags).join(inside.distinct(), _CALL, "left_semi")
+    methods = defs.groupBy("t_name", "t_parent").agg(F.count("*").alias("n"))
+    resolved = _cached(own, methods, cache).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("resolved"))
+    return inside.agg(F.count("*").alias("queries")).crossJoin(resolved).crossJoin(counted_agreement(own, defs, types, imports, cache))
+
+
 def rates(stats: DataFrame, lookups: DataFrame) -> DataFrame:
     """One row (resolution_rate, rejection_rate, competition_rate, lsp_utilisation, lsp_conflict_rate) of ``statistics`` and
     ``typed_lookups``; 0 where a divisor is 0, but 1 for the resolution of no calls."""
@@ -190,3 +270,22 @@ def oracle_agreement(candidates: DataFrame) -> DataFrame:
     other = candidates.filter("strategy <> 'lsp'").select(*_CALL, F.struct("t_file", "t_name", "t_line").alias("guess"))
     same = F.col("typed") == F.col("guess")
     return typed.join(other, _CALL).agg(F.count_if(same).alias("agreements"), F.count_if(~same).alias("conflicts"))
+
+
+def counted_agreement(refs: DataFrame, defs: DataFrame, types: DataFrame, imports: DataFrame, cache: DataFrame) -> DataFrame:
+    """``oracle_agreement`` of all candidates: typed ones against those of ``heuristics``. A call's candidates are counted by key; only
+    those of the typed definition are listed."""
+    last = cached_type(refs, first_definitions(defs, ["t_name", "t_parent"], last=True), cache)
+    w = Window.partitionBy(*_CALL).orderBy(F.desc("t_file"), F.desc("t_line"))
+    typed = last.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select(*_CALL, F.col("t_file").alias("d_file"), F.col("t_name").alias("d_name"), F.col("t_line").alias("d_line"))
+    asked = refs.join(typed, _CALL)
+    same = heuristics_of(asked.join(defs, (F.col("d_file") == F.col("t_file")) & (F.col("d_name") == F.col("t_name")) & (F.col("d_line") == F.col("t_line"))), types, imports)
+    n = lambda rows, *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    methods = asked.select("name", "receiver").distinct().join(types, F.col("receiver") == F.col("t_of")).join(n(defs, "t_name", "t_parent"), (F.col("name") == F.col("t_name")) & (F.col("type_name") == F.col("t_parent")))
+    named = defs.select(F.col("t_name").alias("name"), F.col("t_file").alias("file"))
+    counts = [(n(named, "name", "file"), ["name", "file"]), (n(named, "name"), ["name"]), (methods.groupBy("name", "receiver").agg(F.sum("n").alias("n")), ["name", "receiver"]), (n(_brought(defs, imports), "alias").withColumnRenamed("alias", "name"), ["name"])]
+    every = asked
+    for i, (c, keys) in enumerate(counts):
+        every = every.join(c.withColumnRenamed("n", f"n{i}"), keys, "left")
+    total = every.agg(F.coalesce(F.sum(sum((F.coalesce(f"n{i}", F.lit(0)) for i in range(len(counts))), F.lit(0))), F.lit(0)).alias("n"))
+    return same.agg(F.count("*").alias("agreements")).crossJoin(total).select("agreements", (F.col("n") - F.col("agreements")).alias("conflicts"))

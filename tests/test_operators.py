@@ -433,3 +433,42 @@ def test_running_sums_over_ranges(spark):
     assert sorted(got) == [(k, 100 - k) for k in range(101)] and storage.running(spark.createDataFrame([], "k int"), ["k"]).count() == 0
     less = {r.x: (r.less, r.same) for r in metrics.less(spark.createDataFrame([(1.0,), (2.0,), (2.0,), (None,)], "x double"), "x").collect()}
     assert less == {None: (0, 1), 1.0: (1, 1), 2.0: (2, 2)}
+
+
+def _many_tags(spark, n=400):
+    """References and definitions of few names in few directories, so that strategies and keys meet often."""
+    u = lambda i, s: (i * 7919 + s * 104729) % 10007
+    rows = []
+    for i in range(n):
+        file, kind = f"d{u(i, 1) % 3}/s{u(i, 2) % 2}/f{u(i, 3) % 9}.py", "def" if u(i, 4) % 2 else "ref"
+        parent, receiver = (None, "xyz"[u(i, 5) % 3] + "12"[u(i, 6) % 2]) if kind == "ref" else ("xyz"[u(i, 7) % 3] if u(i, 8) % 2 else None, None)
+        rows.append(tag(file, "abcd"[u(i, 9) % 4], i % 60 + 1, kind, "method" if parent else "function", parent, receiver, i))
+    t = storage.materialise(spark.createDataFrame(rows, TAGS), "many")
+    types = spark.createDataFrame([(a + b, t) for a in "xyz" for b in "12" for t in (a, "y")], "t_of string, type_name string").distinct()
+    imports = spark.createDataFrame([("a", "d1", "a"), ("a", "d1.s0", "a"), ("b", "d2", "c"), ("c", "d0.s1", "a"), ("c", "d0", "c")], "alias string, module string, original string")
+    cache = t.filter("kind = 'ref'").select(F.col("file").alias("c_file"), (F.col("line") - 1).alias("c_line"), F.lit(0).alias("c_col"), F.substring("receiver", 1, 1).alias("type_name")).distinct()
+    return t, types, imports, cache
+
+
+@pytest.mark.parametrize("c", [Coordinates(), Coordinates.shadow(), Coordinates.final(), Coordinates(name_match=0.0, imports=2.0), Coordinates(name_match=1.9, same_file=0.1)])
+def test_leading_candidates_keep_the_best(spark, c):
+    t, types, imports, _ = _many_tags(spark)
+    refs, defs = resolve.references(t), resolve.definitions(t)
+    best = lambda x: sorted(map(repr, resolve.ranked(x, c).filter("rn = 1").select("file", "name", "line", "seq", "strategy", "weighted", "t_file", "t_name", "t_line", "type_hint").collect()))
+    every, few = resolve.heuristics(refs, defs, types, imports), resolve.leading(refs, defs, types, imports)
+    assert best(few) == best(every)
+    assert few.groupBy("file", "name", "line", "seq").count().agg(F.max("count")).first()[0] <= 6 < every.groupBy("file", "name", "line", "seq").count().agg(F.max("count")).first()[0]
+
+
+def test_statistics_of_leading_candidates(spark):
+    t, types, imports, cache = _many_tags(spark)
+    refs, defs = resolve.references(t), resolve.definitions(t)
+    every, few = resolve.heuristics(refs, defs, types, imports), resolve.leading(refs, defs, types, imports, 2)
+    for how in ({}, {"least": 0.65}, {"gated": False}):
+        assert resolve.statistics(refs, few, **how).first() == resolve.statistics(refs, every, **how).first()
+    every = every.unionByName(resolve.cached_type(refs, defs, cache))
+    agreed = resolve.oracle_agreement(every).first()
+    assert agreed.agreements and agreed.conflicts and resolve.counted_agreement(refs, defs, types, imports, cache).first() == agreed
+    assert resolve.counted_lookups(t, types, imports, cache).first() == resolve.typed_lookups(t, every).first()
+    none = resolve.counted_lookups(t.limit(0), types, imports, cache).first()
+    assert tuple(none) == tuple(resolve.typed_lookups(t.limit(0), every.limit(0)).first()) == (0, 0, 0, 0)
