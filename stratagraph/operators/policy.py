@@ -69,7 +69,7 @@ def function_ranks(tags: DataFrame, calls: DataFrame, config: RankingConfig = Ra
 def bicameral(tags: DataFrame, heuristics: DataFrame, lookup: DataFrame, p: Policy = Policy(), waves: int = 5, iterations: int = 20) -> DataFrame:
     """One row (waves, queried, resolved, shadow_edges, final_edges, correlation).
 
-    A shadow graph of the heuristics' candidates is ranked; waves of query sites, the best by policy, are looked up in
+    A shadow graph of the heuristics' candidates (``resolve.leading`` ones are enough) is ranked; waves of query sites, the best by policy, are looked up in
     lookup(file, line, type_name) until a wave yields too little, and a file leaves the pool once it has an answer; then the final
     graph holds typed candidates too, and the two rankings are correlated. Each wave is cut by a written table.
     """
@@ -95,7 +95,8 @@ def bicameral(tags: DataFrame, heuristics: DataFrame, lookup: DataFrame, p: Poli
     candidates = heuristics
     if answers is not None:
         cache = answers.distinct().select(F.col("file").alias("c_file"), (F.col("line") - 1).alias("c_line"), F.lit(0).alias("c_col"), "type_name")
-        candidates = heuristics.unionByName(resolve.cached_type(refs, defs, cache))
+        # The call graph takes the best candidate, which is of the first method of that name and type.
+        candidates = heuristics.unionByName(resolve.cached_type(refs, resolve.first_definitions(defs, ["t_name", "t_parent"]), cache))
     final = materialise(resolve.call_graph(tags, candidates, Coordinates.final()), "final")
     after = function_ranks(tags, final, iterations=iterations, tolerance=0.0)
     rho = metrics.spearman(ranks.select("node", F.round("rank", 12).alias("value")), after.select("node", F.round("rank", 12).alias("value")), ["node"])
