@@ -34,6 +34,25 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
+def _shared(defs: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``file_edges`` by their names: a file's references (file, name, w, d, own) to a name that d files define, it itself or not (own
+    1 or 0); and the definitions (file, name, all, w) of names that occur ``all`` times, w of them in the file itself."""
+    counted = refs.groupBy("file", "name").agg(F.count("*").alias("w"))
+    targets = defs.select("file", "name").distinct()
+    from_files = counted.join(targets.groupBy("name").agg(F.count("*").alias("d")), "name").join(targets.withColumn("own", F.lit(1)), ["file", "name"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    to_files = targets.join(counted.groupBy("name").agg(F.sum("w").alias("all")), "name").join(counted, ["file", "name"], "left").withColumn("w", F.coalesce("w", F.lit(0)))
+    return from_files, to_files
+
+
+def shared_degrees(defs: DataFrame, refs: DataFrame) -> DataFrame:
+    """``degrees`` of ``file_edges``, which aren't listed: a name that many files use and many define is an edge for each pair."""
+    from_files, to_files = _shared(defs, refs)
+    none = F.lit(0).cast("bigint")
+    ends = from_files.select(F.col("file").alias("node"), (F.col("w") * (F.col("d") - F.col("own"))).alias("o"), none.alias("i"))
+    ends = ends.unionAll(to_files.select("file", none, F.col("all") - F.col("w")))
+    return ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).filter("out_degree > 0 OR in_degree > 0")
+
+
 def density(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row (nodes, edges, density, average_degree); 0 where a quotient has no meaning. edges: w counts parallel ones."""
     n, e = nodes.agg(F.count("*").alias("nodes")), edges.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("edges"))
@@ -56,34 +75,71 @@ def pagerank(nodes: DataFrame, edges: DataFrame, config: RankingConfig = Ranking
     buckets by source once, so a step shuffles nothing but the flows, summed by map task; a block of CUT_EVERY iterations is one
     plan. What dangling nodes hold is a number a step, and all is linear in it, so a block runs without it and adds it at the end.
     """
-    limit, epsilon, alpha = iterations or config.max_iterations, config.epsilon if tolerance is None else tolerance, config.alpha
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     share = F.col("w") / F.col("out") * (F.col("confidence") if "confidence" in edges.columns else F.lit(1.0))
     links = edges.join(out, "src").groupBy(F.col("src").alias("node"), "dst").agg(F.sum(share).alias("share"))
     # A row from each node to itself brings its columns along, so that a step reads the one before it once.
-    own = nodes.select("node", F.col("node").alias("dst"), F.lit(0.0).alias("share"), F.lit(True).alias("own"), F.col("p").cast("double").alias("p"))
-    steps = materialise(links.select("node", "dst", "share", F.lit(False).alias("own"), F.lit(None).cast("double").alias("p")).unionByName(own), "steps")
+    steps = _links(links, 0).unionByName(_own(nodes, F.lit(0.0), 0))
+    return _ranked(steps, 1, config, iterations, tolerance, small)
+
+
+def shared_pagerank(nodes: DataFrame, defs: DataFrame, refs: DataFrame, config: RankingConfig = RankingConfig(), iterations: int | None = None, tolerance: float | None = None, small: int = SMALL) -> DataFrame:
+    """``pagerank`` over ``file_edges`` of nodes, which aren't listed: rank goes from a file to the names it refers to and from each name
+    to all files that define it, less what the file itself sent there. A step is two, and both grow with the input."""
+    known = nodes.select(F.col("node").alias("file"))
+    from_files, to_files = _shared(defs.join(known, "file", "left_semi"), refs.join(known, "file", "left_semi"))
+    out = F.sum(F.col("w") * (F.col("d") - F.col("own"))).over(Window.partitionBy("file"))
+    links = materialise(from_files.withColumn("out", out).filter("out > 0").select(F.col("file").alias("node"), "name", (F.col("w") / F.col("out")).alias("share"), "own"), "links")
+    kept = links.groupBy("node").agg(F.sum(F.col("share") * F.col("own")).alias("kept"))
+    hub = F.concat(F.lit("\0"), "name")  # no path begins like this
+    steps = _links(links.withColumn("dst", hub), 0).unionByName(_own(nodes.join(kept, "node", "left"), -F.coalesce("kept", F.lit(0.0)), 0))
+    steps = steps.unionByName(_links(to_files.select(hub.alias("node"), F.col("file").alias("dst"), F.lit(1.0).alias("share")), 1)).unionByName(_own(nodes, F.lit(1.0), 1))
+    return _ranked(steps, 2, config, iterations, tolerance, small)
+
+
+def _links(links: DataFrame, part: int) -> DataFrame:
+    return links.select("node", "dst", "share", F.lit(False).alias("own"), F.lit(None).cast("double").alias("p"), F.lit(part).alias("part"))
+
+
+def _own(nodes: DataFrame, share: Column, part: int) -> DataFrame:
+    return nodes.select("node", F.col("node").alias("dst"), share.alias("share"), F.lit(True).alias("own"), F.col("p").cast("double").alias("p"), F.lit(part).alias("part"))
+
+
+def _ranked(steps: DataFrame, parts: int, config: RankingConfig, iterations: int | None, tolerance: float | None, small: int) -> DataFrame:
+    limit, epsilon, alpha = iterations or config.max_iterations, config.epsilon if tolerance is None else tolerance, config.alpha
+    steps = materialise(steps, "steps")
     if steps.limit(small + 1).count() <= small:
-        return _ranked_in_one_task(steps, limit, epsilon, alpha)
-    return _ranked_by_joins(steps, limit, epsilon, alpha)
+        return _ranked_in_one_task(steps, parts, limit, epsilon, alpha)
+    return _ranked_by_joins(steps, parts, limit, epsilon, alpha)
 
 
-def _ranked_in_one_task(steps: DataFrame, limit: int, epsilon: float, alpha: float) -> DataFrame:
+def _ranked_in_one_task(steps: DataFrame, parts: int, limit: int, epsilon: float, alpha: float) -> DataFrame:
     kind = steps.schema["node"].dataType.simpleString()
 
     def rank(table: pa.Table) -> pa.Table:
-        own = table.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        names = table.column("node").filter(pa.array(own)).combine_chunks()
-        p = table.column("p").to_numpy(zero_copy_only=False)[own]
+        own, part = table.column("own").to_numpy(zero_copy_only=False).astype(bool), table.column("part").to_numpy()
+        first = own & (part == 0)
+        names = table.column("node").filter(pa.array(first)).combine_chunks()
+        p = table.column("p").to_numpy(zero_copy_only=False)[first]
         n, p = len(p), p / p.sum()
-        ends = [pc.index_in(table.column(k).filter(pa.array(~own)), value_set=names) for k in ("node", "dst")]
-        known = pc.and_(ends[0].is_valid(), ends[1].is_valid())
-        src, dst = (x.filter(known).to_numpy() for x in ends)
-        share = table.column("share").filter(pa.array(~own)).filter(known).to_numpy()
-        dangling = np.bincount(src, minlength=n) == 0
+        # What lies between files comes after them; in a graph of one part that is what is no node.
+        between = pc.unique(table.column("dst").filter(pa.array(part == 0)))
+        between = between.filter(pc.invert(pc.is_in(between, value_set=names))) if parts > 1 else between.slice(0, 0)
+        every = pa.concat_arrays([names, between])
+        links, share = [], table.column("share").to_numpy(zero_copy_only=False)
+        ends = [pc.index_in(table.column(k), value_set=every) for k in ("node", "dst")]
+        known = pc.and_(ends[0].is_valid(), ends[1].is_valid()).to_numpy(zero_copy_only=False).astype(bool)
+        src, dst = (pc.fill_null(x, 0).to_numpy() for x in ends)
+        for i in range(parts):
+            at = known & (part == i)
+            links.append((src[at], dst[at], share[at]))
+        dangling = np.bincount(src[known & ~own & (part == 0)], minlength=len(every))[:n] == 0
         r = before = np.full(n, 1.0 / max(n, 1))
         for step in range(1, limit + 1):
-            r = (1 - alpha) * p + alpha * (np.bincount(dst, r[src] * share, n) + r[dangling].sum() * p)
+            flow = np.concatenate([r, np.zeros(len(every) - n)])
+            for a, b, w in links:
+                flow = np.bincount(b, flow[a] * w, len(every))
+            r = (1 - alpha) * p + alpha * (flow[:n] + r[dangling].sum() * p)
             if step % min(CUT_EVERY, limit) == 0:
                 if epsilon > 0 and np.abs(r - before).max() < epsilon:
                     break
@@ -93,20 +149,22 @@ def _ranked_in_one_task(steps: DataFrame, limit: int, epsilon: float, alpha: flo
     return steps.groupBy(F.lit(1).alias("all")).applyInArrow(rank, f"node {kind}, rank double")
 
 
-def _ranked_by_joins(steps: DataFrame, limit: int, epsilon: float, alpha: float) -> DataFrame:
-    known = steps.filter("own").select("node")
-    steps = steps.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").join(known, "node", "left_semi")
-    steps = bucketed(steps.select("node", "dst", "share", "own", "p"), "steps", "node")
-    total, n = steps.filter("own").agg(F.sum("p"), F.count("*")).first()
-    start = steps.groupBy("node").agg((F.max("p") / F.lit(total)).alias("p"), (F.count_if(~F.col("own")) == 0).alias("dangling"))
+def _ranked_by_joins(steps: DataFrame, parts: int, limit: int, epsilon: float, alpha: float) -> DataFrame:
+    known = steps.filter("own AND part = 0").select("node")
+    if parts == 1:
+        steps = steps.join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").join(known, "node", "left_semi")
+    way = [bucketed(steps.filter(F.col("part") == i).select("node", "dst", "share", "own", "p"), "steps", "node") for i in range(parts)]
+    total, n = way[0].filter("own").agg(F.sum("p"), F.count("*")).first()
+    start = way[0].groupBy("node").agg((F.max("p") / F.lit(total)).alias("p"), (F.count_if(~F.col("own")) == 0).alias("dangling"))
     start = bucketed(start, "nodes", "node")
-    steps, block = steps.drop("p"), min(CUT_EVERY, limit)
+    way, block = [x.drop("p") for x in way], min(CUT_EVERY, limit)
 
     def spread(table: DataFrame, base: Column) -> DataFrame:
         """table with y replaced by base + alpha times what flows in along the edges."""
         kept = [c for c in table.columns if c not in ("node", "y")]
-        moved = steps.join(table, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("y") * F.col("share")).alias("y"), *(F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept))
-        return moved.withColumn("y", base + alpha * F.col("y"))
+        for one in way:
+            table = one.join(table, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("y") * F.col("share")).alias("y"), *(F.max(F.when(F.col("own"), F.col(c))).alias(c) for c in kept))
+        return table.withColumn("y", base + alpha * F.col("y"))
 
     # What a unit of rank that leaves dangling nodes becomes after 0, 1, .. steps: z0, z1, ..
     state = start.withColumn("y", alpha * F.col("p")).withColumn("z0", F.col("y"))

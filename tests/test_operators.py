@@ -472,3 +472,20 @@ def test_statistics_of_leading_candidates(spark):
     assert resolve.counted_lookups(t, types, imports, cache).first() == resolve.typed_lookups(t, every).first()
     none = resolve.counted_lookups(t.limit(0), types, imports, cache).first()
     assert tuple(none) == tuple(resolve.typed_lookups(t.limit(0), every.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_shared_names_are_the_listed_edges(spark):
+    """Degrees and ranks by name, in one task and by joins, are those of the edges; some files lack definitions or only name their own."""
+    u = lambda i, s: (i * 7919 + s * 104729) % 10007
+    defs = spark.createDataFrame([(f"f{u(i, 1) % 12}", "abcdef"[u(i, 2) % 6]) for i in range(30)] + [("only", "own"), ("none", "unused")], "file string, name string")
+    refs = spark.createDataFrame([(f"f{u(i, 3) % 15}", "abcdeg"[u(i, 4) % 6]) for i in range(60)] + [("only", "own")], "file string, name string")
+    edges = graph.file_edges(defs, refs)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(graph.shared_degrees(defs, refs)) == rows(graph.degrees(edges))
+    nodes = defs.select("file").union(refs.select("file")).distinct().select(F.col("file").alias("node"), (F.length("file") * 1.5).alias("p"))
+    expect = dict(rows(graph.pagerank(nodes, edges, iterations=12, tolerance=0.0)))
+    for small in (graph.SMALL, 0):
+        got = dict(rows(graph.shared_pagerank(nodes, defs, refs, iterations=12, tolerance=0.0, small=small)))
+        assert got.keys() == expect.keys() and all(got[k] == pytest.approx(expect[k], abs=1e-12) for k in expect)
+    empty = nodes.limit(0)
+    assert graph.shared_pagerank(empty, defs, refs).count() == 0 and graph.shared_degrees(defs.limit(0), refs).count() == 0
