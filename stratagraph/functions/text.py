@@ -121,5 +121,5 @@ SPARKS = "▁▂▃▄▅▆▇█"
 
 
 def spark_char(value: Column, least: Column, most: Column) -> Column:
-    level = F.least(F.lit(7), F.round(7 * (value - least) / F.greatest(most - least, F.lit(0.001))))
+    level = F.least(F.lit(7), F.round((value - least) / F.greatest(most - least, F.lit(0.001)) * 7))
     return F.substring(F.lit(SPARKS), level.cast("int") + 1, F.lit(1))

@@ -489,3 +489,12 @@ def test_shared_names_are_the_listed_edges(spark):
         assert got.keys() == expect.keys() and all(got[k] == pytest.approx(expect[k], abs=1e-12) for k in expect)
     empty = nodes.limit(0)
     assert graph.shared_pagerank(empty, defs, refs).count() == 0 and graph.shared_degrees(defs.limit(0), refs).count() == 0
+
+
+def test_sparkline_at_half_a_level(spark):
+    """The place in the range comes first, then its seven levels; the other way round some halves fall to the other side."""
+    half = [(v, hi) for hi in range(2, 400, 2) for v in range(1, hi) if math.floor((v / 25) / (hi / 25) * 7 + 0.5) != math.floor(7 * (v / 25) / (hi / 25) + 0.5)][:5]
+    assert half
+    for v, hi in half:
+        s = render.sparkline(spark.createDataFrame([("k", 0, 0.0), ("k", 1, v / 25), ("k", 2, hi / 25)], "k string, i int, v double"), "k", "i", "v").first()
+        assert s.spark[1] == text.SPARKS[math.floor((v / 25) / (hi / 25) * 7 + 0.5)]
