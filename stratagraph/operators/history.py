@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths, scores, text
 from ..params import RankingConfig
 
 
+def _micros(t: Column) -> Column:
+    """Seconds are not cut to whole ones before they are compared."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
 def file_stats(commit_files: DataFrame, now) -> DataFrame:
     """(file, last_modified_days, first_seen_days, commit_count, authors) of commit_files(sha, author, ts, file); whole days to now."""
-    days = lambda t: F.floor((F.unix_timestamp(now) - F.unix_timestamp(t)) / 86400)
+    days = lambda t: F.floor((_micros(now) - _micros(t)) / 86_400_000_000)
     return commit_files.groupBy("file").agg(days(F.max("ts")).alias("last_modified_days"), days(F.min("ts")).alias("first_seen_days"), F.count("*").alias("commit_count"), F.countDistinct("author").alias("authors"))
 
 
@@ -67,8 +72,8 @@ def commit_quality(commits: DataFrame) -> DataFrame:
 def sessions(rows: DataFrame, key: str, at: str, gap_seconds: int = 1800) -> DataFrame:
     """rows with session, counted from 0 in each key: a gap of more than so many seconds begins one."""
     w = Window.partitionBy(key).orderBy(at)
-    gap = F.unix_timestamp(at) - F.unix_timestamp(F.lag(at).over(w))
-    return rows.withColumn("__new", F.when(gap > gap_seconds, 1).otherwise(0)).withColumn("session", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
+    gap = _micros(F.col(at)) - _micros(F.lag(at).over(w))
+    return rows.withColumn("__new", F.when(gap > gap_seconds * 1_000_000, 1).otherwise(0)).withColumn("session", F.sum("__new").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("__new")
 
 
 def couplings(files: DataFrame, least: float = 0.5) -> DataFrame:

@@ -491,6 +491,15 @@ def test_shared_names_are_the_listed_edges(spark):
     assert graph.shared_pagerank(empty, defs, refs).count() == 0 and graph.shared_degrees(defs.limit(0), refs).count() == 0
 
 
+def test_sessions_and_days_count_parts_of_a_second(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    rows = [("k", at(x)) for x in (0.2, 1800.2, 3600.4, 5400.39)]
+    s = history.sessions(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 1800)
+    assert [r.session for r in s.orderBy("ts").collect()] == [0, 0, 1, 1]
+    cf = spark.createDataFrame([("c", "a", at(0.7), "f"), ("c", "a", at(0.3), "g")], "sha string, author string, ts timestamp, file string")
+    assert {r.file: r.last_modified_days for r in history.file_stats(cf, F.lit(at(86400.5))).collect()} == {"f": 0, "g": 1}
+
+
 def test_sparkline_at_half_a_level(spark):
     """The place in the range comes first, then its seven levels; the other way round some halves fall to the other side."""
     half = [(v, hi) for hi in range(2, 400, 2) for v in range(1, hi) if math.floor((v / 25) / (hi / 25) * 7 + 0.5) != math.floor(7 * (v / 25) / (hi / 25) + 0.5)][:5]
