@@ -24,8 +24,8 @@ def plateaus(series: DataFrame, key: str, order: str, value: str, n: int = 3, th
     w = Window.partitionBy(key).orderBy(F.desc(order))
     last = series.withColumn("rn", F.row_number().over(w))
     a = last.groupBy(key).agg(F.count("*").alias("steps"), F.max(F.when(F.col("rn") == 1, F.col(value))).alias("end"), F.max(F.when(F.col("rn") == n, F.col(value))).alias("start"))
-    enough, change = F.col("steps") >= n, F.col("end") - F.col("start")
-    return a.select(key, "steps", F.coalesce(enough & (F.abs(change) < threshold), F.lit(False)).alias("plateau"), F.coalesce(enough & (change < -threshold), F.lit(False)).alias("collapse"))
+    enough, start, end = F.col("steps") >= n, F.col("start"), F.col("end")
+    return a.select(key, "steps", F.coalesce(enough & (F.abs(end - start) < threshold), F.lit(False)).alias("plateau"), F.coalesce(enough & (end < start - threshold), F.lit(False)).alias("collapse"))
 
 
 def oscillations(series: DataFrame, key: str, order: str, value: str, drop: float = 0.05) -> DataFrame:

@@ -500,6 +500,13 @@ def test_sessions_and_days_count_parts_of_a_second(spark):
     assert {r.file: r.last_modified_days for r in history.file_stats(cf, F.lit(at(86400.5))).collect()} == {"f": 0, "g": 1}
 
 
+def test_plateau_at_the_threshold(spark):
+    """A fall of 0.3 as it is in binary: 0.01 / 25 lies below 7.51 / 25 - 0.3, but 0.01 / 25 - 7.51 / 25 not below -0.3."""
+    s = spark.createDataFrame([("k", 0, 7.51 / 25), ("k", 1, 1.0), ("k", 2, 0.01 / 25)], "k string, step int, v double")
+    r = runs.plateaus(s, "k", "step", "v", 3, 0.3).first()
+    assert (r.plateau, r.collapse) == (abs(0.01 / 25 - 7.51 / 25) < 0.3, 0.01 / 25 < 7.51 / 25 - 0.3) == (False, True)
+
+
 def test_sparkline_at_half_a_level(spark):
     """The place in the range comes first, then its seven levels; the other way round some halves fall to the other side."""
     half = [(v, hi) for hi in range(2, 400, 2) for v in range(1, hi) if math.floor((v / 25) / (hi / 25) * 7 + 0.5) != math.floor(7 * (v / 25) / (hi / 25) + 0.5)][:5]
