@@ -207,6 +207,32 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5
     return reached.select("a.file", "a.sym", F.pow(F.lit(decay), F.col("hop")).alias("weight"))
 
 
+def expand_shared(edges: DataFrame, tags: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.5) -> DataFrame:
+    """``expand`` over symbol edges and, unlisted, those from each reference of tags(file, name, kind) to each definition of its name
+    in another file. Of what a hop starts from, a name passes on how many files refer to it and define it, and which if it is one:
+    that file's own symbol isn't reached."""
+    both = edges.select(F.struct(F.col("from_file").alias("file"), F.col("from_sym").alias("sym")).alias("a"), F.struct(F.col("to_file").alias("file"), F.col("to_sym").alias("sym")).alias("b"))
+    both = materialise(both.union(both.select("b", "a")).distinct(), "links")
+    side = lambda kind: F.bool_or(F.col("kind") == kind)
+    nodes = materialise(tags.select("file", F.col("name").alias("sym"), "kind").filter("kind IN ('ref', 'def')").groupBy("file", "sym").agg(side("ref").alias("refers"), side("def").alias("defines")), "symbols")
+    by_name = lambda rows: rows.groupBy("sym").agg(*(f(F.when(F.col(c), F.col("file"))).alias(f"{n}_{c}") for c in ("refers", "defines") for n, f in (("n", F.count), ("one", F.min))))
+
+    def reached_from(rows: DataFrame) -> DataFrame:
+        met = lambda c: (F.col(f"n_{c}") > 1) | ((F.col(f"n_{c}") == 1) & (F.col(f"one_{c}") != F.col("file")))
+        there = nodes.join(by_name(rows), "sym").filter((F.col("defines") & met("refers")) | (F.col("refers") & met("defines")))
+        return there.select(F.struct("file", "sym").alias("a"))
+
+    known = both.select("a").union(reached_from(nodes.join(seeds.select("sym").distinct(), "sym", "left_semi"))).distinct()
+    reached = known.join(seeds.select(F.col("sym").alias("s")).distinct(), F.col("a.sym") == F.col("s")).select("a", F.lit(0).alias("hop"))
+    for hop in range(1, hops + 1):
+        reached = materialise(reached, "reached")
+        last = reached.filter(F.col("hop") == hop - 1)
+        named = nodes.join(last.select("a.file", "a.sym"), ["file", "sym"], "left_semi")
+        near = both.join(last.select("a"), "a", "left_semi").select(F.col("b").alias("a")).union(reached_from(named)).distinct()
+        reached = reached.unionAll(near.join(reached, "a", "left_anti").select("a", F.lit(hop).alias("hop")))
+    return reached.select("a.file", "a.sym", F.pow(F.lit(decay), F.col("hop")).alias("weight"))
+
+
 def focus(targets: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, names) that targets(target) mean: a target is cut at commas and trimmed, and blank parts are left out.
 

@@ -514,3 +514,15 @@ def test_sparkline_at_half_a_level(spark):
     for v, hi in half:
         s = render.sparkline(spark.createDataFrame([("k", 0, 0.0), ("k", 1, v / 25), ("k", 2, hi / 25)], "k string, i int, v double"), "k", "i", "v").first()
         assert s.spark[1] == text.SPARKS[math.floor((v / 25) / (hi / 25) * 7 + 0.5)]
+
+
+@pytest.mark.parametrize("seeds, hops", [("a", 1), ("ab", 2), ("bd", 3), ("e", 2), ("f", 2)])
+def test_expand_by_shared_names(spark, seeds, hops):
+    u = lambda i, s: (i * 7919 + s * 104729) % 10007
+    rows = [tag(f"f{u(i, 1) % 9}", "abcd"[u(i, 2) % 4], i, "def" if u(i, 3) % 5 < 2 else "ref") for i in range(14)] + [tag("g", "e", 1, "def"), tag("g", "e", 2, "ref"), tag("h", "f", 1, "ref"), tag("h", "a", 2, "def")]
+    t = spark.createDataFrame(rows, TAGS)
+    beside = spark.createDataFrame([("h", "f", "h", "a"), ("f1", "a", "f2", "b")], "from_file string, from_sym string, to_file string, to_sym string")
+    listed = [(r[0], r[1], d[0], d[1]) for r in rows for d in rows if r[3] == "ref" and d[3] == "def" and r[1] == d[1] and r[0] != d[0]]
+    s = spark.createDataFrame([(x,) for x in seeds], "sym string")
+    found = lambda df: sorted(map(tuple, df.collect()))
+    assert found(graph.expand_shared(beside, t, s, hops)) == found(graph.expand(beside.union(spark.createDataFrame(listed, beside.schema)), s, hops))
