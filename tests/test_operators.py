@@ -526,3 +526,20 @@ def test_expand_by_shared_names(spark, seeds, hops):
     s = spark.createDataFrame([(x,) for x in seeds], "sym string")
     found = lambda df: sorted(map(tuple, df.collect()))
     assert found(graph.expand_shared(beside, t, s, hops)) == found(graph.expand(beside.union(spark.createDataFrame(listed, beside.schema)), s, hops))
+
+
+def test_pairs_by_cells_are_the_join(spark, monkeypatch):
+    """Blocks of three rows and tasks of twenty pairs give the pairs of a join, duplicates and null keys too."""
+    monkeypatch.setattr(resolve, "CELL", 3)
+    monkeypatch.setattr(resolve, "MOST_PAIRS", 20)
+    a = spark.createDataFrame([("pop", i % 9, "t") for i in range(20)] + [("rare", 1, "t"), ("none", 1, "t"), (None, 2, "t"), ("pop", 3, None)], "name string, i int, t string")
+    b = spark.createDataFrame([("pop", i % 7, "t") for i in range(15)] + [("rare", 2, "t"), ("other", 1, "t"), (None, 3, "t"), ("pop", 4, None)], "t_name string, j int, u string")
+    for keys in ({"name": "t_name"}, {"name": "t_name", "t": "u"}):
+        on = None
+        for x, y in keys.items():
+            on = (F.col(x) == F.col(y)) if on is None else on & (F.col(x) == F.col(y))
+        cells = resolve._paired(a, b, keys)
+        assert sorted(map(repr, cells.collect())) == sorted(map(repr, a.join(b, on).collect()))
+        most = max(len(x) for x in cells.rdd.glom().collect())
+        assert cells.rdd.getNumPartitions() >= 15 and most < 150
+    assert resolve._paired(a.limit(0), b, {"name": "t_name"}).count() == 0
