@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths, scores, text
 from ..params import RankingConfig
+from ..storage import materialise
 
 
 def _micros(t: Column) -> Column:
@@ -78,7 +79,8 @@ def sessions(rows: DataFrame, key: str, at: str, gap_seconds: int = 1800) -> Dat
 
 def couplings(files: DataFrame, least: float = 0.5) -> DataFrame:
     """(test, source, confidence) of files(path): tests and the files that bear their stem and are no tests themselves."""
-    f = files.select("path", paths.tested_stem(F.col("path")).alias("t"), paths.stem(F.col("path")).alias("own"), paths.extension(F.col("path")).alias("ext"))
+    f = materialise(files.select("path"), "files")  # else Spark tests stems before it makes paths distinct
+    f = f.select("path", paths.tested_stem(F.col("path")).alias("t"), paths.stem(F.col("path")).alias("own"), paths.extension(F.col("path")).alias("ext"))
     tests = f.filter("t IS NOT NULL").select(F.col("path").alias("test"), F.col("t.stem").alias("stem"), F.col("t.confidence").alias("base"))
     sources = f.filter("t IS NULL").select(F.col("path").alias("source"), F.col("own").alias("stem"))
     pairs = tests.join(sources, "stem")
