@@ -543,3 +543,14 @@ def test_pairs_by_cells_are_the_join(spark, monkeypatch):
         most = max(len(x) for x in cells.rdd.glom().collect())
         assert cells.rdd.getNumPartitions() >= 15 and most < 150
     assert resolve._paired(a.limit(0), b, {"name": "t_name"}).count() == 0
+
+
+def test_items_are_moved_once_for_all_points(spark):
+    """Points multiply the rows after the last exchange of items, not before it."""
+    items = spark.createDataFrame([(c, f"{c}/{i}.rs", c * 100 + i, (i % 3) / 2.0) for c in range(20) for i in range(12)], "case int, item string, key int, coupling double")
+    got = search.evaluate(search.ablations(spark), items, None, "ablated")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(case" in plan and "hashpartitioning(ablated#" in plan
+    assert not [x for x in plan.splitlines() if "hashpartitioning(ablated" in x and "case" in x]
+    one = {p: search.evaluate(search.ablations(spark).filter(F.col("ablated") == p), items, None, "ablated").first().ndcg for p in ("baseline", "depth_weight_root")}
+    assert {r.ablated: r.ndcg for r in got.collect() if r.ablated in one} == pytest.approx(one)
