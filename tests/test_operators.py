@@ -554,3 +554,21 @@ def test_items_are_moved_once_for_all_points(spark):
     assert not [x for x in plan.splitlines() if "hashpartitioning(ablated" in x and "case" in x]
     one = {p: search.evaluate(search.ablations(spark).filter(F.col("ablated") == p), items, None, "ablated").first().ndcg for p in ("baseline", "depth_weight_root")}
     assert {r.ablated: r.ndcg for r in got.collect() if r.ablated in one} == pytest.approx(one)
+
+
+def test_file_edges_by_blocks(spark, monkeypatch):
+    """Pairs of blocks sum the names that their files share; no exchange moves pairs of files."""
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    monkeypatch.setattr(graph, "MOST_PAIRS", 20)
+    u = lambda i, s: (i * 7919 + s * 104729) % 10007
+    defs, refs = [(f"f{u(i, 1) % 12}", "abcdef"[u(i, 2) % 6]) for i in range(40)], [(f"f{u(i, 3) % 15}", "abcdeg"[u(i, 4) % 6]) for i in range(80)]
+    expect = {}
+    for s, n in refs:
+        for d, m in set(defs):
+            if n == m and s != d:
+                expect[s, d] = expect.get((s, d), 0) + 1
+    edges = graph.file_edges(*(spark.createDataFrame(x, "file string, name string") for x in (defs, refs)))
+    got = edges.collect()
+    assert len(got) == len(expect) and {(r.src, r.dst): r.w for r in got} == expect
+    assert "hashpartitioning(src" not in edges._jdf.queryExecution().executedPlan().toString()
+    assert graph.file_edges(*(spark.createDataFrame([], "file string, name string") for _ in range(2))).count() == 0
